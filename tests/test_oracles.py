@@ -1,0 +1,53 @@
+"""Every registered query against its SQL on DuckDB."""
+
+from __future__ import annotations
+
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry_module
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"create view {name} as select * from read_parquet('{SF_DIR}/{name}.parquet')")
+    return con
+
+
+def _plain(value):
+    return round(value, 9) if isinstance(value, float) else value
+
+
+def _rows(columns, rows):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted((tuple(_plain(r[i]) for i in order) for r in rows), key=repr)
+
+
+@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+def test_query_equals_oracle(spark, duck, name):
+    got = entry_module.queries()[name](spark, SF_DIR)
+    want = duck.execute(entry_module.oracle_sql()[name])
+    want_columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(want_columns)
+    want_rows = _rows(want_columns, want.fetchall())
+    got_rows = _rows(got.columns, [tuple(r) for r in got.collect()])
+    assert len(got_rows) == len(want_rows)
+    assert got_rows == want_rows
+    assert got_rows
+
+
+def test_every_query_has_an_oracle():
+    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+
+
+def test_entry(spark):
+    assert entry_module.entry(spark).count() == 987
