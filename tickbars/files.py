@@ -30,14 +30,15 @@ def _fs(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def is_dir(spark: SparkSession, path: str) -> bool:
     fs, jpath = _fs(spark, path)
-    return fs.exists(jpath)
+    return fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory()
 
 
-def is_dir(spark: SparkSession, path: str) -> bool:
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
     fs, jpath = _fs(spark, path)
-    return fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory()
+    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
 
 
 def delete(spark: SparkSession, path: str) -> None:

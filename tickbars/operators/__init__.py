@@ -9,7 +9,7 @@ from tickbars.operators.candles import (
     ordered_candles,
 )
 from tickbars.operators.messages import decode_trades, drop_null_messages, filter_events, to_messages
-from tickbars.operators.progress import batch_sizes, latest_offsets, offset_ranges
+from tickbars.operators.progress import batch_sizes, count_of, counted, latest_offsets, offset_ranges
 from tickbars.operators.trades import (
     deals_to_trades,
     dedup_trades,
@@ -28,6 +28,8 @@ __all__ = [
     "batch_sizes",
     "candles",
     "cast_serving",
+    "count_of",
+    "counted",
     "day_series",
     "deals_to_trades",
     "decode_trades",

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,18 @@ def latest_offsets(ledger: DataFrame) -> DataFrame:
     """Newest position per application and topic partition of a ledger."""
     at = F.struct("ts", "batch_id")
     return ledger.groupBy("app_name", "topic", "part").agg(F.max_by("last_offset", at).alias("last_offset"))
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """`df`, and the means to count its rows while another action runs over it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("n")), seen
+
+
+def count_of(seen: Observation) -> int:
+    """Rows that an action has seen. Call it only after an action has run over all of the frame."""
+    try:
+        return seen.get["n"]
+    except Py4JJavaError:
+        # Adaptive execution removes a stage that turned out empty, and the metric with it.
+        return 0

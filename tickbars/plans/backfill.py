@@ -6,10 +6,10 @@ import datetime as dt
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tickbars.operators import candles, deals_to_trades, dedup_trades, filter_day, valid_trades
+from tickbars.operators.progress import count_of, counted
 from tickbars.sinks.records import append_metric
 
 
@@ -44,12 +44,11 @@ def run_job(
     spark = deals.sparkSession
     day = day or dt.date.today() - dt.timedelta(days=1)
     began = time.monotonic()
-    seen = Observation("deals")
-    counted = filter_day(deals, day).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows, seen = counted(filter_day(deals, day), "deals")
     ok, size = False, 0
     try:
-        sink(backfill(counted, minutes, **how), batch_id)
-        ok, size = True, seen.get["n"]
+        sink(backfill(rows, minutes, **how), batch_id)
+        ok, size = True, count_of(seen)
         return size
     finally:
         append_metric(spark, metrics, service, ok, int((time.monotonic() - began) * 1000), size, batch_id)

@@ -437,7 +437,7 @@ def _stream_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run_into_table(spark: SparkSession, out: DataFrame, policy: str) -> DataFrame:
     path = files.new_dir(spark, "candles")
-    writer = out.writeStream.outputMode("update").foreachBatch(candle_table(path, policy, path[-32:]))
+    writer = out.writeStream.outputMode("update").foreachBatch(candle_table(path, policy))
     writer = writer.option("checkpointLocation", files.new_dir(spark, "checkpoint"))
     writer.trigger(**_NOW).start().awaitTermination()
     return read_candles(spark, path).select(*CANDLE.names)
@@ -471,7 +471,7 @@ def final_stream_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer = writer.format("parquet").partitionBy("trade_date").option("path", path)
     writer = writer.option("checkpointLocation", files.new_dir(spark, "checkpoint"))
     writer.trigger(**_NOW).start().awaitTermination()
-    return read_candles(spark, path).select(*CANDLE.names)
+    return spark.read.parquet(path).select(*CANDLE.names)
 
 
 def _from_messages(mode: str) -> Query:
@@ -485,7 +485,7 @@ def _from_messages(mode: str) -> Query:
         name = path[-32:]
         started = start_candles(
             sent,
-            candle_table(path, policy, name),
+            candle_table(path, policy),
             files.new_dir(spark, "checkpoint"),
             mode,
             app=f"candles-{name}",

@@ -1,8 +1,8 @@
 """Writers."""
 
-from tickbars.sinks.candle_table import candle_table, merge_candles, read_candles
 from tickbars.sinks.messages import write_messages
-from tickbars.sinks.records import append_ledger, append_metric, ledger_rows
+from tickbars.sinks.records import append_ledger, append_metric, ledger_rows, metric_row
+from tickbars.sinks.tables import candle_table, merge_candles, read_candles
 from tickbars.sinks.upsert_source import UpsertDataSource, save_candles
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "candle_table",
     "ledger_rows",
     "merge_candles",
+    "metric_row",
     "read_candles",
     "save_candles",
     "write_messages",

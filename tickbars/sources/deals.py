@@ -12,7 +12,10 @@ from tickbars.schemas import DEAL
 
 
 def read_deals_csv(spark: SparkSession, path: str | list[str], sep: str = ";", mode: str = "FAILFAST") -> DataFrame:
-    """Delimited files with a header line. A bad line stops the read unless `mode` says otherwise."""
+    """Delimited files with a header line. A bad value stops the read unless `mode` says otherwise.
+
+    Spark parses the columns that a query uses, so bad values in others go unnoticed.
+    """
     reader = spark.read.schema(DEAL).option("sep", sep).option("header", True)
     # The header is checked against the schema; without that, exchanged columns go unnoticed.
     return reader.option("enforceSchema", False).option("mode", mode).csv(path)

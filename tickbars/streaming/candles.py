@@ -13,12 +13,12 @@ import time
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tickbars.functions import to_instant
 from tickbars.operators import candles, decode_trades, dedup_trades, drop_null_messages, filter_events
+from tickbars.operators.progress import count_of, counted
 from tickbars.operators.trades import invalid_trades, valid_trades
 from tickbars.sinks.records import append_ledger, append_metric
 
@@ -57,7 +57,6 @@ def _per_batch(
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         began = time.monotonic()
-        seen = Observation(f"batch_{batch_id}")
         # Read by the ledger and by the candles; lost blocks are read again from the source.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
@@ -65,14 +64,13 @@ def _per_batch(
                 return
             trades = valid_trades(decoded_stream(batch, allowed))
             trades = dedup_trades(trades) if dedup else trades
-            counted = trades.observe(seen, F.count(F.lit(1)).alias("n"))
-            ok = False
+            trades, seen = counted(trades, f"batch_{batch_id}")
+            ok, size = False, 0
             try:
-                sink(candles(counted, minutes, **how), batch_id)
-                ok = True
+                sink(candles(trades, minutes, **how), batch_id)
+                ok, size = True, count_of(seen)
             finally:
                 millis = int((time.monotonic() - began) * 1000)
-                size = seen.get["n"] if ok else 0
                 append_metric(spark, metrics, app, ok, millis, size, batch_id)
             if ledger:
                 append_ledger(batch, ledger, app, batch_id)
@@ -97,7 +95,7 @@ def start_candles(
     metrics: str | None = None,
     **how: str,
 ) -> StreamingQuery:
-    """Starts candles from a stream of messages; `sink(df, batch_id)` writes each batch.
+    """Starts candles from a stream of messages; `sink(df, batch_id)` writes each batch, all of it.
 
     If the sink fails, the query fails and the batch is run again from the checkpoint: give the sink a
     keyed write. `ledger` and `metrics` name Parquet tables and belong to per_batch mode; for a
