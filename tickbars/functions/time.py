@@ -27,56 +27,43 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _iso_date(date: Column) -> Column:
-    """dd.MM.yyyy as yyyy-MM-dd, by position."""
-    return F.concat(
-        F.substring(date, 7, 4), F.lit("-"), F.substring(date, 4, 2), F.lit("-"), F.substring(date, 1, 2)
-    )
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
-def _iso_date_split(date: Column) -> Column:
-    """d.M.yyyy as yyyy-M-d, by separator."""
-    dot = F.lit(".")
-    return F.concat_ws("-", *[F.split_part(date, dot, F.lit(i)) for i in (3, 2, 1)])
+# The larger expressions are SQL text: one call into the JVM instead of one per operator.
+_PADDED_DATE = "length({d}) = 10 and substring({d}, 3, 1) = '.' and substring({d}, 6, 1) = '.'"
+_PADDED_TIME = (
+    "length({t}) = 8 and substring({t}, 3, 1) = ':' and substring({t}, 6, 1) = ':' "
+    "and substring({t}, 7, 1) between '0' and '9' and substring({t}, 8, 1) between '0' and '9'"
+)
+_LOOSE_DATE = "{d} rlike '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$'"
+_LOOSE_TIME = "{t} rlike '^[0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}$'"
+# yyyy-MM-dd by position, and yyyy-M-d by separator.
+_ISO = "substring({d}, 7, 4), '-', substring({d}, 4, 2), '-', substring({d}, 1, 2)"
+_ISO_SPLIT = "split_part({d}, '.', 3), '-', split_part({d}, '.', 2), '-', split_part({d}, '.', 1)"
 
 
-def _padded_date(date: Column) -> Column:
-    return (
-        (F.length(date) == 10) & (F.substring(date, 3, 1) == ".") & (F.substring(date, 6, 1) == ".")
-    )
-
-
-def _padded_time(time: Column) -> Column:
-    digit = [F.substring(time, i, 1).between("0", "9") for i in (7, 8)]
-    return (
-        (F.length(time) == 8)
-        & (F.substring(time, 3, 1) == ":")
-        & (F.substring(time, 6, 1) == ":")
-        & digit[0]
-        & digit[1]
-    )
-
-
-def event_time(date: Column | str, time: Column | str) -> Column:
-    """`timestamp_ntz` from dd.MM.yyyy and HH:mm:ss text; NULL if the text is no such time.
+def event_time(date: str, time: str) -> Column:
+    """`timestamp_ntz` from columns of dd.MM.yyyy and HH:mm:ss text; NULL if the text is no such time.
 
     Zero-padded text, the usual case, is re-ordered by position and cast, which costs a fraction of
     a pattern parse. Other text (`9:01:00`, `1.9.2021`) is matched with a regular expression first.
     """
-    date, time = _col(date), _col(time)
-    fast = F.concat(_iso_date(date), F.lit(" "), time).try_cast("timestamp_ntz")
-    slow = F.concat(_iso_date_split(date), F.lit(" "), time).try_cast("timestamp_ntz")
-    loose = date.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$") & time.rlike(r"^\d{1,2}:\d{1,2}:\d{1,2}$")
-    return F.when(_padded_date(date) & _padded_time(time), fast).when(loose, slow)
-
-
-def trade_day(date: Column | str) -> Column:
-    """`date` from dd.MM.yyyy text; NULL if the text is no such day."""
-    date = _col(date)
-    loose = date.rlike(r"^\d{1,2}\.\d{1,2}\.\d{4}$")
-    return F.when(_padded_date(date), _iso_date(date).try_cast("date")).when(
-        loose, _iso_date_split(date).try_cast("date")
-    )
+    sql = f"""case
+        when {_PADDED_DATE} and {_PADDED_TIME} then try_cast(concat({_ISO}, ' ', {{t}}) as timestamp_ntz)
+        when {_LOOSE_DATE} and {_LOOSE_TIME} then try_cast(concat({_ISO_SPLIT}, ' ', {{t}}) as timestamp_ntz)
+    end"""
+    return F.expr(sql.format(d=_name(date), t=_name(time)))
+
+
+def trade_day(date: str) -> Column:
+    """`date` from a column of dd.MM.yyyy text; NULL if the text is no such day."""
+    sql = f"""case
+        when {_PADDED_DATE} then try_cast(concat({_ISO}) as date)
+        when {_LOOSE_DATE} then try_cast(concat({_ISO_SPLIT}) as date)
+    end"""
+    return F.expr(sql.format(d=_name(date)))
 
 
 def hour_text(time: Column | str) -> Column:

@@ -8,6 +8,7 @@ from tickbars.operators.candles import (
     microbatch_candles,
     ordered_candles,
 )
+from tickbars.operators.columns import with_once
 from tickbars.operators.messages import decode_trades, drop_null_messages, filter_events, to_messages
 from tickbars.operators.progress import batch_sizes, count_of, counted, latest_offsets, offset_ranges
 from tickbars.operators.trades import (
@@ -50,5 +51,6 @@ __all__ = [
     "upsert",
     "valid_trades",
     "with_event_time",
+    "with_once",
     "with_problem",
 ]

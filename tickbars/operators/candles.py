@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.functions import bucket_start, from_instant, trade_order, whole_value
@@ -14,16 +14,15 @@ from tickbars.schemas import CANDLE, CANDLE_KEYS
 _OHLC = ["open", "high", "low", "close"]
 
 
-def _ohlc() -> list[Column]:
-    """Fixed-size buffers only: a candle costs the same memory for one trade as for a billion, and a
-    hot candle reaches the shuffle as one row per map task."""
-    return [
-        F.min_by("price", "trade_order").alias("open"),
-        F.max("price").alias("high"),
-        F.min("price").alias("low"),
-        F.max_by("price", "trade_order").alias("close"),
-        F.sum("whole_value").alias("value"),
-    ]
+# Fixed-size buffers only: a candle costs the same memory for one trade as for a billion, and a hot
+# candle reaches the shuffle as one row per map task.
+_AGGREGATES = (
+    "min_by(price, trade_order) as open",
+    "max(price) as high",
+    "min(price) as low",
+    "max_by(price, trade_order) as close",
+    "sum(whole_value) as value",
+)
 
 
 def candles(
@@ -51,12 +50,12 @@ def candles(
         grouped = trades.select(bucket_start("dt", minutes).alias("datetime"), *inputs).groupBy(
             *by, "datetime", "ticker"
         )
-        return grouped.agg(*_ohlc())
+        return grouped.agg(*map(F.expr, _AGGREGATES))
     # The window has to be a grouping column for the watermark to end its state.
     grouped = trades.select("instant", *inputs).groupBy(
         *by, F.window("instant", f"{minutes} minutes"), "ticker"
     )
-    return grouped.agg(*_ohlc()).select(
+    return grouped.agg(*map(F.expr, _AGGREGATES)).select(
         *by, from_instant(F.col("window.start")).alias("datetime"), *CANDLE.names[1:]
     )
 

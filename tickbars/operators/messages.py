@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickbars.functions.messages import EVENT_HEADER, event_header_in, json_null
+from tickbars.operators.columns import with_once
 from tickbars.schemas import TRADE
 
 _CORRUPT = "_corrupt_record"
@@ -59,19 +60,19 @@ def decode_trades(messages: DataFrame) -> DataFrame:
         position.append("timestamp")
     text = messages.select(*position, F.col("value").cast("string").alias("payload"))
     record = F.from_json("payload", _PAYLOAD, {"columnNameOfCorruptRecord": _CORRUPT})
-    parsed = text.withColumn("r", record)
-    malformed = F.col("r").isNull() | F.col(f"r.{_CORRUPT}").isNotNull()
-    problem = F.when(malformed, "malformed")
+    parsed = with_once(text, "r", record)
+    problems = [f"when r is null or r.{_CORRUPT} is not null then 'malformed'"]
     columns = []
     for f in TRADE.fields:
-        raw = F.col(f"r.{f.name}")
-        if isinstance(f.dataType, T.StringType):
-            columns.append(raw.alias(f.name))
+        kind = f.dataType.simpleString()
+        if kind == "string":
+            columns.append(f"r.{f.name}")
             continue
-        value = raw.try_cast(f.dataType)
-        if isinstance(f.dataType, T.IntegralType):
+        value = f"try_cast(r.{f.name} as {kind})"
+        if kind != "double":
             # 100.0 is a whole number too.
-            value = F.coalesce(value, raw.try_cast("decimal(38,10)").try_cast(f.dataType))
-        columns.append(value.alias(f.name))
-        problem = problem.when(raw.isNotNull() & value.isNull(), f.name)
-    return parsed.select(*position, "payload", *columns, problem.alias("problem"))
+            value = f"coalesce({value}, try_cast(try_cast(r.{f.name} as decimal(38,10)) as {kind}))"
+        columns.append(f"{value} as {f.name}")
+        problems.append(f"when r.{f.name} is not null and {value} is null then '{f.name}'")
+    problem = f"case {' '.join(problems)} end as problem"
+    return parsed.selectExpr(*position, "payload", *columns, problem)

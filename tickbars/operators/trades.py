@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickbars.functions import day_text, event_time, hour_text, tick_number, trade_day
+from tickbars.operators.columns import with_once
 from tickbars.schemas import TRADE
 
 
@@ -20,7 +21,7 @@ def deals_to_trades(deals: DataFrame) -> DataFrame:
 
 def with_event_time(trades: DataFrame) -> DataFrame:
     """Adds `dt`, the event time."""
-    return trades.withColumn("dt", event_time("tradeDate", "tradeTime"))
+    return with_once(trades, "dt", event_time("tradeDate", "tradeTime"))
 
 
 def time_key(trades: DataFrame, minutes: int = 5) -> DataFrame:
@@ -45,20 +46,32 @@ def filter_day(df: DataFrame, day: dt.date, column: str = "TRADEDATE", padded: b
     return df.where(trade_day(column) == F.lit(day))
 
 
-def _problem() -> Column:
-    """Why a trade cannot go into a candle; NULL if it can."""
+# A bigint turnover holds less than 2^63. NaN is not below it: Spark orders it above every number.
+_LIMIT = "9223372036854775808D"
+# A plain conjunction, so that each part can be moved towards the source on its own.
+_USABLE = (
+    f"tradeNo is not null and secId is not null and abs(price) < {_LIMIT} and abs(value) < {_LIMIT} "
+    "and dt is not null"
+)
+_PROBLEM = f"""case
+    when tradeNo is null then 'tradeNo'
+    when secId is null then 'secId'
+    when price is null or abs(price) >= {_LIMIT} then 'price'
+    when value is null or abs(value) >= {_LIMIT} then 'value'
+    when dt is null then 'time'
+end"""
 
-    def number(name: str) -> Column:
-        # Also NaN, which Spark orders above every number, and what a bigint turnover cannot hold.
-        return F.col(name).isNull() | (F.abs(name) >= 2.0**63)
 
-    return (
-        F.when(F.col("tradeNo").isNull(), "tradeNo")
-        .when(F.col("secId").isNull(), "secId")
-        .when(number("price"), "price")
-        .when(number("value"), "value")
-        .when(F.col("dt").isNull(), "time")
-    )
+def _timed(trades: DataFrame) -> DataFrame:
+    return trades if "dt" in trades.columns else with_event_time(trades)
+
+
+def _usable(trades: DataFrame) -> str:
+    return f"problem is null and {_USABLE}" if "problem" in trades.columns else _USABLE
+
+
+def _problem(trades: DataFrame) -> Column:
+    return F.expr(f"coalesce(problem, {_PROBLEM})" if "problem" in trades.columns else _PROBLEM)
 
 
 def with_problem(trades: DataFrame) -> DataFrame:
@@ -66,18 +79,20 @@ def with_problem(trades: DataFrame) -> DataFrame:
 
     A `problem` that decoding has already found (malformed payload) is kept.
     """
-    df = trades if "dt" in trades.columns else with_event_time(trades)
-    found = F.coalesce(F.col("problem"), _problem()) if "problem" in df.columns else _problem()
-    return df.withColumn("problem", found)
+    timed = _timed(trades)
+    return timed.withColumn("problem", _problem(timed))
 
 
 def valid_trades(trades: DataFrame) -> DataFrame:
-    return with_problem(trades).where("problem is null").drop("problem")
+    """Trades that can go into a candle, with `dt`."""
+    timed = _timed(trades)
+    return timed.where(_usable(timed)).drop("problem")
 
 
 def invalid_trades(trades: DataFrame) -> DataFrame:
     """Quarantine: what `valid_trades` leaves out, with the reason in `problem`."""
-    return with_problem(trades).where("problem is not null")
+    timed = _timed(trades)
+    return timed.where(f"not coalesce({_usable(timed)}, false)").withColumn("problem", _problem(timed))
 
 
 def dup_trades(trades: DataFrame) -> DataFrame:

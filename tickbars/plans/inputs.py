@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickbars import files
-from tickbars.schemas import DEAL, MESSAGE, TRADE
+from tickbars.operators import with_once
+from tickbars.schemas import DEAL, TRADE
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,19 +25,19 @@ def events_stream(spark: SparkSession, sf_dir: str, **options: str) -> DataFrame
 
 def trades_of(table: DataFrame) -> DataFrame:
     """One trade per event. Text is cut from the ISO form of `ts`, which needs no time zone."""
-    iso = F.col("ts").cast("timestamp_ntz").cast("string")
-    k = F.get_json_object("props", "$.k").cast("int")
-    return table.select(
-        F.col("event_id").alias("tradeNo"),
-        F.concat_ws(".", F.substring(iso, 9, 2), F.substring(iso, 6, 2), F.substring(iso, 1, 4)).alias("tradeDate"),
-        F.substring(iso, 12, 8).alias("tradeTime"),
-        F.col("event_type").alias("secId"),
-        F.concat(F.lit("B"), (F.col("user_id") % 4).cast("string")).alias("boardId"),
-        F.col("value").alias("price"),
-        k.alias("quantity"),
-        (F.col("value") * k).alias("value"),
-        F.when(k < 50, "B").otherwise("S").alias("buySell"),
-        F.lit("MAIN").alias("tradingSession"),
+    iso = "cast(cast(ts as timestamp_ntz) as string)"
+    k = "cast(get_json_object(props, '$.k') as int)"
+    return table.selectExpr(
+        "event_id as tradeNo",
+        f"concat_ws('.', substring({iso}, 9, 2), substring({iso}, 6, 2), substring({iso}, 1, 4)) as tradeDate",
+        f"substring({iso}, 12, 8) as tradeTime",
+        "event_type as secId",
+        "concat('B', cast(user_id % 4 as string)) as boardId",
+        "value as price",
+        f"{k} as quantity",
+        f"value * {k} as value",
+        f"case when {k} < 50 then 'B' else 'S' end as buySell",
+        "'MAIN' as tradingSession",
     )
 
 
@@ -51,9 +52,30 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).select(*[lower[f.name].cast(f.dataType).alias(f.name) for f in DEAL.fields])
 
 
-def _header(key: str, value: str | None) -> Column:
-    data = F.lit(None).cast("binary") if value is None else F.lit(value.encode())
-    return F.struct(F.lit(key).alias("key"), data.alias("value"))
+_FIELDS = ", ".join(TRADE.names)
+_QUOTED = _FIELDS.replace("price", "case secId when 'purchase' then 'n/a' else cast(price as string) end as price")
+# The JSON of a trade without its last brace.
+_OPEN = f"rtrim('}}', to_json(struct({_FIELDS})))"
+_PAYLOAD = f"""case
+    when quantity = 0 then ' null '
+    when secId = 'signup' then {_OPEN}
+    when secId = 'view' then concat({_OPEN}, ',"venue":{{"id":1}}}}')
+    when secId in ('purchase', 'click') then to_json(struct({_QUOTED}))
+    else to_json(struct({_FIELDS})) end"""
+
+
+def _header(key: str, value: str) -> str:
+    return f"named_struct('key', '{key}', 'value', cast({value} as binary))"
+
+
+_RIGHT = _header("eventType", "'MARKET_RECORD'")
+_HEADERS = f"""case
+    when quantity between 1 and 4 then slice(array({_RIGHT}), 1, 0)
+    when quantity = 5 then array({_header("eventType", "null")})
+    when quantity = 6 then array({_header("eventType", "'OTHER'")}, {_RIGHT})
+    when quantity = 7 then array({_header("EventType", "'MARKET_RECORD'")})
+    when secId = 'error' then array({_header("eventType", "'ERROR_RECORD'")})
+    else array({_RIGHT}) end"""
 
 
 def messages_of(df: DataFrame) -> DataFrame:
@@ -63,35 +85,15 @@ def messages_of(df: DataFrame) -> DataFrame:
     right; 7: header of another name. Ticker error: another event type; signup: truncated payload;
     view: unknown field; purchase: price is no number; click: price in quotes.
     """
-    json = F.to_json(F.struct(*[f.name for f in TRADE.fields]), {"ignoreNullFields": "false"})
-    price_text = F.when(F.col("secId") == "purchase", "n/a").otherwise(F.col("price").cast("string"))
-    quoted = F.to_json(F.struct(*[price_text.alias("price") if f.name == "price" else F.col(f.name) for f in TRADE.fields]))
-    payload = (
-        F.when(F.col("quantity") == 0, " null ")
-        .when(F.col("secId") == "signup", F.expr("substring(j, 1, length(j) - 1)"))
-        .when(F.col("secId") == "view", F.expr("""concat(substring(j, 1, length(j) - 1), ',"venue":{"id":1}}')"""))
-        .when(F.col("secId").isin("purchase", "click"), quoted)
-        .otherwise(F.col("j"))
-    )
-    right = _header("eventType", "MARKET_RECORD")
-    headers = (
-        F.when(F.col("quantity").between(1, 4), F.array().cast(MESSAGE["headers"].dataType))
-        .when(F.col("quantity") == 5, F.array(_header("eventType", None)))
-        .when(F.col("quantity") == 6, F.array(_header("eventType", "OTHER"), right))
-        .when(F.col("quantity") == 7, F.array(_header("EventType", "MARKET_RECORD")))
-        .when(F.col("secId") == "error", F.array(_header("eventType", "ERROR_RECORD")))
-        .otherwise(F.array(right))
+    return with_once(df, "m", F.expr(f"struct({_PAYLOAD} as payload, {_HEADERS} as headers)")).selectExpr(
+        "cast(null as binary) as key",
+        "cast(m.payload as binary) as value",
+        "'trades' as topic",
+        "cast(tradeNo % 3 as int) as partition",
+        "tradeNo div 3 as offset",
+        "cast(null as timestamp) as timestamp",
+        "m.headers as headers",
     )
-    columns = {
-        "key": F.lit(None).cast("binary"),
-        "value": payload.cast("binary"),
-        "topic": F.lit("trades"),
-        "partition": (F.col("tradeNo") % 3).cast("int"),
-        "offset": F.floor(F.col("tradeNo") / 3).cast("bigint"),
-        "timestamp": F.lit(None).cast("timestamp"),
-        "headers": headers,
-    }
-    return df.withColumn("j", json).select(*[columns[n].alias(n) for n in MESSAGE.names])
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,9 @@ def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> No
     check_policy(policy)
     spark = incoming.sparkSession
     fresh = incoming.select(*CANDLE_TABLE.names[:-1], F.to_date("datetime").alias("trade_date"))
+    if not files.children(spark, path):
+        _write_version(fresh, path, 1)
+        return
     # Read for its days and for the merge. Blocks that are lost are computed again.
     fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -62,11 +65,7 @@ def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> No
         merged = fresh
         if stored:
             merged = upsert(read_candles(spark, path, list(stored)), fresh, [*CANDLE_KEYS, "trade_date"], policy)
-        version = 1 + max((v[-1] for v in stored.values()), default=0)
-        # Files by day; adaptive execution splits large days and joins small ones.
-        out = merged.withColumn("version", F.lit(version)).hint("rebalance", "trade_date")
-        writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("trade_date", "version").parquet(path)
+        _write_version(merged, path, 1 + max((v[-1] for v in stored.values()), default=0))
         for day, old in stored.items():
             for v in old[:-1]:
                 files.delete(spark, f"{path}/trade_date={day}/version={v}")
@@ -74,6 +73,13 @@ def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> No
         fresh.unpersist()
 
 
+def _write_version(df: DataFrame, path: str, version: int) -> None:
+    # Files by day; adaptive execution splits large days and joins small ones.
+    out = df.withColumn("version", F.lit(version)).hint("rebalance", "trade_date")
+    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("trade_date", "version").parquet(path)
+
+
 def candle_table(path: str, policy: str = "replace") -> Callable[[DataFrame, int], None]:
     """Sink for `start_candles`: merges each batch. Both policies bear a batch that runs again."""
 
