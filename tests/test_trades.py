@@ -28,6 +28,22 @@ from tickbars.schemas import DEAL
         ("01.09.2021", "10:00:0Z", None),
         ("01.09.2021", "10:00:+1", None),
         ("01.09.2021", "", None),
+        ("01.09.2021", "10:00:00.5", None),
+        ("01.09.2021", "10:00:5.", None),
+        ("01.09.2021", "10:00:5 ", None),
+        ("01.09.2021", "10:00:00Z", None),
+        ("01.09.2021", "10:00:00 GMT+1", None),
+        ("01.09.2021", "10:00:00+01:00", None),
+        ("01.09.2021", " 10:00:00", None),
+        ("01.09.2021", "10", None),
+        ("01.09.2021", "T10:00:00", None),
+        ("01.09.2021", "10:00:60", None),
+        ("1.9.2021", "9:5:7", at(9, 5, 7)),
+        ("1.9.2021", "10:00:00Z", None),
+        ("1.9.2021.1", "10:00:00", None),
+        ("01.09.20211", "10:00:00", None),
+        ("01.9..2021", "10:00:00", None),
+        ("01.09.+202", "10:00:00", None),
         ("01/09/2021", "10:00:00", None),
         ("01.09.21", "10:00:00", None),
         ("2021-09-01", "10:00:00", None),

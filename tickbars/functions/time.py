@@ -32,13 +32,8 @@ def _name(column: str) -> str:
 
 
 # The larger expressions are SQL text: one call into the JVM instead of one per operator.
-_PADDED_DATE = "length({d}) = 10 and substring({d}, 3, 1) = '.' and substring({d}, 6, 1) = '.'"
-_PADDED_TIME = (
-    "length({t}) = 8 and substring({t}, 3, 1) = ':' and substring({t}, 6, 1) = ':' "
-    "and substring({t}, 7, 1) between '0' and '9' and substring({t}, 8, 1) between '0' and '9'"
-)
-_LOOSE_DATE = "{d} rlike '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$'"
-_LOOSE_TIME = "{t} rlike '^[0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}$'"
+_PADDED = "octet_length({d}) = 10 and locate('.', {d}) = 3 and locate('.', {d}, 4) = 6"
+_LOOSE = "{d} rlike '^[0-9]{{1,2}}[.][0-9]{{1,2}}[.][0-9]{{4}}$'"
 # yyyy-MM-dd by position, and yyyy-M-d by separator.
 _ISO = "substring({d}, 7, 4), '-', substring({d}, 4, 2), '-', substring({d}, 1, 2)"
 _ISO_SPLIT = "split_part({d}, '.', 3), '-', split_part({d}, '.', 2), '-', split_part({d}, '.', 1)"
@@ -47,12 +42,14 @@ _ISO_SPLIT = "split_part({d}, '.', 3), '-', split_part({d}, '.', 2), '-', split_
 def event_time(date: str, time: str) -> Column:
     """`timestamp_ntz` from columns of dd.MM.yyyy and HH:mm:ss text; NULL if the text is no such time.
 
-    Zero-padded text, the usual case, is re-ordered by position and cast, which costs a fraction of
-    a pattern parse. Other text (`9:01:00`, `1.9.2021`) is matched with a regular expression first.
+    Zero-padded days, the usual case, are re-ordered by position and cast, which costs a fraction of
+    a pattern parse. Others (`1.9.2021`) are matched with a regular expression first. The zero fraction
+    that is added to the time makes the cast refuse what it would take otherwise: times without
+    seconds, with a fraction, or with a zone.
     """
     sql = f"""case
-        when {_PADDED_DATE} and {_PADDED_TIME} then try_cast(concat({_ISO}, ' ', {{t}}) as timestamp_ntz)
-        when {_LOOSE_DATE} and {_LOOSE_TIME} then try_cast(concat({_ISO_SPLIT}, ' ', {{t}}) as timestamp_ntz)
+        when {_PADDED} then try_cast(concat({_ISO}, ' ', {{t}}, '.0') as timestamp_ntz)
+        when {_LOOSE} then try_cast(concat({_ISO_SPLIT}, ' ', {{t}}, '.0') as timestamp_ntz)
     end"""
     return F.expr(sql.format(d=_name(date), t=_name(time)))
 
@@ -60,8 +57,8 @@ def event_time(date: str, time: str) -> Column:
 def trade_day(date: str) -> Column:
     """`date` from a column of dd.MM.yyyy text; NULL if the text is no such day."""
     sql = f"""case
-        when {_PADDED_DATE} then try_cast(concat({_ISO}) as date)
-        when {_LOOSE_DATE} then try_cast(concat({_ISO_SPLIT}) as date)
+        when {_PADDED} then try_cast(concat({_ISO}) as date)
+        when {_LOOSE} then try_cast(concat({_ISO_SPLIT}) as date)
     end"""
     return F.expr(sql.format(d=_name(date)))
 
