@@ -10,7 +10,8 @@ from helpers import at, by_key, message, messages, payload, trade
 from tickbars.sinks import candle_table, metric_row, read_candles, append_metric
 from tickbars.sources import read_ledger, read_messages, stream_messages
 from tickbars.sinks import write_messages
-from tickbars.streaming import progress_metrics, progress_offsets, start_candles, start_quarantine
+from tickbars.operators import decode_trades, filter_events
+from tickbars.streaming import progress_metrics, progress_offsets, start_candles, start_quarantine, start_stream
 
 NOW = {"availableNow": True}
 
@@ -204,3 +205,20 @@ def test_candles_restart_whatever_the_zone(topic, tmp_path, spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == {(dt.datetime(2021, 3, 14, 2, 30), "SBER"): (1.0, 2.0, 1.0, 2.0, 200)}
+
+
+def test_own_steps_and_sink(topic, tmp_path, spark):
+    topic.send(trade(1, "10:00:00"), trade(2, "10:01:00", sec="GAZP"))
+    topic.raw(message(payload(trade(3, "10:00:00")), 9, headers=[("eventType", "OTHER")]))
+    topic.send(trade(4, "10:02:00"))
+    out, metrics = str(tmp_path / "out"), str(tmp_path / "metrics")
+    steps = [lambda m: filter_events(m, ["MARKET_RECORD"]), decode_trades, lambda t: t.where("secId = 'SBER'")]
+
+    def sink(rows, batch_id):
+        rows.select("tradeNo").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    query = start_stream(topic.stream(), steps, sink, str(tmp_path / "ck"), trigger=NOW, app="own", metrics=metrics)
+    query.awaitTermination()
+    assert sorted(r.tradeNo for r in spark.read.parquet(out).collect()) == [1, 4]
+    rows = spark.read.parquet(metrics).orderBy("batch_id").collect()
+    assert [(r.service_name, r.batch_size) for r in rows] == [("own", 1), ("own", 0), ("own", 1)]

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
-import time
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from tickbars.operators import candles, deals_to_trades, dedup_trades, filter_day, valid_trades
-from tickbars.operators.progress import count_of, counted
-from tickbars.sinks.records import append_metric
+from tickbars.plans.batch import Sink, run_batch
+
+
+def _yesterday() -> dt.date:
+    return dt.date.today() - dt.timedelta(days=1)
 
 
 def backfill(deals: DataFrame, minutes: int = 5, dedup: bool = False, **how: str) -> DataFrame:
@@ -23,13 +24,12 @@ def backfill_day(
     deals: DataFrame, day: dt.date | None = None, minutes: int = 5, padded: bool = True, **how: str
 ) -> DataFrame:
     """Candles of one day, yesterday if not given. The day reaches the source as a filter."""
-    day = day or dt.date.today() - dt.timedelta(days=1)
-    return backfill(filter_day(deals, day, padded=padded), minutes, **how)
+    return backfill(filter_day(deals, day or _yesterday(), padded=padded), minutes, **how)
 
 
 def run_job(
     deals: DataFrame,
-    sink: Callable[[DataFrame, int], None],
+    sink: Sink,
     day: dt.date | None = None,
     minutes: int = 5,
     metrics: str | None = None,
@@ -37,18 +37,10 @@ def run_job(
     batch_id: int = 0,
     **how: str,
 ) -> int:
-    """Runs a day's backfill into `sink` and records a metric row; returns the number of trades read.
-
-    The rows are counted on the way through. A failure is recorded and raised.
-    """
-    spark = deals.sparkSession
-    day = day or dt.date.today() - dt.timedelta(days=1)
-    began = time.monotonic()
-    rows, seen = counted(filter_day(deals, day), "deals")
-    ok, size = False, 0
-    try:
-        sink(backfill(rows, minutes, **how), batch_id)
-        ok, size = True, count_of(seen)
-        return size
-    finally:
-        append_metric(spark, metrics, service, ok, int((time.monotonic() - began) * 1000), size, batch_id)
+    """Runs a day's backfill into `sink`, yesterday's if not given; returns the number of trades read."""
+    rows = filter_day(deals, day or _yesterday())
+
+    def write(read: DataFrame, number: int) -> None:
+        sink(backfill(read, minutes, **how), number)
+
+    return run_batch(rows, write, service, metrics, batch_id)

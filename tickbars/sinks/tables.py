@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tickbars import files
 from tickbars.operators.upsert import check_policy, upsert
-from tickbars.schemas import CANDLE_KEYS, CANDLE_TABLE
+from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_TABLE
 
 
 def _versions(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> dict[dt.date, list[int]]:
@@ -50,7 +50,7 @@ def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> No
     """
     check_policy(policy)
     spark = incoming.sparkSession
-    fresh = incoming.select(*CANDLE_TABLE.names[:-1], F.to_date("datetime").alias("trade_date"))
+    fresh = incoming.select(*CANDLE.names)
     if not files.children(spark, path):
         _write_version(fresh, path, 1)
         return
@@ -58,13 +58,15 @@ def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> No
     fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # Calendar days: a small list however many candles there are.
-        days = [r[0] for r in fresh.select("trade_date").distinct().collect()]
+        days = [r[0] for r in fresh.select(F.to_date("datetime")).distinct().collect()]
         if not days:
             return
         stored = _versions(spark, path, days)
         merged = fresh
         if stored:
-            merged = upsert(read_candles(spark, path, list(stored)), fresh, [*CANDLE_KEYS, "trade_date"], policy)
+            # Without trade_date among the keys: candles come hashed by these two already.
+            before = read_candles(spark, path, list(stored)).drop("trade_date")
+            merged = upsert(before, fresh, CANDLE_KEYS, policy)
         _write_version(merged, path, 1 + max((v[-1] for v in stored.values()), default=0))
         for day, old in stored.items():
             for v in old[:-1]:
@@ -75,7 +77,7 @@ def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> No
 
 def _write_version(df: DataFrame, path: str, version: int) -> None:
     # Files by day; adaptive execution splits large days and joins small ones.
-    out = df.withColumn("version", F.lit(version)).hint("rebalance", "trade_date")
+    out = df.withColumns({"trade_date": F.to_date("datetime"), "version": F.lit(version)}).hint("rebalance", "trade_date")
     writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy("trade_date", "version").parquet(path)
 

@@ -4,6 +4,7 @@ from tickbars.streaming.candles import (
     decoded_stream,
     start_candles,
     start_quarantine,
+    start_stream,
     stream_candles,
     with_instant,
 )
@@ -15,6 +16,7 @@ __all__ = [
     "progress_offsets",
     "start_candles",
     "start_quarantine",
+    "start_stream",
     "stream_candles",
     "with_instant",
 ]

@@ -9,7 +9,6 @@ Set `spark.sql.streaming.stateStore.providerClass` to Spark's RocksDB provider f
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
@@ -18,12 +17,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tickbars.functions import to_instant
 from tickbars.operators import candles, decode_trades, dedup_trades, drop_null_messages, filter_events
-from tickbars.operators.progress import count_of, counted
 from tickbars.operators.trades import invalid_trades, valid_trades
-from tickbars.sinks.records import append_ledger, append_metric
+from tickbars.plans.batch import Sink, run_batch
+from tickbars.sinks.records import append_ledger
 
-Sink = Callable[[DataFrame, int], None]
 _EVENTS = ("MARKET_RECORD",)
+_EVERY_MINUTE = {"processingTime": "60 seconds"}
 
 
 def decoded_stream(messages: DataFrame, allowed: Iterable[str] = _EVENTS) -> DataFrame:
@@ -51,33 +50,41 @@ def stream_candles(
     return candles(dedup_trades(timed) if dedup else timed, minutes, **how)
 
 
-def _per_batch(
-    sink: Sink, allowed: Iterable[str], minutes: int, dedup: bool, app: str, ledger: str | None, metrics: str | None, how: dict
-) -> Sink:
+def start_stream(
+    messages: DataFrame,
+    steps: Iterable[Callable[[DataFrame], DataFrame]],
+    sink: Sink,
+    checkpoint: str,
+    trigger: dict | None = None,
+    app: str = "stream",
+    ledger: str | None = None,
+    metrics: str | None = None,
+) -> StreamingQuery:
+    """Any per-batch job: each batch of messages goes through `steps` into `sink(rows, batch_id)`.
+
+    Empty batches are skipped. A batch that fails is run again from the checkpoint: give the sink a
+    keyed write, and let it run over all rows. `ledger` and `metrics` name Parquet tables for the
+    positions read and for one row per batch. The trigger is 60 seconds unless given.
+    """
+    steps = list(steps)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        began = time.monotonic()
-        # Read by the ledger and by the candles; lost blocks are read again from the source.
+        # Read by the ledger and by the job; lost blocks are read again from the source.
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             if batch.isEmpty():
                 return
-            trades = valid_trades(decoded_stream(batch, allowed))
-            trades = dedup_trades(trades) if dedup else trades
-            trades, seen = counted(trades, f"batch_{batch_id}")
-            ok, size = False, 0
-            try:
-                sink(candles(trades, minutes, **how), batch_id)
-                ok, size = True, count_of(seen)
-            finally:
-                millis = int((time.monotonic() - began) * 1000)
-                append_metric(spark, metrics, app, ok, millis, size, batch_id)
+            rows = batch
+            for step in steps:
+                rows = rows.transform(step)
+            run_batch(rows, sink, app, metrics, batch_id)
             if ledger:
                 append_ledger(batch, ledger, app, batch_id)
         finally:
             batch.unpersist()
 
-    return handle
+    writer = messages.writeStream.foreachBatch(handle).queryName(app)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE).start()
 
 
 def start_candles(
@@ -102,20 +109,22 @@ def start_candles(
     stateful query take both from its progress (`progress_offsets`, `progress_metrics`). The trigger
     is 60 seconds unless given.
     """
-    trigger = trigger or {"processingTime": "60 seconds"}
     allowed = list(allowed)
     if mode == "per_batch":
-        handle = _per_batch(sink, allowed, minutes, dedup, app, ledger, metrics, how)
-        writer = messages.writeStream.foreachBatch(handle)
-    elif mode == "stateful":
-        if ledger or metrics:
-            raise ValueError("ledger and metrics are written in per_batch mode only")
-        trades = valid_trades(decoded_stream(messages, allowed))
-        out = stream_candles(trades, minutes, lateness, dedup, **how)
-        writer = out.writeStream.outputMode("update").foreachBatch(sink)
-    else:
+        steps = [lambda m: decoded_stream(m, allowed), valid_trades, *([dedup_trades] if dedup else [])]
+
+        def write(trades: DataFrame, batch_id: int) -> None:
+            sink(candles(trades, minutes, **how), batch_id)
+
+        return start_stream(messages, steps, write, checkpoint, trigger, app, ledger, metrics)
+    if mode != "stateful":
         raise ValueError(f"mode must be 'stateful' or 'per_batch', got {mode!r}")
-    return writer.queryName(app).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    if ledger or metrics:
+        raise ValueError("ledger and metrics are written in per_batch mode only")
+    trades = valid_trades(decoded_stream(messages, allowed))
+    out = stream_candles(trades, minutes, lateness, dedup, **how)
+    writer = out.writeStream.outputMode("update").foreachBatch(sink).queryName(app)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE).start()
 
 
 def start_quarantine(
@@ -124,5 +133,4 @@ def start_quarantine(
     """Writes the messages that cannot go into a candle, with the reason, to Parquet."""
     bad = invalid_trades(decoded_stream(messages, list(allowed)))
     writer = bad.writeStream.outputMode("append").format("parquet").option("path", path)
-    trigger = trigger or {"processingTime": "60 seconds"}
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE).start()
