@@ -56,8 +56,6 @@ def decode_trades(messages: DataFrame) -> DataFrame:
     of a numeric field whose text is no such number. `valid_trades` and `invalid_trades` split on it.
     """
     position = [c for c in _POSITION if c in messages.columns]
-    if messages.isStreaming and "timestamp" in messages.columns:
-        position.append("timestamp")
     text = messages.select(*position, F.col("value").cast("string").alias("payload"))
     record = F.from_json("payload", _PAYLOAD, {"columnNameOfCorruptRecord": _CORRUPT})
     parsed = with_once(text, "r", record)
