@@ -326,7 +326,7 @@ def message_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from m group by topic, partition""",
 )
 def offset_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.offset_ranges(inputs.messages(spark, sf_dir))
+    return op.offset_ranges(inputs.positions(spark, sf_dir))
 
 
 @query(
@@ -337,7 +337,7 @@ def offset_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = files.new_dir(spark, "ledger")
-    sent = inputs.messages(spark, sf_dir)
+    sent = inputs.positions(spark, sf_dir)
     append_ledger(sent.where("partition <> 2"), path, "candles", 0)
     append_ledger(sent, path, "candles", 1)
     append_ledger(sent, path, "another", 0)

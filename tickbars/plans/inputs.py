@@ -52,6 +52,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades(spark, sf_dir).select(*[lower[f.name].cast(f.dataType).alias(f.name) for f in DEAL.fields])
 
 
+_POSITION = ("'trades' as topic", "cast(tradeNo % 3 as int) as partition", "tradeNo div 3 as offset")
 _FIELDS = ", ".join(TRADE.names)
 _QUOTED = _FIELDS.replace("price", "case secId when 'purchase' then 'n/a' else cast(price as string) end as price")
 # The JSON of a trade without its last brace.
@@ -88,13 +89,16 @@ def messages_of(df: DataFrame) -> DataFrame:
     return with_once(df, "m", F.expr(f"struct({_PAYLOAD} as payload, {_HEADERS} as headers)")).selectExpr(
         "cast(null as binary) as key",
         "cast(m.payload as binary) as value",
-        "'trades' as topic",
-        "cast(tradeNo % 3 as int) as partition",
-        "tradeNo div 3 as offset",
+        *_POSITION,
         "cast(null as timestamp) as timestamp",
         "m.headers as headers",
     )
 
 
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic, partition and offset of all messages, without making their payloads."""
+    return trades(spark, sf_dir).selectExpr(*_POSITION)
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(trades(spark, sf_dir))
