@@ -74,10 +74,11 @@ def test_unknown_order_and_tie(spark):
 
 def test_packed_order_refuses_numbers_it_cannot_hold(spark):
     big = (1 << 54) - 1
-    assert make(spark, [trade(big, "10:04:59", 3.0), trade(0, "10:04:59", 2.0)])[at(10, 0), "SBER"][::3] == (2.0, 3.0)
+    assert make(spark, [trade(big, "10:04:59", 3.0), trade(0, "10:04:59", 2.0)], order="packed")[at(10, 0), "SBER"][::3] == (2.0, 3.0)
     for no in (big + 1, -1):
         with pytest.raises(Exception, match="use order='wide'"):
-            make(spark, [trade(no, "10:00:00")])
+            make(spark, [trade(no, "10:00:00")], order="packed")
+        assert len(make(spark, [trade(no, "10:00:00")])) == 1
 
 
 def test_wide_order_holds_any_number(spark):
@@ -121,14 +122,15 @@ def test_against_brute_force_with_a_hot_ticker(spark, minutes):
     for partitions in (1, 7):
         df = op.valid_trades(trades(spark, rows, partitions))
         assert by_key(op.candles(df, minutes)) == want
-        assert by_key(op.candles(df, minutes, order="wide")) == want
+        assert by_key(op.candles(df, minutes, order="packed")) == want
     for o, h, low, c, _ in want.values():
         assert low <= min(o, c) and max(o, c) <= h
     assert sum(v[4] for v in want.values()) == sum(int(r[7]) for r in rows)
 
 
-def test_hot_candle_reaches_the_shuffle_as_one_row_per_task(spark):
-    df = op.candles(op.valid_trades(trades(spark, [trade(1, "10:00:00")])))
+@pytest.mark.parametrize("order", ["wide", "packed"])
+def test_hot_candle_reaches_the_shuffle_as_one_row_per_task(spark, order):
+    df = op.candles(op.valid_trades(trades(spark, [trade(1, "10:00:00")])), order=order)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan

@@ -7,7 +7,7 @@ import time
 import pytest
 
 from helpers import at, by_key, message, messages, payload, trade
-from tickbars.sinks import candle_table, metric_row, read_candles, append_metric
+from tickbars.sinks import candle_database, candle_table, metric_row, read_candles, append_metric
 from tickbars.sources import read_ledger, read_messages, stream_messages
 from tickbars.sinks import write_messages
 from tickbars.operators import decode_trades, filter_events
@@ -222,3 +222,14 @@ def test_own_steps_and_sink(topic, tmp_path, spark):
     assert sorted(r.tradeNo for r in spark.read.parquet(out).collect()) == [1, 4]
     rows = spark.read.parquet(metrics).orderBy("batch_id").collect()
     assert [(r.service_name, r.batch_size) for r in rows] == [("own", 1), ("own", 0), ("own", 1)]
+
+
+def test_stream_of_messages_into_a_database(topic, tmp_path, spark):
+    from test_upsert import OPTIONS, database, stored
+
+    path = database(tmp_path)
+    topic.send(trade(1, "10:00:10", 1.0))
+    topic.send(trade(2, "10:03:00", 5.0), trade(1 << 62, "10:04:00", 3.0))
+    sink = candle_database("replace", connections=1, url=path, **OPTIONS)
+    start_candles(topic.stream(), sink, str(tmp_path / "ck"), trigger=NOW).awaitTermination()
+    assert stored(path) == {(str(at(10, 0)), "SBER"): (1, 5, 1, 3, 300)}

@@ -21,16 +21,16 @@ def trade_order(
     when: Column | str,
     trade_no: Column | str,
     minutes: int = 5,
-    order: str = "packed",
+    order: str = "wide",
     tie: str = "tradeNo",
 ) -> Column:
     """Sort key of the trades of one candle: event time, then trade number.
 
-    `packed` puts the second within the candle and the trade number into one bigint, which keeps
-    min_by/max_by in a hash aggregate. It holds trade numbers from 0 to 2^51 - 1 for any width (2^54 - 1 for
-    5 minutes) and stops the query on others rather than order them wrongly. `wide` is a decimal for
-    any bigint trade number; a hash aggregate too, but slower. `tie="reverse"` puts the highest trade
-    number of a second first.
+    `wide`, a decimal, takes any bigint trade number. `packed` puts the second within the candle and the
+    trade number into one bigint, which is faster; it holds numbers from 0 to 2^51 - 1 at any width (2^54 - 1
+    at 5 minutes) and stops the query on others rather than order them wrongly. Both keep min_by/max_by
+    in a hash aggregate, where a struct would fall back to sorting. `tie="reverse"` puts the highest
+    trade number of a second first.
     """
     if tie not in ("tradeNo", "reverse"):
         raise ValueError(f"tie must be 'tradeNo' or 'reverse', got {tie!r}")
@@ -38,6 +38,10 @@ def trade_order(
     no = F.col(trade_no) if isinstance(trade_no, str) else trade_no
     check_minutes(minutes)
     second = (F.minute(when) % minutes * 60 + F.second(when)).cast("bigint")
+    if order == "wide":
+        step = F.lit("100000000000000000000").cast("decimal(21,0)")
+        low = no.cast("decimal(20,0)")
+        return second.cast("decimal(4,0)") * step + (low if tie == "tradeNo" else -low)
     if order == "packed":
         bits = 63 - (minutes * 60 - 1).bit_length()
         top = (1 << bits) - 1
@@ -46,8 +50,4 @@ def trade_order(
         return F.when(no.between(0, top), F.shiftleft(second, bits) + low).otherwise(
             F.raise_error(F.lit(message)).cast("bigint")
         )
-    if order == "wide":
-        step = F.lit("100000000000000000000").cast("decimal(21,0)")
-        low = no.cast("decimal(20,0)")
-        return second.cast("decimal(4,0)") * step + (low if tie == "tradeNo" else -low)
-    raise ValueError(f"order must be 'packed' or 'wide', got {order!r}")
+    raise ValueError(f"order must be 'wide' or 'packed', got {order!r}")

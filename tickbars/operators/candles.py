@@ -28,7 +28,7 @@ _AGGREGATES = (
 def candles(
     trades: DataFrame,
     minutes: int = 5,
-    order: str = "packed",
+    order: str = "wide",
     tie: str = "tradeNo",
     by: Sequence[str] = (),
 ) -> DataFrame:
@@ -61,7 +61,7 @@ def candles(
 
 
 def microbatch_candles(
-    trades: DataFrame, batch: str, minutes: int = 5, order: str = "packed", tie: str = "tradeNo"
+    trades: DataFrame, batch: str, minutes: int = 5, order: str = "wide", tie: str = "tradeNo"
 ) -> DataFrame:
     """Candles as per-batch processing with a keep-first table leaves them.
 

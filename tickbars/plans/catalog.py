@@ -75,7 +75,7 @@ def _valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- candles
 
 
-def _candles(name: str, minutes: int, order: str = "packed") -> None:
+def _candles(name: str, minutes: int, order: str = "wide") -> None:
     @query(name, f"with {_T} {_candle_sql(minutes=minutes)}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return op.candles(_valid(spark, sf_dir), minutes, order=order)
@@ -84,6 +84,7 @@ def _candles(name: str, minutes: int, order: str = "packed") -> None:
 for _minutes in (1, 5, 15, 60):
     _candles(f"candles_{_minutes}m", _minutes)
 _candles("candles_wide_key", 5, order="wide")
+_candles("candles_packed_key", 5, order="packed")
 
 
 @query(

@@ -3,12 +3,13 @@
 from tickbars.sinks.messages import write_messages
 from tickbars.sinks.records import append_ledger, append_metric, ledger_rows, metric_row
 from tickbars.sinks.tables import candle_table, merge_candles, read_candles
-from tickbars.sinks.upsert_source import UpsertDataSource, save_candles
+from tickbars.sinks.upsert_source import UpsertDataSource, candle_database, save_candles
 
 __all__ = [
     "UpsertDataSource",
     "append_ledger",
     "append_metric",
+    "candle_database",
     "candle_table",
     "ledger_rows",
     "merge_candles",

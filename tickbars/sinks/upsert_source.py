@@ -15,7 +15,7 @@ import importlib
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
@@ -163,3 +163,14 @@ def save_candles(
         out = out.repartition(connections, "datetime", "ticker")
     settings = {"tableName": "CANDLES", "keys": "DATETIME, TICKER", "policy": policy, **options}
     out.write.format("upsert").mode("append").options(**settings).save()
+
+
+def candle_database(
+    policy: str = "replace", connections: int | None = None, **options: str
+) -> Callable[[DataFrame, int], None]:
+    """Sink for `start_candles`: upserts each batch into a serving table (`save_candles`)."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        save_candles(batch, policy, connections, **options)
+
+    return sink
