@@ -1,0 +1,63 @@
+from __future__ import annotations
+
+import re
+from collections import Counter
+
+import duckdb
+
+from tickbars.llm import licences as L
+from tickbars.llm.queries import op10_licences
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    want = con.execute(L.oracle_sql()).fetchall()
+    got = op10_licences(spark, SF)
+    assert got.columns == ["doc_id", "n_matches", "licence", "score", "licences"]
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want)
+    assert any(r[1] for r in rows) and not all(r[1] for r in rows)
+
+
+def test_only_plain_expressions(spark):
+    plan = op10_licences(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def brute(text):
+    out = []
+    folded = re.sub(r"[^\n0-9a-z\x80-\U0010ffff]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    units = folded.split("\n") + [b for b in re.split(r"\n ?\n[ \n]*", folded) if "\n" in b]
+    for unit in units:
+        ws = unit.split()
+        grams = Counter(zip(ws, ws[1:]))
+        for name, template in L.TEMPLATES.items():
+            known = Counter(tuple(g.split(" ")) for g in L.bigrams(template))
+            score = 2 * (grams & known).total() / (grams.total() + known.total())
+            if score >= L.THRESHOLD:
+                out.append((name, score))
+    return sorted(out)
+
+
+def test_units_against_brute_force(spark):
+    mit = re.sub(r"\s+", " ", L.TEMPLATES["MIT"])
+    wrapped = "\n".join(mit[i : i + 70] for i in range(0, len(mit), 70))
+    texts = [
+        None, "", "x", "MIT", "Released under the MIT License", "some words\nreleased UNDER the -- mit license!\nmore",
+        "Prose before.\n\n" + wrapped + "\n \n\nProse after it.", mit, mit + " " + mit, "a " * 40_000,
+        "the " * 11, "This work is licensed under the GNU General Public License, version 2.",
+    ]
+    rows = [("m", i, t, 0) for i, t in enumerate(texts)] * 2 + [("m", None, "x y", 1)]
+    df = spark.createDataFrame(rows, "matches string, doc_id bigint, text string, words int")
+    for r in L.licence_matches(df).collect():
+        want = brute(r.text)
+        assert [n for n, _ in want] == sorted(m.id for m in r.matches), r.text and r.text[:50]
+        assert all(abs(a[1] - b.score) < 1e-12 for a, b in zip(want, sorted(r.matches, key=lambda m: (m.id, m.score))))
+    report = {r.doc_id: r for r in L.licence_report(df).collect()}
+    assert report[11].licence == "GPL-2.0/line" and report[11].licences == "GPL-2.0/line,GPL-3.0/line"
+    assert report[6].licence == "MIT" and report[0].licence is None and report[0].n_matches == 0
+    assert L.licence_report(df.where("false")).count() == 0
+    assert L.licence_matches(df, templates={}).select("matches").first()[0] == []

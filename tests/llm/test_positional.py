@@ -1,0 +1,105 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tickbars.llm import positional as P
+from tickbars.llm.queries import op8_decontamination
+
+SF = "/root/testdata/sf0.01"
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_words(text):
+    return _WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def brute(docs, items, window=10):
+    owners = {}
+    for item, text in items:
+        w = plain_words(text)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            owners.setdefault(tuple(w[i : i + window]), set()).add(item)
+    lengths = {len(p) for p in owners}
+    out = []
+    for doc_id, text in docs:
+        w = plain_words(text)
+        hit, found = set(), set()
+        for n in lengths:
+            for i in range(len(w) - n + 1):
+                if (p := tuple(w[i : i + n])) in owners:
+                    hit.update(range(i, i + n))
+                    found |= owners[p]
+        names = sorted(str(x) for x in found if x is not None)
+        out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def key(row):
+    return repr(tuple(row))
+
+
+def test_query_over_all_documents(spark):
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    got = op8_decontamination(spark, SF)
+    assert got.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    rows = got.collect()
+    assert any(r.contaminated for r in rows)
+    assert sorted(map(key, rows)) == sorted(map(key, brute(docs, items)))
+
+
+_TEXT = st.lists(st.sampled_from(["a", "B", "c", "é"]), max_size=14).map(" ".join)
+
+
+@settings(max_examples=200)
+@given(st.lists(_TEXT, max_size=5), st.lists(_TEXT, max_size=4))
+def test_phrases_of_a_segment(texts, items):
+    block = P.phrase_block([(str(i), t) for i, t in enumerate(items)], 3)
+    row = P._segment([str(i) for i in range(len(texts))], [P.words(t) for t in texts])
+    found = P._find_phrases(block)(row)
+    want = brute(list(enumerate(texts)), [(str(i), t) for i, t in enumerate(items)], 3)
+    for i, (_, _, n_hit, n_items, _, _) in enumerate(want):
+        mine = [f for f in found if f[0] == i]
+        assert len({p for f in mine for p in range(f[1], f[2])}) == n_hit
+        assert len({x for f in mine for x in f[3]}) == n_items
+
+
+def test_odd_rows(spark):
+    schema = "terms string, doc_id bigint, text string, hits int"
+    long = "w " * 50_000
+    rows = [
+        ("x", 1, None, 0), ("x", 2, "", 0), ("x", None, "One TWO three", 1), ("x", 3, "zero one two three four", 1),
+        ("x", 3, "zero one two three four", 1), ("x", 4, long + "one two three", 0), ("x", 5, "one two", 0),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    items = spark.createDataFrame(
+        [("n", 10, "one two three"), ("n", 10, "one two three"), ("n", None, "four"), ("n", 11, None), ("n", 12, "--"), ("n", 9, "w")],
+        "doc_id string, item_id bigint, text string",
+    )
+    got = P.contamination(docs, items)
+    plain = [(r[1], r[2]) for r in rows]
+    want = brute(plain, [tuple(r)[1:] for r in items.collect()])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+    assert P.contamination(docs.where("false"), items).count() == 0
+    assert [r.n_hit for r in P.contamination(docs, items.where("false")).collect()] == [0] * 7
+
+
+def test_items_in_blocks_give_the_same(spark, monkeypatch):
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    docs, items = docs.limit(200), items.limit(12)
+    want = sorted(map(key, P.contamination(docs, items).collect()))
+    monkeypatch.setattr(P, "BLOCK_BYTES", 600)
+    assert sorted(map(key, P.contamination(docs, items).collect())) == want
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "a x b y c"), (2, "a b"), (3, "c"), (4, "c b z a")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    index = P.build_index(docs)
+    near = lambda n: {r.doc_id: [(h.start, h.end) for h in r.hits] for r in P.proximity_matches(index, items, n).collect()}
+    assert near(5) == {"1": [(0, 5)], "4": [(0, 4)]}
+    assert near(4) == {"4": [(0, 4)]}

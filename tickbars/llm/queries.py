@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import bpe, pii
+from tickbars.llm import bpe, language, licences, pii, positional
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,13 +24,28 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
+    "op6_language": op6_language,
+    "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_licences": licences.oracle_sql()}

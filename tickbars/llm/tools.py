@@ -26,3 +26,11 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     path = files.new_dir(df.sparkSession, what)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it that no column of the frame has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
