@@ -80,6 +80,7 @@ class Vocabulary:
         for key, rank in ranks.items():
             slot = self.table.slot(key)
             self.keys[slot], self.ranks[slot] = key, rank
+        self.ranks_of_parts = ranks
         self.pieces: dict[int, bytes] = {rank: key for key, rank in ranks.items()}
 
     @classmethod
@@ -97,30 +98,39 @@ class Vocabulary:
         return [whole] if whole is not None else self.merge(piece)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Joins the neighbours of the lowest rank, the leftmost first, until none is left."""
-        n, rank = len(piece), self.rank
-        end = list(range(1, n + 1))  # of the part that starts here
+        """Joins the neighbours of the lowest rank, the leftmost first, until none is left.
+
+        A heap entry is one number: the rank, the start of the left part, the end of the right part. It is out of
+        date if these two no longer are neighbours with those ends.
+        """
+        n, rank = len(piece), self.ranks_of_parts.get
+        wide = n.bit_length()
+        low = (1 << wide) - 1
+        end = list(range(1, n + 1))  # of the part that starts here; 0 if none does
         before = list(range(-1, n - 1))
-        alive = bytearray(b"\x01" * n)
-
-        def pair(i: int, j: int) -> tuple[int, int, int, int] | None:
-            r = rank(piece[i : end[j]])
-            return None if r is None else (r, i, j, end[j])
-
-        heap = [p for i in range(n - 1) if (p := pair(i, i + 1))]
+        heap = []
+        for i in range(n - 1):
+            r = rank(piece[i : i + 2])
+            if r is not None:
+                heap.append((r << wide | i) << wide | (i + 2))
         heapify(heap)
         while heap:
-            _, i, j, stop = heappop(heap)
-            if not (alive[i] and j < n and alive[j] and end[i] == j and end[j] == stop):
+            entry = heappop(heap)
+            stop, i = entry & low, entry >> wide & low
+            j = end[i]
+            if not j or j >= n or end[j] != stop:
                 continue
-            alive[j] = 0
-            end[i] = stop
+            end[i], end[j] = stop, 0
             if stop < n:
                 before[stop] = i
-                if p := pair(i, stop):
-                    heappush(heap, p)
-            if before[i] >= 0 and (p := pair(before[i], i)):
-                heappush(heap, p)
+                r = rank(piece[i : end[stop]])
+                if r is not None:
+                    heappush(heap, (r << wide | i) << wide | end[stop])
+            k = before[i]
+            if k >= 0:
+                r = rank(piece[k:stop])
+                if r is not None:
+                    heappush(heap, (r << wide | k) << wide | stop)
         out, i = [], 0
         while i < n:
             found = rank(piece[i : end[i]])
