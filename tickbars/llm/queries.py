@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import bpe, language, licences, pii, positional, simhash, warc
+from tickbars.llm import bpe, language, licences, mih, pii, positional, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mih.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_mih": op5_mih,
     "op6_language": op6_language,
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
