@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import bpe, language, licences, mih, pii, positional, simhash, warc
+from tickbars.llm import bpe, language, licences, mih, pii, positional, simhash, style_tree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def vocabulary() -> bpe.Vocabulary:
     return bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.page_report(_table(spark, sf_dir, "pages"))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_style_tree": op1_style_tree,
     "op2_pii": op2_pii,
     "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
