@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import bpe, language, licences, mih, pii, positional, simhash, style_tree, warc
+from tickbars.llm import automaton, bpe, language, licences, mih, pii, positional, simhash, style_tree, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +44,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(_table(spark, sf_dir, "documents"))
 
 
+def op7_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op4_simhash": op4_simhash,
     "op5_mih": op5_mih,
     "op6_language": op6_language,
+    "op7_automaton": op7_automaton,
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_licences": op10_licences,
