@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.llm.tools import map_batches, stored
+from tickbars.llm.tools import free_name, map_batches, stored
 
 WINDOW = 10
 # Bytes of text in a segment; a longer document is a segment of its own.
@@ -337,3 +337,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents in which no window of an item occurs, with all their columns."""
+    key = free_name(docs, "key")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    matches = phrase_matches(build_index(keyed, key, text_col), items, window, docs_without=False)
+    hit = stored(matches.select(F.col("doc_id").cast("bigint").alias(key)).distinct(), "hit")
+    return keyed.join(hit, key, "left_anti").drop(key)

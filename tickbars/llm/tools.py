@@ -21,11 +21,23 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
-    """The frame written to the shared folder and read again: cuts the plan and survives lost executors."""
-    path = files.new_dir(df.sparkSession, what)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The frame written to the shared folder and read again: cuts the plan and survives lost executors.
+
+    The shuffle files of the write go with its end; nothing reads them later.
+    """
+    spark = df.sparkSession
+    path = files.new_dir(spark, what)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def free_name(df: DataFrame, name: str) -> str:
