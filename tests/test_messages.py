@@ -45,6 +45,11 @@ def test_payloads(spark):
         ("", "malformed"),
         (None, "malformed"),
         (GOOD[:-1], "malformed"),
+        (GOOD + GOOD, "malformed"),
+        (f"{GOOD},{GOOD}", "malformed"),
+        (GOOD + " x", "malformed"),
+        (json.dumps({**base, "tradeNo": 100.7}), "tradeNo"),
+        (json.dumps({**base, "value": None}), None),
         (json.dumps({**base, "price": "abc"}), "price"),
         (json.dumps({**base, "quantity": "x"}), "quantity"),
         (json.dumps({**base, "price": None}), "price"),

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from zoneinfo import ZoneInfo
 
 import pytest
 
 from helpers import at, by_key
 from test_trades import deals
 from tickbars.plans import backfill, backfill_day, run_job
+from tickbars.plans.backfill import ZONE
 from tickbars.schemas import DEAL
 from tickbars.sinks import candle_table, read_candles
 from tickbars.sources import read_deals_csv, read_deals_jdbc
@@ -59,15 +61,19 @@ def test_jdbc_by_number_range(spark, derby):
 def test_jdbc_by_day(spark, derby):
     days = [dt.date(2021, 9, 1), dt.date(2021, 9, 2), dt.date(2021, 9, 3)]
     df = read_deals_jdbc(spark, derby, driver=DERBY, days=days)
-    assert df.rdd.getNumPartitions() == 3
     assert sorted(r.TRADENO for r in df.collect()) == [0, 1, 2, 3]
-    assert sorted(r.TRADENO for r in read_deals_jdbc(spark, derby, driver=DERBY, days=days[:1]).collect()) == [0, 2]
+    one = read_deals_jdbc(spark, derby, driver=DERBY, days=days[:1], num_partitions=2)
+    assert sorted(r.TRADENO for r in one.collect()) == [0, 2]
+    assert [n for n in one.rdd.glom().map(len).collect() if n] == [1, 1]
+    whole = read_deals_jdbc(spark, derby, driver=DERBY, days=days, partition_on=None)
+    assert whole.rdd.getNumPartitions() == 3 and whole.count() == 4
+    assert read_deals_jdbc(spark, derby, driver=DERBY, days=[]).count() == 0
 
 
 def test_day_filter_reaches_the_database(spark, derby):
     made = backfill_day(read_deals_jdbc(spark, derby, driver=DERBY), dt.date(2021, 9, 2))
     plan = made._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(TRADEDATE,02.09.2021)" in plan.replace("*", "")
+    assert "In(TRADEDATE" in plan.replace("*", "")
     assert set(by_key(made)) == {(at(10, 0, day=2), "SBER")}
 
 
@@ -89,4 +95,4 @@ def test_job(spark, tmp_path):
 
 def test_yesterday_is_the_default(spark):
     plan = backfill_day(deals(spark))._jdf.queryExecution().analyzed().toString()
-    assert (dt.date.today() - dt.timedelta(days=1)).strftime("%d.%m.%Y") in plan
+    assert (dt.datetime.now(ZoneInfo(ZONE)).date() - dt.timedelta(days=1)).strftime("%d.%m.%Y") in plan

@@ -85,11 +85,13 @@ def test_problems(spark):
         trade(6, "10:00:00", value=1e19),
         trade(7, "10:00:99"),
         trade(8, "10:00:00"),
+        trade(9, "10:00:00", value=None),
     ]
     df = trades(spark, rows)
     bad = {r.tradeNo: r.problem for r in op.invalid_trades(df).collect()}
     assert bad == {None: "tradeNo", 2: "secId", 3: "price", 4: "price", 5: "value", 6: "value", 7: "time"}
-    assert [r.tradeNo for r in op.valid_trades(df).collect()] == [8]
+    assert [r.tradeNo for r in op.valid_trades(df).collect()] == [8, 9]
+    assert [r.value for r in op.candles(op.valid_trades(df)).collect()] == [100]
 
 
 def test_dedup_is_whole_and_does_not_depend_on_order(spark):
@@ -117,10 +119,11 @@ def test_day_filter_reaches_the_scan(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "deals"))
     day = op.deals_to_trades(op.filter_day(stored, dt.date(2021, 9, 2)))
     assert sorted(r.tradeNo for r in day.collect()) == [1, 3]
-    parsed = op.filter_day(stored, dt.date(2021, 9, 2), padded=False)
-    assert sorted(r.TRADENO for r in parsed.collect()) == [1, 3]
+    bare = stored.withColumn("TRADEDATE", F.regexp_replace("TRADEDATE", "(^|[.])0", "$1"))
+    both = op.filter_day(stored.union(bare), dt.date(2021, 9, 2))
+    assert sorted(r.TRADENO for r in both.collect()) == [1, 1, 3, 3]
     plan = op.candles(op.valid_trades(day))._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(TRADEDATE,02.09.2021)" in plan
+    assert "In(TRADEDATE, [02.09.2021,02.9.2021,2.09.2021,2.9.2021])" in plan
     schema = plan[plan.index("ReadSchema") :]
     assert "BOARDID" not in schema and "QUANTITY" not in schema
 
@@ -128,4 +131,5 @@ def test_day_filter_reaches_the_scan(spark, tmp_path):
 def test_shift_and_text_of_days(spark):
     row = spark.range(1).select(TF.iso_day(TF.shift_day(F.lit(dt.date(2021, 3, 1)), -1)).alias("d")).first()
     assert row.d == "2021-02-28"
-    assert TF.day_text(dt.date(2021, 9, 1)) == "01.09.2021"
+    assert TF.day_spellings(dt.date(2021, 9, 1)) == ["01.09.2021", "01.9.2021", "1.09.2021", "1.9.2021"]
+    assert TF.day_spellings(dt.date(2021, 12, 31)) == ["31.12.2021"]

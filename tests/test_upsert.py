@@ -10,7 +10,16 @@ from helpers import at, by_key, trade, trades
 from tickbars import files
 from tickbars import operators as op
 from tickbars.schemas import CANDLE, CANDLE_KEYS
-from tickbars.sinks import UpsertDataSource, candle_table, merge_candles, read_candles, save_candles
+from tickbars.sinks import (
+    UpsertDataSource,
+    candle_database,
+    candle_table,
+    clean_table,
+    merge_candles,
+    read_candles,
+    save_candles,
+    tables,
+)
 from tickbars.sinks.upsert_source import UpsertWriter, upsert_statement
 
 
@@ -57,6 +66,10 @@ def days_of(df):
     return {(r.trade_date.day, r.ticker): r.close for r in df.collect()}
 
 
+def folders(spark, path, day):
+    return [m for m in files.children(spark, f"{path}/data") if files.is_dir(spark, f"{path}/data/{m}/trade_date={day}")]
+
+
 def test_merge_touches_its_days_only(spark, tmp_path):
     path = str(tmp_path / "candles")
     assert days_of(read_candles(spark, path)) == {}
@@ -66,19 +79,79 @@ def test_merge_touches_its_days_only(spark, tmp_path):
     want = {(1, "A"): 1.0, (2, "A"): 2.0, (3, "B"): 2.0}
     assert days_of(read_candles(spark, path)) == want
     assert days_of(begun) == {(1, "A"): 1.0, (2, "A"): 1.0}
-    assert files.children(spark, f"{path}/trade_date=2021-09-01") == ["version=1"]
+    assert len(folders(spark, path, "2021-09-01")) == 1 and len(folders(spark, path, "2021-09-02")) == 2
     merge_candles(frame(spark, [candle("B", 5.0, at(10, 0, day=3))]), path, "keep_first")
     merge_candles(frame(spark, []), path)
     assert days_of(read_candles(spark, path)) == want
     assert days_of(read_candles(spark, path, [dt.date(2021, 9, 2), dt.date(2021, 9, 9)])) == {(2, "A"): 2.0}
 
 
-def test_replaced_versions_do_not_pile_up(spark, tmp_path):
-    path = str(tmp_path / "candles")
+def test_replaced_folders_go_by_age(spark, tmp_path):
+    path, short = str(tmp_path / "candles"), str(tmp_path / "short")
     for i in range(4):
-        merge_candles(frame(spark, [candle("A", float(i)), candle(f"T{i}", 1.0)]), path)
-    assert sorted(files.children(spark, f"{path}/trade_date=2021-09-01")) == ["version=3", "version=4"]
-    assert closes(read_candles(spark, path)) == {"A": 3.0, "T0": 1.0, "T1": 1.0, "T2": 1.0, "T3": 1.0}
+        rows = frame(spark, [candle("A", float(i)), candle(f"T{i}", 1.0)])
+        merge_candles(rows, path)
+        merge_candles(rows, short, keep_hours=0.0)
+    want = {"A": 3.0, "T0": 1.0, "T1": 1.0, "T2": 1.0, "T3": 1.0}
+    assert closes(read_candles(spark, path)) == closes(read_candles(spark, short)) == want
+    assert len(folders(spark, path, "2021-09-01/hour=10")) == 4
+    # The one that holds the candles, and the one that the last merge has replaced.
+    assert len(folders(spark, short, "2021-09-01/hour=10")) == 2
+
+
+def test_a_slow_reader_still_reads(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    merge_candles(frame(spark, [candle("A", 0.0)]), path)
+    begun = read_candles(spark, path)
+    for i in range(3):
+        merge_candles(frame(spark, [candle("A", 1.0 + i)]), path)
+    assert closes(begun) == {"A": 0.0}
+
+
+@pytest.mark.parametrize("hour", [10, 11])
+def test_two_writers_both_survive(spark, tmp_path, monkeypatch, hour):
+    path = str(tmp_path / "candles")
+    merge_candles(frame(spark, [candle("OLD", 1.0)]), path)
+    real, times = tables._write, []
+
+    def between(*args):
+        times.append(1)
+        out = real(*args)
+        if len(times) == 1:  # the other writer's whole merge lies between this one's files and its commit
+            merge_candles(frame(spark, [candle("OTHER", 2.0, at(hour, 0))]), path)
+        return out
+
+    monkeypatch.setattr(tables, "_write", between)
+    merge_candles(frame(spark, [candle("MINE", 3.0)]), path)
+    assert closes(read_candles(spark, path)) == {"OLD": 1.0, "OTHER": 2.0, "MINE": 3.0}
+    # Written anew only if the other one had touched the same hour.
+    assert len(times) == (3 if hour == 10 else 2)
+    orphans = clean_table(spark, path, keep_hours=-1.0)
+    assert len(orphans) == (1 if hour == 10 else 0)
+    assert len(read_candles(spark, path).collect()) == 3
+
+
+def test_a_writer_that_died_between_number_and_name(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "candles")
+    merge_candles(frame(spark, [candle("A", 1.0)]), path)
+    assert files.create_text(spark, f"{path}/commits/000000000002", "")
+    monkeypatch.setattr(tables._Table._said, "__defaults__", (0.1,))
+    assert closes(read_candles(spark, path)) == {"A": 1.0}
+    merge_candles(frame(spark, [candle("B", 1.0)]), path)
+    assert closes(read_candles(spark, path)) == {"A": 1.0, "B": 1.0}
+
+
+def test_a_merge_reads_and_writes_its_hours_only(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    rows = [candle(f"T{i}", 1.0, at(h, 0)) for h in range(8, 20) for i in range(20)]
+    merge_candles(frame(spark, rows), path, files_per_hour=2)
+    first = set(files.children(spark, f"{path}/data"))
+    merge_candles(frame(spark, [candle("T0", 2.0, at(12, 5))]), path, files_per_hour=2)
+    (merge,) = set(files.children(spark, f"{path}/data")) - first
+    assert files.children(spark, f"{path}/data/{merge}/trade_date=2021-09-01") == ["hour=12"]
+    parts = files.children(spark, f"{path}/data/{first.pop()}/trade_date=2021-09-01/hour=9")
+    assert 1 <= len([p for p in parts if p.endswith(".parquet")]) <= 2
+    assert read_candles(spark, path).count() == 12 * 20 + 1
 
 
 @pytest.mark.parametrize("policy", ["keep_first", "replace"])
@@ -143,6 +216,21 @@ def test_nulls_are_written_as_null(spark, tmp_path):
     assert stored(path)[str(at(10, 0)), "A"][3] is None
 
 
+def test_large_turnover_is_saved(spark, tmp_path):
+    path = database(tmp_path)
+    rows = [trade(1, "10:00:00", 5.0, 3e9, sec="BIG"), trade(2, "10:00:00", 5.0, 2.0, sec="SMALL")]
+    made = op.candles(op.valid_trades(trades(spark, rows)))
+    assert save_candles(made, url=path, **OPTIONS) == 0
+    assert stored(path)[str(at(10, 0)), "BIG"][4] == 3_000_000_000
+    candle_database(url=path, **OPTIONS)(made, 1)
+    narrow = {"kind": "decimal(10,2)", "url": path, **OPTIONS}
+    with pytest.raises(Exception):
+        save_candles(made, "replace", **narrow)
+    aside = str(tmp_path / "aside")
+    assert save_candles(made, "replace", misfits=aside, **narrow) == 1
+    assert [r.ticker for r in spark.read.parquet(aside).collect()] == ["BIG"]
+
+
 def test_stream_into_database(spark, tmp_path):
     path = database(tmp_path)
     frame(spark, [candle("A", 1.0), candle("B", 1.0)]).write.parquet(str(tmp_path / "in"))
@@ -165,14 +253,14 @@ def test_only_append(spark, tmp_path):
 def test_required_options(missing):
     options = {"url": "x", "tableName": "CANDLES", "keys": "DATETIME"}
     del options[missing]
-    with pytest.raises(ValueError, match=f"{missing} option must be set"):
+    with pytest.raises(ValueError, match=f"needs {missing}"):
         UpsertWriter(CANDLE, options)
 
 
 @pytest.mark.parametrize("kind", [T.BinaryType(), T.NullType(), T.ArrayType(T.LongType()), T.DayTimeIntervalType()])
 def test_unsupported_types(kind):
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("x", kind)])
-    with pytest.raises(ValueError, match="field x"):
+    with pytest.raises(ValueError, match="cannot hold x"):
         UpsertWriter(schema, {"url": "x", "tableName": "t", "keys": "k"})
 
 

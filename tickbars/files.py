@@ -1,10 +1,14 @@
-"""Folders that every executor can reach."""
+"""Folders that every executor can reach.
+
+Listing and deleting go through the driver's JVM, which Spark Connect sessions do not have.
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -40,10 +44,34 @@ def is_dir(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath) and fs.getFileStatus(jpath).isDirectory()
 
 
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder; none if it does not exist."""
+def children(spark: SparkSession, path: str, older_than: float | None = None) -> list[str]:
+    """Names in a folder, of all or of those last changed before a time; none if it does not exist."""
+    fs, jpath = _fs(spark, path)
+    found = fs.listStatus(jpath) if fs.exists(jpath) else []
+    return [s.getPath().getName() for s in found if older_than is None or s.getModificationTime() / 1000 < older_than]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, jpath = _fs(spark, path)
+    stream = fs.open(jpath)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a file with this content; False if there is one of that name."""
     fs, jpath = _fs(spark, path)
-    return [s.getPath().getName() for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+    try:
+        stream = fs.create(jpath, False)
+    except Py4JJavaError as e:
+        if fs.exists(jpath) and "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    return True
 
 
 def delete(spark: SparkSession, path: str) -> None:

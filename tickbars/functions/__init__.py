@@ -3,7 +3,7 @@
 from tickbars.functions.messages import event_header_in, json_null, status_label
 from tickbars.functions.time import (
     bucket_start,
-    day_text,
+    day_spellings,
     event_time,
     from_instant,
     hour_text,
@@ -18,7 +18,7 @@ from tickbars.functions.values import trade_order, whole_value
 
 __all__ = [
     "bucket_start",
-    "day_text",
+    "day_spellings",
     "event_header_in",
     "event_time",
     "from_instant",

@@ -104,6 +104,7 @@ def iso_day(day: Column | str) -> Column:
     return _col(day).cast("string")
 
 
-def day_text(day: dt.date) -> str:
-    """dd.MM.yyyy text of a Python date, as the trades table stores it."""
-    return day.strftime("%d.%m.%Y")
+def day_spellings(day: dt.date) -> list[str]:
+    """The texts of a Python date that the trades table may hold: dd.MM.yyyy, each part with or without its zero."""
+    days, months = ({f"{n:02d}", str(n)} for n in (day.day, day.month))
+    return sorted(f"{d}.{m}.{day.year:04d}" for d in days for m in months)

@@ -3,6 +3,7 @@
 from tickbars.operators.candles import (
     candles,
     cast_serving,
+    serving_split,
     day_series,
     explode_series,
     microbatch_candles,
@@ -12,6 +13,7 @@ from tickbars.operators.columns import with_once
 from tickbars.operators.messages import decode_trades, drop_null_messages, filter_events, to_messages
 from tickbars.operators.progress import batch_sizes, count_of, counted, latest_offsets, offset_ranges
 from tickbars.operators.trades import (
+    CANDLE_INPUTS,
     deals_to_trades,
     dedup_trades,
     dup_trades,
@@ -26,6 +28,7 @@ from tickbars.operators.trades import (
 from tickbars.operators.upsert import upsert
 
 __all__ = [
+    "CANDLE_INPUTS",
     "batch_sizes",
     "candles",
     "cast_serving",
@@ -46,6 +49,7 @@ __all__ = [
     "microbatch_candles",
     "offset_ranges",
     "ordered_candles",
+    "serving_split",
     "time_key",
     "to_messages",
     "upsert",

@@ -75,9 +75,20 @@ def microbatch_candles(
     )
 
 
-def cast_serving(df: DataFrame) -> DataFrame:
-    """Candles in the types of the serving table: all five numbers decimal(10,2)."""
-    return df.select(*CANDLE_KEYS, *[F.col(c).cast("decimal(10,2)").alias(c) for c in [*_OHLC, "value"]])
+# Holds every candle: prices and turnover stay below 2^63.
+WIDE = "decimal(21,2)"
+
+
+def cast_serving(df: DataFrame, kind: str = "decimal(10,2)") -> DataFrame:
+    """Candles in the types of the serving table: all five numbers as decimals. A number that does not fit stops the query."""
+    return df.select(*CANDLE_KEYS, *[F.col(c).cast(kind).alias(c) for c in [*_OHLC, "value"]])
+
+
+def serving_split(df: DataFrame, kind: str = "decimal(10,2)") -> tuple[DataFrame, DataFrame]:
+    """Candles that fit the decimals of a serving table, cast, and those that do not, as they are."""
+    numbers = [*_OHLC, "value"]
+    fits = " and ".join(f"(`{c}` is null or try_cast(`{c}` as {kind}) is not null)" for c in numbers)
+    return cast_serving(df.where(fits), kind), df.where(f"not ({fits})")
 
 
 def day_series(df: DataFrame) -> DataFrame:

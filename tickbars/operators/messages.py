@@ -12,11 +12,9 @@ from tickbars.functions.messages import EVENT_HEADER, event_header_in, json_null
 from tickbars.operators.columns import with_once
 from tickbars.schemas import TRADE
 
-_CORRUPT = "_corrupt_record"
-# Numbers are read as text and cast, so that 12.5 and "12.5" are both taken.
-_PAYLOAD = T.StructType([T.StructField(f.name, T.StringType()) for f in TRADE.fields]).add(
-    _CORRUPT, T.StringType()
-)
+# Numbers are read as text and cast, so that 12.5 and "12.5" are both taken. A payload is read as the only
+# element of an array: what follows an object, a second one too, then makes the text malformed.
+_PAYLOAD = T.ArrayType(T.StructType([T.StructField(f.name, T.StringType()) for f in TRADE.fields]))
 _POSITION = ("topic", "partition", "offset")
 
 
@@ -57,9 +55,9 @@ def decode_trades(messages: DataFrame) -> DataFrame:
     """
     position = [c for c in _POSITION if c in messages.columns]
     text = messages.select(*position, F.col("value").cast("string").alias("payload"))
-    record = F.from_json("payload", _PAYLOAD, {"columnNameOfCorruptRecord": _CORRUPT})
-    parsed = with_once(text, "r", record)
-    problems = [f"when r is null or r.{_CORRUPT} is not null then 'malformed'"]
+    records = F.from_json(F.concat(F.lit("["), "payload", F.lit("]")), _PAYLOAD)
+    parsed = with_once(text, "r", F.when(F.size(records) == 1, F.get(records, 0)))
+    problems = ["when r is null then 'malformed'"]
     columns = []
     for f in TRADE.fields:
         kind = f.dataType.simpleString()
@@ -68,8 +66,9 @@ def decode_trades(messages: DataFrame) -> DataFrame:
             continue
         value = f"try_cast(r.{f.name} as {kind})"
         if kind != "double":
-            # 100.0 is a whole number too.
-            value = f"coalesce({value}, try_cast(try_cast(r.{f.name} as decimal(38,10)) as {kind}))"
+            # 100.0 is a whole number too, 100.7 is none.
+            exact = f"try_cast(r.{f.name} as decimal(38,10))"
+            value = f"coalesce({value}, case when {exact} = floor({exact}) then try_cast({exact} as {kind}) end)"
         columns.append(f"{value} as {f.name}")
         problems.append(f"when r.{f.name} is not null and {value} is null then '{f.name}'")
     problem = f"case {' '.join(problems)} end as problem"

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.functions import day_text, event_time, hour_text, tick_number, trade_day
+from tickbars.functions import day_spellings, event_time, hour_text, tick_number, trade_day
 from tickbars.operators.columns import with_once
 from tickbars.schemas import TRADE
 
@@ -35,29 +35,27 @@ def time_key(trades: DataFrame, minutes: int = 5) -> DataFrame:
     )
 
 
-def filter_day(df: DataFrame, day: dt.date, column: str = "TRADEDATE", padded: bool = True) -> DataFrame:
-    """Trades of one day.
+def filter_day(df: DataFrame, day: dt.date, column: str = "TRADEDATE") -> DataFrame:
+    """Trades of one day, however its parts are padded.
 
-    `padded` compares the stored text, which JDBC, Parquet and ORC sources can evaluate themselves.
-    Set it to False where days may be written without leading zeros: the text is then parsed.
+    Compares the stored text with all spellings, which JDBC, Parquet and ORC sources can evaluate themselves.
     """
-    if padded:
-        return df.where(F.col(column) == day_text(day))
-    return df.where(trade_day(column) == F.lit(day))
+    return df.where(F.col(column).isin(*day_spellings(day)))
 
 
 # A bigint turnover holds less than 2^63. NaN is not below it: Spark orders it above every number.
 _LIMIT = "9223372036854775808D"
-# A plain conjunction, so that each part can be moved towards the source on its own.
+# A plain conjunction, so that each part can be moved towards the source on its own. A trade without a value
+# counts with a turnover of 0: its price still belongs to the candle.
 _USABLE = (
-    f"tradeNo is not null and secId is not null and abs(price) < {_LIMIT} and abs(value) < {_LIMIT} "
-    "and dt is not null"
+    f"tradeNo is not null and secId is not null and abs(price) < {_LIMIT} "
+    f"and (value is null or abs(value) < {_LIMIT}) and dt is not null"
 )
 _PROBLEM = f"""case
     when tradeNo is null then 'tradeNo'
     when secId is null then 'secId'
     when price is null or abs(price) >= {_LIMIT} then 'price'
-    when value is null or abs(value) >= {_LIMIT} then 'value'
+    when abs(value) >= {_LIMIT} then 'value'
     when dt is null then 'time'
 end"""
 
@@ -100,13 +98,20 @@ def dup_trades(trades: DataFrame) -> DataFrame:
     return trades.groupBy("tradeNo").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def dedup_trades(trades: DataFrame) -> DataFrame:
+# What a candle is made of.
+CANDLE_INPUTS = ["tradeNo", "secId", "price", "value", "dt"]
+
+
+def dedup_trades(trades: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per trade number.
 
     Batch: of rows that differ, the least by its other columns; copies are folded on the map side, so
-    a trade that was sent very often costs one row per task in the shuffle. Stream: the first to
-    arrive within the watermark.
+    a trade that was sent very often costs one row per task in the shuffle. `columns` (CANDLE_INPUTS for
+    candles) leaves the others unread. Stream: the first to arrive within the watermark. In a per-batch job
+    each batch is a frame of its own, so a number that comes again in a later batch is not noticed.
     """
+    if columns is not None:
+        trades = trades.select(*columns)
     if trades.isStreaming:
         return trades.dropDuplicatesWithinWatermark(["tradeNo"])
     rest = [c for c in trades.columns if c != "tradeNo"]

@@ -83,7 +83,6 @@ def _candles(name: str, minutes: int, order: str = "wide") -> None:
 
 for _minutes in (1, 5, 15, 60):
     _candles(f"candles_{_minutes}m", _minutes)
-_candles("candles_wide_key", 5, order="wide")
 _candles("candles_packed_key", 5, order="packed")
 
 
@@ -216,7 +215,18 @@ def day_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("day_filter_parsed", f"with {_T} select {_TRADE_ROW} from t where cast(dt as date) = date '{DAY}'")
 def day_filter_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.filter_day(inputs.trades(spark, sf_dir), DAY, "tradeDate", padded=False)
+    return inputs.trades(spark, sf_dir).where(TF.trade_day("tradeDate") == F.lit(DAY))
+
+
+@query(
+    "day_filter_spellings",
+    f"""with {_T}, r as (select {_TRADE_ROW}, dt, board in ('B1', 'B3') as bare from t)
+    select * exclude (dt, bare) replace (if(bare, strftime(dt, '%-d.%-m.%Y'), "tradeDate") as "tradeDate")
+    from r where cast(dt as date) = date '{DAY}'""",
+)
+def day_filter_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the users send days without leading zeros."""
+    return op.filter_day(inputs.mixed_days(inputs.trades(spark, sf_dir)), DAY, "tradeDate")
 
 
 @query(
@@ -251,7 +261,7 @@ def dedup_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dedup_candles", f"with {_T} {_candle_sql()}")
 def dedup_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.candles(op.dedup_trades(op.valid_trades(_sent_twice(spark, sf_dir))))
+    return op.candles(op.dedup_trades(op.valid_trades(_sent_twice(spark, sf_dir)), op.CANDLE_INPUTS))
 
 
 # ---------------------------------------------------------------- messages

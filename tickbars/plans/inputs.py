@@ -45,6 +45,12 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades_of(events(spark, sf_dir))
 
 
+def mixed_days(df: DataFrame) -> DataFrame:
+    """The same trades, of which those of every other user have days without leading zeros."""
+    bare = F.regexp_replace("tradeDate", "(^|[.])0", "$1")
+    return df.withColumn("tradeDate", F.when(F.col("boardId").isin("B1", "B3"), bare).otherwise(F.col("tradeDate")))
+
+
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as rows of the raw trades table."""
     lower = {f.name.upper(): F.col(f.name) for f in TRADE.fields}

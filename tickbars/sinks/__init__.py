@@ -2,7 +2,7 @@
 
 from tickbars.sinks.messages import write_messages
 from tickbars.sinks.records import append_ledger, append_metric, ledger_rows, metric_row
-from tickbars.sinks.tables import candle_table, merge_candles, read_candles
+from tickbars.sinks.tables import candle_table, clean_table, merge_candles, read_candles
 from tickbars.sinks.upsert_source import UpsertDataSource, candle_database, save_candles
 
 __all__ = [
@@ -11,6 +11,7 @@ __all__ = [
     "append_metric",
     "candle_database",
     "candle_table",
+    "clean_table",
     "ledger_rows",
     "merge_candles",
     "metric_row",

@@ -1,14 +1,20 @@
-"""Candle table on Parquet files: a folder per day, and in it one per version of that day.
+"""Candle table on Parquet files: an immutable folder per merge and hour, and numbered commits.
 
-A merge writes the days it touches once, as a new version; a version folder comes into place by one
-rename. Readers take the newest version of each day, so they never meet a half-written one (on file
-systems with atomic rename; on object stores use a table format). A merge that was cut short is simply
-run again. One writer at a time.
+A commit names, for every hour of the table, the folders that hold it now. It is made by creating its number, which
+succeeds for one writer only; the others read the table again and merge once more if the hours they touch have
+changed meanwhile. Readers take the newest commit, so a merge becomes visible as a whole, however many days it
+touches. What a commit no longer names is deleted after `keep_hours`, which is the time that a reader has.
+
+Creating a number has to be exclusive, which HDFS and local file systems are; on object stores use a table format.
+Folders of a merge that was cut short are named by no commit; `clean_table` removes them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
+import time
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
@@ -19,73 +25,154 @@ from tickbars import files
 from tickbars.operators.upsert import check_policy, upsert
 from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_TABLE
 
-
-def _versions(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> dict[dt.date, list[int]]:
-    """Stored versions per day, oldest first. Lists folders only."""
-    if days is None:
-        names = files.children(spark, path)
-        days = [dt.date.fromisoformat(n.partition("=")[2]) for n in names if n.startswith("trade_date=")]
-    found = {}
-    for day in days:
-        names = files.children(spark, f"{path}/trade_date={day}")
-        found[day] = sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
-    return {d: v for d, v in found.items() if v}
+# How long a replaced folder stays for those who read it.
+KEEP_HOURS = 24.0
+_TRIES = 50
+
+
+def _hour(unit: str) -> str:
+    """Place of an hour below a merge's folder; units read 2024-01-10T05."""
+    day, _, hour = unit.partition("T")
+    return f"trade_date={day}/hour={int(hour)}"
+
+
+class _Table:
+    """The commits of a table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def newest(self) -> tuple[int, dict]:
+        """Number and content of the newest commit; 0 if there is none."""
+        numbers = sorted((int(n) for n in files.children(self.spark, f"{self.path}/commits")), reverse=True)
+        for n in numbers:
+            name = files.read_text(self.spark, f"{self.path}/commits/{n:012d}").strip()
+            if name:  # else its writer is about to say so, or has died
+                return n, json.loads(files.read_text(self.spark, f"{self.path}/states/{name}"))
+        return 0, {"hours": {}, "retired": []}
+
+    def commit(self, after: int, state: dict) -> bool:
+        """Makes the next commit; False if another writer has made it."""
+        name = f"{uuid.uuid4().hex}.json"
+        files.create_text(self.spark, f"{self.path}/states/{name}", json.dumps(state))
+        number = after + 1
+        while not files.create_text(self.spark, f"{self.path}/commits/{number:012d}", name):
+            if self._said(number):
+                files.delete(self.spark, f"{self.path}/states/{name}")
+                return False
+            number += 1  # its writer has died without a word
+        self._forget(number)
+        return True
+
+    def _said(self, number: int, seconds: float = 5.0) -> bool:
+        """Whether a commit that exists has a content, or gets one within some seconds."""
+        until = time.monotonic() + seconds
+        while not files.read_text(self.spark, f"{self.path}/commits/{number:012d}").strip():
+            if time.monotonic() > until:
+                return False
+            time.sleep(0.05)
+        return True
+
+    def _forget(self, number: int, keep: int = 200) -> None:
+        """Removes commits that are long past, with their states."""
+        for name in files.children(self.spark, f"{self.path}/commits"):
+            if int(name) <= number - keep:
+                state = files.read_text(self.spark, f"{self.path}/commits/{name}").strip()
+                files.delete(self.spark, f"{self.path}/commits/{name}")
+                if state:
+                    files.delete(self.spark, f"{self.path}/states/{state}")
+
+
+def _read(spark: SparkSession, path: str, folders: Iterable[str]) -> DataFrame:
+    found = [f"{path}/data/{f}" for f in folders]
+    stored = spark.read.schema(CANDLE).parquet(*found) if found else spark.createDataFrame([], CANDLE)
+    return stored.select(*CANDLE.names, F.to_date("datetime").alias("trade_date"))
 
 
 def read_candles(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> DataFrame:
-    """The newest version of the given days, of all days by default."""
-    newest = {d: v[-1] for d, v in _versions(spark, path, days).items()}
-    if not newest:
-        return spark.createDataFrame([], CANDLE_TABLE)
-    folders = [f"{path}/trade_date={d}/version={v}" for d, v in newest.items()]
-    stored = spark.read.schema(CANDLE_TABLE).option("basePath", path).parquet(*folders)
-    return stored.select(*CANDLE_TABLE.names)
-
-
-def merge_candles(incoming: DataFrame, path: str, policy: str = "replace") -> None:
+    """The candles of the given days, of all days by default, as the newest commit has them."""
+    hours = _Table(spark, path).newest()[1]["hours"]
+    wanted = None if days is None else {str(d) for d in days}
+    folders = [f for unit, fs in hours.items() if wanted is None or unit[:10] in wanted for f in fs]
+    return _read(spark, path, folders) if folders else spark.createDataFrame([], CANDLE_TABLE)
+
+
+def _units(df: DataFrame) -> list[str]:
+    """Hours that candles fall into: a small list however many candles there are."""
+    unit = F.date_format("datetime", "yyyy-MM-dd'T'HH")
+    return sorted(r[0] for r in df.select(unit.alias("unit")).distinct().collect())
+
+
+def _write(df: DataFrame, path: str, units: list[str], files_per_hour: int) -> dict[str, list[str]]:
+    """A new folder with these hours. Dealt out by hour and salt: adaptive execution is off in stateful batches."""
+    merge = uuid.uuid4().hex
+    out = df.withColumns({"trade_date": F.to_date("datetime"), "hour": F.hour("datetime")})
+    salt = F.pmod(F.xxhash64("ticker"), F.lit(files_per_hour))
+    out = out.repartition(max(1, len(units) * files_per_hour), "trade_date", "hour", salt)
+    out.write.partitionBy("trade_date", "hour").parquet(f"{path}/data/{merge}")
+    return {unit: [f"{merge}/{_hour(unit)}"] for unit in units}
+
+
+def merge_candles(
+    incoming: DataFrame,
+    path: str,
+    policy: str = "replace",
+    files_per_hour: int = 1,
+    keep_hours: float = KEEP_HOURS,
+) -> None:
     """Upserts candles, unique by (datetime, ticker), into the table at `path`.
 
-    Only the days that `incoming` touches are read and written. The version that a merge replaces is
-    kept until the day is merged again, for readers that have begun.
+    Only the hours that `incoming` touches are read and written. Any number of writers may merge at the same time.
     """
     check_policy(policy)
     spark = incoming.sparkSession
-    fresh = incoming.select(*CANDLE.names)
-    if not files.children(spark, path):
-        _write_version(fresh, path, 1)
-        return
-    # Read for its days and for the merge. Blocks that are lost are computed again.
-    fresh = fresh.persist(StorageLevel.MEMORY_AND_DISK)
+    table = _Table(spark, path)
+    # Read for its hours and for the merge. Blocks that are lost are computed again.
+    fresh = incoming.select(*CANDLE.names).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # Calendar days: a small list however many candles there are.
-        days = [r[0] for r in fresh.select(F.to_date("datetime")).distinct().collect()]
-        if not days:
+        units = _units(fresh)
+        if not units:
             return
-        stored = _versions(spark, path, days)
-        merged = fresh
-        if stored:
-            # Without trade_date among the keys: candles come hashed by these two already.
-            before = read_candles(spark, path, list(stored)).drop("trade_date")
-            merged = upsert(before, fresh, CANDLE_KEYS, policy)
-        _write_version(merged, path, 1 + max((v[-1] for v in stored.values()), default=0))
-        for day, old in stored.items():
-            for v in old[:-1]:
-                files.delete(spark, f"{path}/trade_date={day}/version={v}")
+        written: dict[str, list[str]] = {}
+        base: dict[str, list[str]] = {}
+        for _ in range(_TRIES):
+            number, state = table.newest()
+            here = {u: state["hours"][u] for u in units if u in state["hours"]}
+            if not written or here != base:
+                merged, base = fresh, here
+                if here:
+                    # Without trade_date among the keys: candles come hashed by these two already.
+                    before = _read(spark, path, [f for fs in here.values() for f in fs]).drop("trade_date")
+                    merged = upsert(before, fresh, CANDLE_KEYS, policy)
+                written = _write(merged, path, units, files_per_hour)
+            now = time.time()
+            old = [[f, now] for fs in here.values() for f in fs]
+            late = [f for f, at in state["retired"] if at < now - keep_hours * 3600]
+            kept = [x for x in state["retired"] if x[0] not in late]
+            if table.commit(number, {"hours": {**state["hours"], **written}, "retired": kept + old}):
+                for folder in late:
+                    files.delete(spark, f"{path}/data/{folder}")
+                return
+        raise RuntimeError(f"{path} has changed {_TRIES} times while it was merged into")
     finally:
         fresh.unpersist()
 
 
-def _write_version(df: DataFrame, path: str, version: int) -> None:
-    # Files by day; adaptive execution splits large days and joins small ones.
-    out = df.withColumns({"trade_date": F.to_date("datetime"), "version": F.lit(version)}).hint("rebalance", "trade_date")
-    writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("trade_date", "version").parquet(path)
+def clean_table(spark: SparkSession, path: str, keep_hours: float = KEEP_HOURS) -> list[str]:
+    """Removes folders of merges that were never committed and are older than so many hours; gives their names."""
+    state = _Table(spark, path).newest()[1]
+    named = {f.partition("/")[0] for fs in state["hours"].values() for f in fs} | {f.partition("/")[0] for f, _ in state["retired"]}
+    old = files.children(spark, f"{path}/data", older_than=time.time() - keep_hours * 3600)
+    gone = [merge for merge in old if merge not in named]
+    for merge in gone:
+        files.delete(spark, f"{path}/data/{merge}")
+    return gone
 
 
-def candle_table(path: str, policy: str = "replace") -> Callable[[DataFrame, int], None]:
+def candle_table(path: str, policy: str = "replace", **how: float) -> Callable[[DataFrame, int], None]:
     """Sink for `start_candles`: merges each batch. Both policies bear a batch that runs again."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        merge_candles(batch, path, policy)
+        merge_candles(batch, path, policy, **how)
 
     return sink

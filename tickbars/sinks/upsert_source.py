@@ -15,8 +15,10 @@ import importlib
 import itertools
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
@@ -26,7 +28,8 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tickbars.operators.candles import cast_serving
+from tickbars.operators.candles import WIDE, cast_serving, serving_split
+from tickbars.operators.progress import count_of, counted
 from tickbars.operators.upsert import check_policy
 
 _TYPES = (
@@ -71,10 +74,10 @@ class UpsertWriter(DataSourceWriter, DataSourceStreamWriter):
     def __init__(self, schema: T.StructType, options: dict[str, str]):
         for name in ("url", "tableName", "keys"):
             if not options.get(name):
-                raise ValueError(f"{name} option must be set")
+                raise ValueError(f"the upsert source needs {name}")
         for f in schema.fields:
             if not isinstance(f.dataType, _TYPES):
-                raise ValueError(f"field {f.name} of type {f.dataType.simpleString()} is not supported")
+                raise ValueError(f"a database parameter cannot hold {f.name}, a {f.dataType.simpleString()}")
         self.module = options.get("module", "psycopg2")
         self.url = options["url"]
         self.connect_args = json.loads(options.get("connectArgs", "{}"))
@@ -137,7 +140,7 @@ class UpsertDataSource(DataSource):
 
     def writer(self, schema: T.StructType, overwrite: bool) -> UpsertWriter:
         if overwrite:
-            raise ValueError("only mode append is supported")
+            raise ValueError("the upsert source appends by key; it replaces no table")
         return UpsertWriter(schema, dict(self._plain_options()))
 
     def streamWriter(self, schema: T.StructType, overwrite: bool) -> UpsertWriter:
@@ -151,24 +154,46 @@ class UpsertDataSource(DataSource):
 
 
 def save_candles(
-    df: DataFrame, policy: str = "keep_first", connections: int | None = None, **options: str
-) -> None:
-    """Candles into a serving table through the `upsert` source, in the table's decimal types.
-
-    `connections` bounds how many tasks write, and so how many connections are open at once.
+    df: DataFrame,
+    policy: str = "keep_first",
+    connections: int | None = None,
+    kind: str = WIDE,
+    misfits: str | None = None,
+    **options: str,
+) -> int:
+    """Candles into a serving table through the `upsert` source.
+
+    The five numbers go as decimals of `kind`, by default one that holds every candle. With a narrower kind, candles
+    that do not fit stop the write, unless `misfits` names a Parquet table for them: then they are set aside there and
+    their number is returned. `connections` bounds how many tasks write, and so how many connections are open at once.
     """
     df.sparkSession.dataSource.register(UpsertDataSource)
-    out = cast_serving(df)
-    if connections:
-        out = out.repartition(connections, "datetime", "ticker")
-    settings = {"tableName": "CANDLES", "keys": "DATETIME, TICKER", "policy": policy, **options}
-    out.write.format("upsert").mode("append").options(**settings).save()
+    aside = 0
+    if misfits is None:
+        out = cast_serving(df, kind)
+    else:
+        # Read for both parts.
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out, rest = serving_split(df, kind)
+    try:
+        if misfits is not None:
+            counting, seen = counted(rest, f"misfits_{uuid.uuid4().hex}")
+            counting.write.mode("append").parquet(misfits)
+            aside = count_of(seen)
+        if connections:
+            out = out.repartition(connections, "datetime", "ticker")
+        settings = {"tableName": "CANDLES", "keys": "DATETIME, TICKER", "policy": policy, **options}
+        out.write.format("upsert").mode("append").options(**settings).save()
+    finally:
+        if misfits is not None:
+            df.unpersist()
+    return aside
 
 
 def candle_database(
     policy: str = "replace", connections: int | None = None, **options: str
 ) -> Callable[[DataFrame, int], None]:
-    """Sink for `start_candles`: upserts each batch into a serving table (`save_candles`)."""
+    """Sink for `start_candles`: upserts each batch into a serving table; for the options see `save_candles`."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         save_candles(batch, policy, connections, **options)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.functions import day_text
+from tickbars.functions import day_spellings
 from tickbars.schemas import DEAL
 
 
@@ -35,9 +35,9 @@ def read_deals_jdbc(
 ) -> DataFrame:
     """Table scan in parallel.
 
-    With `days`, one partition per day, and only those days are read. Else ranges of `partition_on`,
-    a numeric column, whose bounds the database is asked for (one row). Without either, a single
-    connection reads the whole table. Credentials go into `options`.
+    Ranges of `partition_on`, a numeric column, whose bounds the database is asked for. With `days`, only those
+    days are read, and the bounds are those of each day, which is then read in `num_partitions` ranges.
+    With `partition_on` None, a single connection reads each day or the whole table. Credentials go into `options`.
     """
     base = {
         "url": url,
@@ -47,8 +47,8 @@ def read_deals_jdbc(
         **options,
     }
     if days is not None:
-        predicates = [f"TRADEDATE = '{day_text(d)}'" for d in days]
         properties = {k: v for k, v in base.items() if k != "url"}
+        predicates = _day_ranges(spark, base, table, partition_on, days, num_partitions)
         return spark.read.jdbc(url, table, predicates=predicates, properties=properties)
     reader = spark.read.format("jdbc").options(**base).option("dbtable", table)
     if partition_on is None:
@@ -64,3 +64,29 @@ def read_deals_jdbc(
         .option("upperBound", int(high) + 1)
         .load()
     )
+
+
+def _day_ranges(
+    spark: SparkSession, base: dict[str, str], table: str, column: str | None, days: Sequence[dt.date], n: int
+) -> list[str]:
+    """Predicates that share out the rows of each day; days without rows get one that finds nothing."""
+    spellings = {d: ", ".join(f"'{text}'" for text in day_spellings(d)) for d in dict.fromkeys(days)}
+    if column is None or not spellings:
+        return [f"TRADEDATE in ({texts})" for texts in spellings.values()] or ["1 = 0"]
+    every = ", ".join(spellings.values())
+    query = f"(select TRADEDATE as DAY_TEXT, min({column}) as LO, max({column}) as HI from {table} where TRADEDATE in ({every}) group by TRADEDATE) b"
+    bounds = {r[0]: (r[1], r[2]) for r in spark.read.format("jdbc").options(**base).option("dbtable", query).load().collect()}
+    out = []
+    for day, texts in spellings.items():
+        found = [bounds[t] for t in day_spellings(day) if t in bounds and bounds[t][0] is not None]
+        whole = f"TRADEDATE in ({texts})"
+        if not found:
+            out.append(whole)
+            continue
+        low, high = int(min(lo for lo, _ in found)), int(max(hi for _, hi in found))
+        step = -(-(high - low + 1) // n)
+        cuts = list(range(low + step, high + 1, step))
+        # Open at both ends, so that rows that come meanwhile are read too.
+        tests = [f"({column} < {cuts[0]} or {column} is null)", *(f"{column} >= {a} and {column} < {b}" for a, b in zip(cuts, cuts[1:])), f"{column} >= {cuts[-1]}"] if cuts else ["1 = 1"]
+        out += [f"{whole} and {t}" for t in tests]
+    return out

@@ -4,7 +4,8 @@
 (`schemas.MESSAGE`) can stand in for it. Position handling is Spark's: `startingOffsets` (default
 latest) applies to the first start only, afterwards the checkpoint decides, and new partitions are
 found by the source. Rate limits are source options: `maxOffsetsPerTrigger` for Kafka,
-`maxFilesPerTrigger` for files.
+`maxFilesPerTrigger` for files. A stream stops if the topic no longer holds messages that it has to read; who
+would rather go on without them says `failOnDataLoss="false"`.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tickbars.schemas import MESSAGE
 
 _KAFKA = {"includeHeaders": "true"}
-_KAFKA_STREAM = {"startingOffsets": "latest", "failOnDataLoss": "false"}
+_KAFKA_STREAM = {"startingOffsets": "latest"}
 
 
 def _topics(topics: str | list[str] | None) -> dict[str, str]:
