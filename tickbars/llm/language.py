@@ -27,9 +27,9 @@ from pyspark.sql.types import StructType
 UNDETERMINED = "und"
 SAMPLE_ROWS = 400
 SAMPLE_CHARS = 2_000
-DICT_BYTES = 256 << 10
+DICT_BYTES = 512 << 10
 BLOCK_BYTES = 4_096
-LEVEL = 5
+LEVEL = 9
 # The least part of the second-best size by which the best has to be smaller.
 MARGIN = 0.004
 
