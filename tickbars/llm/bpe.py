@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import base64
 import uuid
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 _hash = xxhash.xxh3_64_intdigest
 
 # Entries that a worker remembers of pre-tokens it has met, and their longest length.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 600_000
 MEMO_CHARS = 48
 
 
@@ -147,25 +147,25 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.split = regex.compile(vocabulary.pattern).findall
-        self.memo: dict[str, list[int]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as numbers of four bytes
 
     def encode(self, text: str) -> np.ndarray:
         pieces, memo, to_ids = self.split(text), self.memo, self.vocabulary.encode_piece
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
         try:
-            return np.array(list(chain.from_iterable(map(memo.__getitem__, pieces))), np.int32)
+            return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.int32)
         except KeyError:
             pass
-        out: list[int] = []
+        out: list[bytes] = []
         for piece in pieces:
             ids = memo.get(piece)
             if ids is None:
-                ids = to_ids(piece.encode())
+                ids = array("i", to_ids(piece.encode())).tobytes()
                 if len(piece) <= MEMO_CHARS:
                     memo[piece] = ids
-            out += ids
-        return np.array(out, np.int32)
+            out.append(ids)
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids))
