@@ -7,11 +7,12 @@ import time
 import pytest
 
 from helpers import at, by_key, message, messages, payload, trade
-from tickbars.sinks import candle_database, candle_table, metric_row, read_candles, append_metric
+from tickbars import files
+from tickbars.sinks import append_metric, candle_database, candle_table, compact_records, metric_row, read_candles
 from tickbars.sources import read_ledger, read_messages, stream_messages
 from tickbars.sinks import write_messages
 from tickbars.operators import decode_trades, filter_events
-from tickbars.streaming import progress_metrics, progress_offsets, start_candles, start_quarantine, start_stream
+from tickbars.streaming import progress_metrics, progress_offsets, recorded, start_candles, start_quarantine, start_stream
 
 NOW = {"availableNow": True}
 
@@ -117,6 +118,46 @@ def test_ledger_and_metrics(topic, tmp_path, spark):
     assert all(r.request_time > 0 for r in rows)
 
 
+def test_metrics_of_a_stateful_stream(topic, tmp_path, spark):
+    metrics = str(tmp_path / "metrics")
+    topic.send(trade(1, "10:00:00"), "{bad")
+    topic.send(trade(2, "11:00:00"))
+    topic.send(trade(3, "11:01:00"))
+    topic.send(trade(4, "10:01:00"), trade(5, "11:02:00"))
+    _, query = run(topic, tmp_path, "stateful", "replace", metrics=metrics, app="recorded", lateness="10 minutes")
+    assert recorded(query)
+    rows = spark.read.parquet(metrics).orderBy("batch_id").collect()
+    got = [(r.status, r.batch_id, r.batch_size, r.invalid_rows, r.late_rows) for r in rows]
+    assert got == [("OK", 0, 1, 1, 0), ("OK", 1, 1, 0, 0), ("OK", 2, 1, 0, 0), ("OK", 3, 2, 0, 1)]
+    compact_records(spark, metrics, rows[0].day)
+    assert spark.read.parquet(metrics).count() == 4
+    assert len([f for f in files.children(spark, f"{metrics}/day={rows[0].day}") if f.endswith(".parquet")]) == 1
+
+
+def test_failure_of_a_stateful_stream_is_recorded(topic, tmp_path, spark):
+    metrics = str(tmp_path / "metrics")
+    topic.send(trade(1, "10:00:00"))
+
+    def sink(batch, batch_id):
+        raise RuntimeError("no connection")
+
+    query = start_candles(topic.stream(), sink, str(tmp_path / "ck"), trigger=NOW, metrics=metrics, app="fails")
+    with pytest.raises(Exception, match="no connection"):
+        query.awaitTermination()
+    assert recorded(query)
+    assert [(r.status, r.batch_id) for r in spark.read.parquet(metrics).collect()] == [("FAIL", 0)]
+
+
+def test_quarantine_from_the_same_parse(topic, tmp_path, spark):
+    bad, metrics = str(tmp_path / "bad"), str(tmp_path / "metrics")
+    topic.send(trade(1, "10:00:00"), "{bad", trade(2, "10:99:00"))
+    topic.send(trade(3, "10:06:00"))
+    run(topic, tmp_path, "per_batch", "keep_first", quarantine=bad, metrics=metrics)
+    assert {(r.batch_id, r.offset, r.problem) for r in spark.read.parquet(bad).collect()} == {(0, 1, "malformed"), (0, 2, "time")}
+    rows = spark.read.parquet(metrics).orderBy("batch_id").collect()
+    assert [(r.batch_size, r.invalid_rows) for r in rows] == [(1, 2), (1, 0)]
+
+
 def test_failed_batch_runs_again(topic, tmp_path, spark):
     ledger, metrics, table = (str(tmp_path / n) for n in ("ledger", "metrics", "table"))
     topic.send(trade(1, "10:00:00", 1.0))
@@ -193,7 +234,7 @@ def test_wrong_mode(topic, tmp_path):
     with pytest.raises(ValueError):
         run(topic, tmp_path, "other", "replace")
     with pytest.raises(ValueError):
-        run(topic, tmp_path, "stateful", "replace", ledger="x")
+        run(topic, tmp_path, "stateful", "replace", quarantine="x")
 
 
 def test_candles_restart_whatever_the_zone(topic, tmp_path, spark):

@@ -77,3 +77,9 @@ def create_text(spark: SparkSession, path: str, text: str) -> bool:
 def delete(spark: SparkSession, path: str) -> None:
     fs, jpath = _fs(spark, path)
     fs.delete(jpath, True)
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    fs, jpath = _fs(spark, path)
+    if not fs.rename(jpath, _fs(spark, to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +16,10 @@ from tickbars.plans import inputs
 from tickbars.plans.backfill import backfill, backfill_day
 from tickbars.schemas import CANDLE, CANDLE_KEYS, TRADE
 from tickbars.sinks import append_ledger, candle_table, merge_candles, read_candles
-from tickbars.sources import read_deals_csv, read_ledger
+from tickbars.sources import read_deals_csv, read_ledger, read_messages, stream_messages
 from tickbars.streaming import (
     decoded_stream,
+    recorded,
     start_candles,
     start_quarantine,
     stream_candles,
@@ -519,3 +521,123 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
     sent = inputs.messages_of(inputs.trades_of(inputs.events_stream(spark, sf_dir)))
     start_quarantine(sent, path, files.new_dir(spark, "checkpoint"), trigger=_NOW).awaitTermination()
     return spark.read.parquet(path).select("topic", "partition", "offset", "problem")
+
+
+# ---------------------------------------------------------------- streams of several batches
+
+# All messages in three files, once by trade number, which cuts every candle, and once in the order of time.
+_BY_NUMBER, _BY_TIME = "tn % 3", "least((day(dt) - 1) // 10, 2)"
+_NUMBER = "tradeNo % 3"
+_TIME = "least((cast(substring(tradeDate, 1, 2) as int) - 1) div 10, 2)"
+
+
+def _file_stream(spark: SparkSession, sf_dir: str, number: str) -> DataFrame:
+    return stream_messages(spark, "parquet", inputs.message_files(spark, sf_dir, number), maxFilesPerTrigger="1")
+
+
+@query("message_files", f"with {_T} select {_POS}, {_TRADE_ROW} from t where {_USABLE}")
+def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages written to files and read back as a batch."""
+    found = read_messages(spark, "parquet", inputs.message_files(spark, sf_dir, _NUMBER))
+    return op.valid_trades(decoded_stream(found)).select("topic", "partition", "offset", *TRADE.names)
+
+
+@query(
+    "stream_files_per_batch",
+    f"""with {_T}, b as (select *, {_BY_NUMBER} as batch from t where {_USABLE}),
+    c as ({_candle_sql("b", extra="batch, ")})
+    select datetime, ticker, arg_min(open, batch) as open, arg_min(high, batch) as high,
+           arg_min(low, batch) as low, arg_min(close, batch) as close, arg_min(value, batch) as value
+    from c group by datetime, ticker""",
+)
+def stream_files_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches, each with candles of its own: the first one to write a candle wins."""
+    path = files.new_dir(spark, "candles")
+    sent = _file_stream(spark, sf_dir, _NUMBER)
+    checkpoint = files.new_dir(spark, "checkpoint")
+    start_candles(sent, candle_table(path, "keep_first"), checkpoint, "per_batch", app=path[-32:], trigger=_NOW).awaitTermination()
+    return read_candles(spark, path).select(*CANDLE.names)
+
+
+@query("stream_files_stateful", f"with {_T} {_candle_sql(where=_USABLE)}")
+def stream_files_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches in the order of time; state carries a candle over from one to the next."""
+    path = files.new_dir(spark, "candles")
+    sent = _file_stream(spark, sf_dir, _TIME)
+    start_candles(sent, candle_table(path), files.new_dir(spark, "checkpoint"), app=path[-32:], trigger=_NOW).awaitTermination()
+    return read_candles(spark, path).select(*CANDLE.names)
+
+
+@query("stream_restart", f"with {_T} {_candle_sql(where=_USABLE)}")
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sink fails in the second batch, after its write; the query goes on from the checkpoint."""
+    path, checkpoint = files.new_dir(spark, "candles"), files.new_dir(spark, "checkpoint")
+    sent = _file_stream(spark, sf_dir, _TIME)
+    good, failed = candle_table(path), []
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        good(batch, batch_id)
+        if batch_id == 1 and not failed:
+            failed.append(batch_id)
+            raise ConnectionError("lost on purpose")
+
+    def once() -> None:
+        start_candles(sent, sink, checkpoint, app=path[-32:], trigger=_NOW).awaitTermination()
+
+    try:
+        once()
+    except StreamingQueryException:
+        once()
+    return read_candles(spark, path).select(*CANDLE.names)
+
+
+def _metrics_of(mode: str) -> Query:
+    number, cut = (_NUMBER, _BY_NUMBER) if mode == "per_batch" else (_TIME, _BY_TIME)
+    kept = f"{_HEADER_OK} and k <> 0"
+    sql = f"""with {_T}, f as (select *, {cut} as file from t), n as (select file, count(*) filter ({_USABLE}) as good,
+              count(*) filter ({kept} and not ({_USABLE})) as bad from f group by file)
+    select 'OK' as status, row_number() over (order by file) - 1 as batch_id, good as batch_size, bad as invalid_rows from n"""
+
+    @query(f"stream_metrics_{mode}", sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, metrics = files.new_dir(spark, "candles"), files.new_dir(spark, "metrics")
+        sink = candle_table(path, "keep_first" if mode == "per_batch" else "replace")
+        sent, checkpoint = _file_stream(spark, sf_dir, number), files.new_dir(spark, "checkpoint")
+        started = start_candles(sent, sink, checkpoint, mode, app=path[-32:], trigger=_NOW, metrics=metrics)
+        started.awaitTermination()
+        recorded(started)
+        return spark.read.parquet(metrics).select("status", "batch_id", "batch_size", "invalid_rows")
+
+    return run
+
+
+for _mode in ("per_batch", "stateful"):
+    _metrics_of(_mode)
+
+
+@query(
+    "stream_ledger",
+    f"""with {_T}, m as (select {_POS}, {_BY_NUMBER} as file from t)
+    select topic, partition as part, file as batch_id, max("offset") + 1 as last_offset from m group by all""",
+)
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions that each of three batches has left in the ledger."""
+    path, ledger = files.new_dir(spark, "candles"), files.new_dir(spark, "ledger")
+    sent, checkpoint = _file_stream(spark, sf_dir, _NUMBER), files.new_dir(spark, "checkpoint")
+    sink = candle_table(path, "keep_first")
+    start_candles(sent, sink, checkpoint, "per_batch", app=path[-32:], trigger=_NOW, ledger=ledger).awaitTermination()
+    return spark.read.parquet(ledger).select("topic", "part", "batch_id", "last_offset")
+
+
+@query(
+    "stream_quarantine_same_parse",
+    _BAD.replace(f"select {_POS}", f"select {_BY_NUMBER} as batch_id, {_POS}"),
+)
+def stream_quarantine_same_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid messages set aside by the query that makes the candles."""
+    path, bad = files.new_dir(spark, "candles"), files.new_dir(spark, "quarantine")
+    sent, checkpoint = _file_stream(spark, sf_dir, _NUMBER), files.new_dir(spark, "checkpoint")
+    sink = candle_table(path, "keep_first")
+    start_candles(sent, sink, checkpoint, "per_batch", app=path[-32:], trigger=_NOW, quarantine=bad).awaitTermination()
+    kept = spark.read.parquet(bad).select("batch_id", "topic", "partition", "offset", "problem")
+    return kept.withColumn("batch_id", F.col("batch_id").cast("bigint"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickbars import files
 from tickbars.operators import with_once
 from tickbars.schemas import DEAL, TRADE
+from tickbars.sinks.messages import write_messages
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,3 +111,13 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(trades(spark, sf_dir))
+
+
+def message_files(spark: SparkSession, sf_dir: str, number: str) -> str:
+    """A folder with all messages, those of each number in a file of its own, oldest file first."""
+    path = files.new_dir(spark, "messages")
+    rows = trades(spark, sf_dir).withColumn("file", F.expr(number))
+    for (n,) in sorted(rows.select("file").distinct().collect()):
+        write_messages(messages_of(rows.where(F.col("file") == n)).coalesce(1), "parquet", path)
+        time.sleep(0.02)  # the file source orders by modification time
+    return path

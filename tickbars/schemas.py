@@ -81,7 +81,7 @@ LEDGER = _struct(
     app_name="string", topic="string", part="int", last_offset="bigint", batch_id="bigint", ts="timestamp"
 )
 
-# One row per processed batch.
+# One row per processed batch. late_rows were dropped by the watermark, invalid_rows set aside; NULL if not counted.
 METRIC = _struct(
     status="string",
     service_name="string",
@@ -89,4 +89,6 @@ METRIC = _struct(
     batch_size="bigint",
     batch_id="bigint",
     ts="timestamp",
+    late_rows="bigint",
+    invalid_rows="bigint",
 )

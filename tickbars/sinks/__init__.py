@@ -1,7 +1,7 @@
 """Writers."""
 
 from tickbars.sinks.messages import write_messages
-from tickbars.sinks.records import append_ledger, append_metric, ledger_rows, metric_row
+from tickbars.sinks.records import append_ledger, append_metric, compact_records, ledger_rows, metric_row
 from tickbars.sinks.tables import candle_table, clean_table, merge_candles, read_candles
 from tickbars.sinks.upsert_source import UpsertDataSource, candle_database, save_candles
 
@@ -12,6 +12,7 @@ __all__ = [
     "candle_database",
     "candle_table",
     "clean_table",
+    "compact_records",
     "ledger_rows",
     "merge_candles",
     "metric_row",

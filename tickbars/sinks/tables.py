@@ -18,7 +18,7 @@ import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickbars import files
@@ -97,16 +97,21 @@ def read_candles(spark: SparkSession, path: str, days: Iterable[dt.date] | None
     return _read(spark, path, folders) if folders else spark.createDataFrame([], CANDLE_TABLE)
 
 
+def _text() -> Column:
+    """The wall clock as text, whatever the session zone is; date_format and hour would go by it."""
+    return F.col("datetime").cast("string")
+
+
 def _units(df: DataFrame) -> list[str]:
     """Hours that candles fall into: a small list however many candles there are."""
-    unit = F.date_format("datetime", "yyyy-MM-dd'T'HH")
+    unit = F.translate(F.substring(_text(), 1, 13), " ", "T")
     return sorted(r[0] for r in df.select(unit.alias("unit")).distinct().collect())
 
 
 def _write(df: DataFrame, path: str, units: list[str], files_per_hour: int) -> dict[str, list[str]]:
     """A new folder with these hours. Dealt out by hour and salt: adaptive execution is off in stateful batches."""
     merge = uuid.uuid4().hex
-    out = df.withColumns({"trade_date": F.to_date("datetime"), "hour": F.hour("datetime")})
+    out = df.withColumns({"trade_date": F.to_date("datetime"), "hour": F.substring(_text(), 12, 2).cast("int")})
     salt = F.pmod(F.xxhash64("ticker"), F.lit(files_per_hour))
     out = out.repartition(max(1, len(units) * files_per_hour), "trade_date", "hour", salt)
     out.write.partitionBy("trade_date", "hour").parquet(f"{path}/data/{merge}")

@@ -8,12 +8,14 @@ from tickbars.streaming.candles import (
     stream_candles,
     with_instant,
 )
-from tickbars.streaming.progress import progress_metrics, progress_offsets
+from tickbars.streaming.progress import Recorder, progress_metrics, progress_offsets, recorded
 
 __all__ = [
+    "Recorder",
     "decoded_stream",
     "progress_metrics",
     "progress_offsets",
+    "recorded",
     "start_candles",
     "start_quarantine",
     "start_stream",

@@ -9,17 +9,21 @@ Set `spark.sql.streaming.stateStore.providerClass` to Spark's RocksDB provider f
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickbars.functions import to_instant
 from tickbars.operators import candles, decode_trades, dedup_trades, drop_null_messages, filter_events
-from tickbars.operators.trades import invalid_trades, valid_trades
+from tickbars.operators.progress import count_of
+from tickbars.operators.trades import invalid_trades, with_problem
 from tickbars.plans.batch import Sink, run_batch
 from tickbars.sinks.records import append_ledger
+from tickbars.streaming.progress import Recorder, keep, record
 
 _EVENTS = ("MARKET_RECORD",)
 _EVERY_MINUTE = {"processingTime": "60 seconds"}
@@ -69,21 +73,27 @@ def start_stream(
     steps = list(steps)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # Read by the ledger and by the job; lost blocks are read again from the source.
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            if batch.isEmpty():
-                return
-            rows = batch
-            for step in steps:
-                rows = rows.transform(step)
-            run_batch(rows, sink, app, metrics, batch_id)
-            if ledger:
-                append_ledger(batch, ledger, app, batch_id)
-        finally:
-            batch.unpersist()
+        rows = batch
+        for step in steps:
+            rows = rows.transform(step)
+        run_batch(rows, sink, app, metrics, batch_id)
+
+    return _start_batches(messages, handle, checkpoint, trigger, app, ledger)
 
-    writer = messages.writeStream.foreachBatch(handle).queryName(app)
+
+def _start_batches(
+    messages: DataFrame, handle: Sink, checkpoint: str, trigger: dict | None, app: str, ledger: str | None
+) -> StreamingQuery:
+    """Each batch that has messages through `handle`, then into the ledger."""
+
+    def batch_of(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
+        handle(batch, batch_id)
+        if ledger:
+            append_ledger(batch, ledger, app, batch_id)
+
+    writer = messages.writeStream.foreachBatch(batch_of).queryName(app)
     return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE).start()
 
 
@@ -100,31 +110,67 @@ def start_candles(
     app: str = "candles",
     ledger: str | None = None,
     metrics: str | None = None,
+    quarantine: str | None = None,
     **how: str,
 ) -> StreamingQuery:
     """Starts candles from a stream of messages; `sink(df, batch_id)` writes each batch, all of it.
 
     If the sink fails, the query fails and the batch is run again from the checkpoint: give the sink a
-    keyed write. `ledger` and `metrics` name Parquet tables and belong to per_batch mode; for a
-    stateful query take both from its progress (`progress_offsets`, `progress_metrics`). The trigger
-    is 60 seconds unless given.
+    keyed write. `metrics` names a Parquet table for one row per batch: trades used, messages set aside as
+    invalid, and in stateful mode trades that came too late; `ledger` one for the positions, which a
+    stateful query knows of Kafka only. In stateful mode both are written after the batch (`recorded` waits for
+    them). `quarantine` names a folder for the invalid messages of per_batch mode, from the same parse;
+    for a stateful query start `start_quarantine` beside it. The trigger is 60 seconds unless given.
     """
     allowed = list(allowed)
     if mode == "per_batch":
-        steps = [lambda m: decoded_stream(m, allowed), valid_trades, *([dedup_trades] if dedup else [])]
-
-        def write(trades: DataFrame, batch_id: int) -> None:
-            sink(candles(trades, minutes, **how), batch_id)
-
-        return start_stream(messages, steps, write, checkpoint, trigger, app, ledger, metrics)
+        return _start_batches(
+            messages, _per_batch(sink, minutes, allowed, dedup, app, metrics, quarantine, how), checkpoint, trigger, app, ledger
+        )
     if mode != "stateful":
         raise ValueError(f"mode must be 'stateful' or 'per_batch', got {mode!r}")
-    if ledger or metrics:
-        raise ValueError("ledger and metrics are written in per_batch mode only")
-    trades = valid_trades(decoded_stream(messages, allowed))
-    out = stream_candles(trades, minutes, lateness, dedup, **how)
+    if quarantine:
+        raise ValueError("quarantine belongs to per_batch mode; use start_quarantine")
+    spark, counts = messages.sparkSession, f"{app}_input"
+    bad = F.count(F.when(F.col("problem").isNotNull(), 1))
+    tagged = with_problem(decoded_stream(messages, allowed))
+    tagged = tagged.observe(counts, (F.count(F.lit(1)) - bad).alias("n"), bad.alias("invalid"))
+    out = stream_candles(tagged.where("problem is null").drop("problem"), minutes, lateness, dedup, **how)
     writer = out.writeStream.outputMode("update").foreachBatch(sink).queryName(app)
-    return writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE).start()
+    writer = writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE)
+    if not (ledger or metrics):
+        return writer.start()
+    recorder = record(spark, Recorder(spark, app, counts, ledger, metrics))
+    return keep(writer.start(), recorder)
+
+
+def _per_batch(
+    sink: Sink, minutes: int, allowed: list[str], dedup: bool, app: str, metrics: str | None, quarantine: str | None, how: dict
+) -> Sink:
+    """A batch of messages to candles; its invalid messages are counted and, if asked for, kept."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        tagged = with_problem(decoded_stream(batch, allowed))
+        if quarantine:
+            tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)  # read for both parts
+        bad = F.count(F.when(F.col("problem").isNotNull(), 1)).alias("n")
+        seen = Observation(f"invalid_{batch_id}_{uuid.uuid4().hex}")
+        good = tagged.observe(seen, bad).where("problem is null").drop("problem")
+        good = dedup_trades(good) if dedup else good
+
+        def write(trades: DataFrame, number: int) -> None:
+            if quarantine:
+                # A batch that runs again replaces its own folder.
+                tagged.where("problem is not null").write.mode("overwrite").parquet(f"{quarantine}/batch_id={number}")
+            sink(candles(trades, minutes, **how), number)
+
+        try:
+            run_batch(good, write, app, metrics, batch_id, lambda: count_of(seen))
+        finally:
+            if quarantine:
+                tagged.unpersist()
+
+    return handle
 
 
 def start_quarantine(
