@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.llm.tools import map_batches, stored
+from tickbars.llm.tools import discard, map_batches, stored
 
 WINDOW = 13
 GRAM = 5
@@ -334,18 +334,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """
     _check(window)
     plain = _row(docs, id_col, text_col)
-    met = stored(_shards(plain, window), "shards").select("doc", F.explode("shards").alias("shard")).where("doc is not null")
+    lists = stored(_shards(plain, window), "shards")
+    met = lists.select("doc", F.explode("shards").alias("shard")).where("doc is not null")
     shared = met.groupBy("shard").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("shard")
     wanted = stored(met.join(shared, "shard").groupBy("doc").agg(F.collect_set("shard").alias("wanted")), "wanted")
+    discard(lists)
     passages = stored(_passages(plain.join(wanted, "doc").select("doc", "row", "text", "wanted"), window), "passages")
+    discard(wanted)
     folded = stored(_folded(passages), "folded")
     large = folded.groupBy("shard").agg(F.sum(F.size(F.split("passage", " "))).alias("n")).where(F.col("n") > SHARD_WORDS).select("shard")
     large = stored(large, "large")
     if not large.isEmpty():
         windows = _split_windows(passages.join(large, "shard", "left_semi"), window)
         passages = stored(passages.join(large, "shard", "left_anti").select(windows.columns).union(windows), "passages")
-        folded = _folded(passages)
+        discard(folded)
+        folded = stored(_folded(passages), "folded")
     firsts = stored(_firsts(folded, window), "firsts")
+    discard(folded)
     found = passages.select("doc", "row", "place", "shard", F.xxhash64("passage").alias("passage_hash")).join(
         firsts, ["shard", "passage_hash"]
     )
