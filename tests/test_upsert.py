@@ -143,15 +143,27 @@ def test_a_writer_that_died_between_number_and_name(spark, tmp_path, monkeypatch
 
 def test_a_merge_reads_and_writes_its_hours_only(spark, tmp_path):
     path = str(tmp_path / "candles")
-    rows = [candle(f"T{i}", 1.0, at(h, 0)) for h in range(8, 20) for i in range(20)]
-    merge_candles(frame(spark, rows), path, files_per_hour=2)
-    first = set(files.children(spark, f"{path}/data"))
-    merge_candles(frame(spark, [candle("T0", 2.0, at(12, 5))]), path, files_per_hour=2)
-    (merge,) = set(files.children(spark, f"{path}/data")) - first
-    assert files.children(spark, f"{path}/data/{merge}/trade_date=2021-09-01") == ["hour=12"]
-    parts = files.children(spark, f"{path}/data/{first.pop()}/trade_date=2021-09-01/hour=9")
-    assert 1 <= len([p for p in parts if p.endswith(".parquet")]) <= 2
-    assert read_candles(spark, path).count() == 12 * 20 + 1
+    seen = set()
+
+    def merged(rows):
+        merge_candles(frame(spark, rows), path, files_per_unit=2)
+        (merge,) = set(files.children(spark, f"{path}/data")) - seen
+        seen.add(merge)
+        return f"{path}/data/{merge}/trade_date=2021-09-01"
+
+    def parts(folder):
+        return len([p for p in files.children(spark, folder) if p.endswith(".parquet")])
+
+    few = merged([candle(f"T{i}", 1.0, at(h, 0)) for h in (8, 9) for i in range(20)])
+    assert sorted(files.children(spark, few)) == ["hour=8", "hour=9"] and 1 <= parts(f"{few}/hour=9") <= 2
+    # Many hours: the day becomes one unit. The next merge of an hour makes hours of it again.
+    many = merged([candle(f"T{i}", 1.0, at(h, 5)) for h in range(8, 20) for i in range(20)])
+    assert 1 <= parts(many) <= 2 and not [n for n in files.children(spark, many) if n.startswith("hour")]
+    assert len(files.children(spark, merged([candle("T0", 2.0, at(12, 5))]))) == 12
+    assert files.children(spark, merged([candle("T0", 3.0, at(12, 5))])) == ["hour=12"]
+    got = read_candles(spark, path)
+    assert got.count() == 2 * 20 + 12 * 20
+    assert [r.close for r in got.where("ticker = 'T0' and datetime = timestamp_ntz'2021-09-01 12:05:00'").collect()] == [3.0]
 
 
 @pytest.mark.parametrize("policy", ["keep_first", "replace"])

@@ -5,6 +5,8 @@ Listing and deleting go through the driver's JVM, which Spark Connect sessions d
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,7 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
     if context.applicationId not in _local:
-        _local[context.applicationId] = tempfile.mkdtemp(prefix="tickbars-")
+        folder = tempfile.mkdtemp(prefix="tickbars-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local[context.applicationId] = folder
     return _local[context.applicationId]
 
 

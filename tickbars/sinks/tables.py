@@ -1,7 +1,8 @@
-"""Candle table on Parquet files: an immutable folder per merge and hour, and numbered commits.
+"""Candle table on Parquet files: an immutable folder per merge and unit, and numbered commits.
 
-A commit names, for every hour of the table, the folders that hold it now. It is made by creating its number, which
-succeeds for one writer only; the others read the table again and merge once more if the hours they touch have
+A unit is an hour, or a whole day after a merge that touched many of its hours: a stream then rewrites the hour or two
+that it is in, and a repair does not leave a file for every hour. A commit names the folder of every unit. It is made by creating its number, which
+succeeds for one writer only; the others read the table again and merge once more if the units they touch have
 changed meanwhile. Readers take the newest commit, so a merge becomes visible as a whole, however many days it
 touches. What a commit no longer names is deleted after `keep_hours`, which is the time that a reader has.
 
@@ -27,13 +28,15 @@ from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_TABLE
 
 # How long a replaced folder stays for those who read it.
 KEEP_HOURS = 24.0
+# A merge that touches more hours of a day than these writes the day as one unit.
+WIDE_HOURS = 6
 _TRIES = 50
 
 
-def _hour(unit: str) -> str:
-    """Place of an hour below a merge's folder; units read 2024-01-10T05."""
+def _place(unit: str) -> str:
+    """Place of a unit below a merge's folder. Units read 2024-01-10 or 2024-01-10T05."""
     day, _, hour = unit.partition("T")
-    return f"trade_date={day}/hour={int(hour)}"
+    return f"trade_date={day}/hour={int(hour)}" if hour else f"trade_date={day}"
 
 
 class _Table:
@@ -49,7 +52,7 @@ class _Table:
             name = files.read_text(self.spark, f"{self.path}/commits/{n:012d}").strip()
             if name:  # else its writer is about to say so, or has died
                 return n, json.loads(files.read_text(self.spark, f"{self.path}/states/{name}"))
-        return 0, {"hours": {}, "retired": []}
+        return 0, {"units": {}, "retired": []}
 
     def commit(self, after: int, state: dict) -> bool:
         """Makes the next commit; False if another writer has made it."""
@@ -84,16 +87,15 @@ class _Table:
 
 
 def _read(spark: SparkSession, path: str, folders: Iterable[str]) -> DataFrame:
-    found = [f"{path}/data/{f}" for f in folders]
-    stored = spark.read.schema(CANDLE).parquet(*found) if found else spark.createDataFrame([], CANDLE)
+    stored = spark.read.schema(CANDLE).parquet(*[f"{path}/data/{f}" for f in folders])
     return stored.select(*CANDLE.names, F.to_date("datetime").alias("trade_date"))
 
 
 def read_candles(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> DataFrame:
     """The candles of the given days, of all days by default, as the newest commit has them."""
-    hours = _Table(spark, path).newest()[1]["hours"]
+    units = _Table(spark, path).newest()[1]["units"]
     wanted = None if days is None else {str(d) for d in days}
-    folders = [f for unit, fs in hours.items() if wanted is None or unit[:10] in wanted for f in fs]
+    folders = [v["at"] for unit, v in units.items() if wanted is None or unit[:10] in wanted]
     return _read(spark, path, folders) if folders else spark.createDataFrame([], CANDLE_TABLE)
 
 
@@ -102,32 +104,63 @@ def _text() -> Column:
     return F.col("datetime").cast("string")
 
 
-def _units(df: DataFrame) -> list[str]:
-    """Hours that candles fall into: a small list however many candles there are."""
-    unit = F.translate(F.substring(_text(), 1, 13), " ", "T")
-    return sorted(r[0] for r in df.select(unit.alias("unit")).distinct().collect())
-
-
-def _write(df: DataFrame, path: str, units: list[str], files_per_hour: int) -> dict[str, list[str]]:
-    """A new folder with these hours. Dealt out by hour and salt: adaptive execution is off in stateful batches."""
+def _touched(df: DataFrame) -> dict[str, set[str]]:
+    """Hours that candles fall into, by day: a small list however many candles there are."""
+    out: dict[str, set[str]] = {}
+    for (unit,) in df.select(F.translate(F.substring(_text(), 1, 13), " ", "T").alias("unit")).distinct().collect():
+        out.setdefault(unit[:10], set()).add(unit[11:])
+    return out
+
+
+def _plan(touched: dict[str, set[str]], units: dict[str, dict]) -> tuple[dict[str, str], dict[str, list[str]]]:
+    """Units to read and replace, with their folders, and units to write, with the hours in each."""
+    read: dict[str, str] = {}
+    write: dict[str, list[str]] = {}
+    by_day: dict[str, dict[str, dict]] = {}
+    for unit, v in units.items():
+        by_day.setdefault(unit[:10], {})[unit] = v
+    for day, hours in touched.items():
+        here = by_day.get(day, {})
+        wide = len(hours) > WIDE_HOURS
+        if not wide and day not in here:
+            here = {u: v for u, v in here.items() if u[11:] in hours}
+        read |= {u: v["at"] for u, v in here.items()}
+        every = sorted(hours.union(*(v["hours"] for v in here.values())))
+        write |= {day: every} if wide else {f"{day}T{h}": [h] for h in every}
+    return read, write
+
+
+def _write(df: DataFrame, path: str, units: dict[str, list[str]], files_per_unit: int) -> dict[str, dict]:
+    """A new folder with these units. Dealt out by unit and salt: adaptive execution is off in stateful batches."""
     merge = uuid.uuid4().hex
-    out = df.withColumns({"trade_date": F.to_date("datetime"), "hour": F.substring(_text(), 12, 2).cast("int")})
-    salt = F.pmod(F.xxhash64("ticker"), F.lit(files_per_hour))
-    out = out.repartition(max(1, len(units) * files_per_hour), "trade_date", "hour", salt)
-    out.write.partitionBy("trade_date", "hour").parquet(f"{path}/data/{merge}")
-    return {unit: [f"{merge}/{_hour(unit)}"] for unit in units}
+    day = F.to_date("datetime")
+    whole = [u for u in units if "T" not in u]
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("ticker"), F.lit(files_per_unit))
+    for by_hour in (False, True):
+        mine = [u for u in units if ("T" in u) == by_hour]
+        if not mine:
+            continue
+        # Days are few: as a list they are no filter that grows with the candles.
+        of_days = day.cast("string").isin(whole)
+        part = df.where(~of_days if by_hour else of_days) if len(mine) < len(units) else df
+        keys = ["trade_date", "hour"] if by_hour else ["trade_date"]
+        out = part.withColumns({"trade_date": day, **({"hour": F.substring(_text(), 12, 2).cast("int")} if by_hour else {})})
+        out = out.repartition(max(1, min(most, len(mine) * files_per_unit)), *keys, salt)
+        out.write.mode("append").partitionBy(*keys).parquet(f"{path}/data/{merge}")
+    return {u: {"at": f"{merge}/{_place(u)}", "hours": hours} for u, hours in units.items()}
 
 
 def merge_candles(
     incoming: DataFrame,
     path: str,
     policy: str = "replace",
-    files_per_hour: int = 1,
+    files_per_unit: int = 1,
     keep_hours: float = KEEP_HOURS,
 ) -> None:
     """Upserts candles, unique by (datetime, ticker), into the table at `path`.
 
-    Only the hours that `incoming` touches are read and written. Any number of writers may merge at the same time.
+    Only the units that `incoming` touches are read and written. Any number of writers may merge at the same time.
     """
     check_policy(policy)
     spark = incoming.sparkSession
@@ -135,26 +168,25 @@ def merge_candles(
     # Read for its hours and for the merge. Blocks that are lost are computed again.
     fresh = incoming.select(*CANDLE.names).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        units = _units(fresh)
-        if not units:
+        touched = _touched(fresh)
+        if not touched:
             return
-        written: dict[str, list[str]] = {}
-        base: dict[str, list[str]] = {}
+        plan, written = None, {}
         for _ in range(_TRIES):
             number, state = table.newest()
-            here = {u: state["hours"][u] for u in units if u in state["hours"]}
-            if not written or here != base:
-                merged, base = fresh, here
-                if here:
+            if (now_planned := _plan(touched, state["units"])) != plan:
+                plan = now_planned
+                read, write = plan
+                merged = fresh
+                if read:
                     # Without trade_date among the keys: candles come hashed by these two already.
-                    before = _read(spark, path, [f for fs in here.values() for f in fs]).drop("trade_date")
-                    merged = upsert(before, fresh, CANDLE_KEYS, policy)
-                written = _write(merged, path, units, files_per_hour)
+                    merged = upsert(_read(spark, path, read.values()).drop("trade_date"), fresh, CANDLE_KEYS, policy)
+                written = _write(merged, path, write, files_per_unit)
             now = time.time()
-            old = [[f, now] for fs in here.values() for f in fs]
-            late = [f for f, at in state["retired"] if at < now - keep_hours * 3600]
-            kept = [x for x in state["retired"] if x[0] not in late]
-            if table.commit(number, {"hours": {**state["hours"], **written}, "retired": kept + old}):
+            late = {f for f, at in state["retired"] if at < now - keep_hours * 3600}
+            retired = [x for x in state["retired"] if x[0] not in late] + [[f, now] for f in read.values()]
+            units = {u: v for u, v in state["units"].items() if u not in read} | written
+            if table.commit(number, {"units": units, "retired": retired}):
                 for folder in late:
                     files.delete(spark, f"{path}/data/{folder}")
                 return
@@ -166,7 +198,7 @@ def merge_candles(
 def clean_table(spark: SparkSession, path: str, keep_hours: float = KEEP_HOURS) -> list[str]:
     """Removes folders of merges that were never committed and are older than so many hours; gives their names."""
     state = _Table(spark, path).newest()[1]
-    named = {f.partition("/")[0] for fs in state["hours"].values() for f in fs} | {f.partition("/")[0] for f, _ in state["retired"]}
+    named = {v["at"].partition("/")[0] for v in state["units"].values()} | {f.partition("/")[0] for f, _ in state["retired"]}
     old = files.children(spark, f"{path}/data", older_than=time.time() - keep_hours * 3600)
     gone = [merge for merge in old if merge not in named]
     for merge in gone:
