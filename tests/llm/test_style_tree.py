@@ -51,6 +51,8 @@ def texts(page):
         ("<table><tr><td>a<td>b<tr><td>c</table>", [(0, "a"), (0, "b"), (0, "c")]),
         ("a<span class=ad>x<span>y</span>z</span>b", [(0, "ab")]),
         ("<body class='has-sidebar'><main>a</main></body>", [(1, "a")]),
+        ("<article><p>a <button>like <i>it</i></button>b</p></article>", [(1, "a b")]),
+        ("<p>a<button><div>x</div>y</button>b</p>", [(-1, "x"), (0, "ab")]),
         ("<head><title>t</title></head><body>b", [(0, "b")]),
         ("<p hidden>a</p><p style='display: none'>b</p><p>c", [(-1, "a"), (-1, "b"), (0, "c")]),
         ("<div>a<p>b</div>c</p>d", [(0, "a"), (0, "b"), (0, "cd")]),

@@ -46,7 +46,8 @@ _BLOCKS = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe noscript template svg math".split())
-_DROPPED = frozenset("nav footer aside form button select dialog menu search object canvas audio video head".split()) | _RAW
+_DROPPED_BLOCKS = frozenset("nav footer aside form dialog menu search head".split())
+_DROPPED = _DROPPED_BLOCKS | frozenset("button select object canvas audio video".split()) | _RAW
 # Start tags that close an open element of these names.
 _CLOSES = {
     "li": ("li",),
@@ -60,7 +61,7 @@ _CLOSES = {
     "body": ("head",),
 }
 # An end tag or an implied end does not reach beyond these.
-_SCOPES = frozenset("html body table td th ul ol dl article main section nav aside footer header div".split())
+_SCOPES = frozenset("html body table td th ul ol dl article main section nav aside footer header div button object".split())
 _NAMED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar"
     " navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay"
@@ -183,7 +184,7 @@ def parse(html: str) -> tuple[list[Block], dict[int, set[str]]]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, pos)
             pos = end.end() if end else n
             continue
-        block = tag in _BLOCKS or tag in _DROPPED
+        block = tag in _BLOCKS or tag in _DROPPED_BLOCKS
         if block:
             closed = _CLOSES.get(tag, ())
             for i in range(len(stack) - 1, 0, -1):
