@@ -451,3 +451,23 @@ def repeat_report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = repeat_spans(docs, window=window)
     removed = F.aggregate("spans", F.lit(0), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", removed.cast("bigint").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The report on repeated passages in the SQL of DuckDB."""
+    return rf"""
+    with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+    places as (select doc_id, ws, unnest(range(1, len(ws) - {window} + 2)) as k from d where len(ws) >= {window}),
+    windows as (select doc_id, k, array_to_string(ws[k:k + {window} - 1], ' ') as w from places),
+    firsts as (select w, min(doc_id) as first from windows group by w),
+    gone as (
+      select distinct doc_id, unnest(range(k, k + {window})) as pos
+      from windows join firsts using (w) where first < doc_id),
+    each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as pos from d),
+    kept as (
+      select e.doc_id, count(g.pos) as n_removed,
+             string_agg(case when g.pos is null then word end, ' ' order by e.pos) as rest
+      from each e left join gone g on e.doc_id = g.doc_id and e.pos = g.pos group by e.doc_id)
+    select d.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed,
+           sha256(coalesce(rest, '')) as kept_sha256
+    from d left join kept using (doc_id)"""

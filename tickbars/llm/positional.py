@@ -346,3 +346,32 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     matches = phrase_matches(build_index(keyed, key, text_col), items, window, docs_without=False)
     hit = stored(matches.select(F.col("doc_id").cast("bigint").alias(key)).distinct(), "hit")
     return keyed.join(hit, key, "left_anti").drop(key)
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """The contamination of documents by benchmark in the SQL of DuckDB."""
+    capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def split(text: str) -> str:
+        folded = f"translate(coalesce({text}, ''), '{capitals}', '{small}')"
+        return rf"regexp_extract_all({folded}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+    return f"""
+    with d as (select doc_id, {split("text")} as ws from documents),
+    i as (select item_id, {split("text")} as ws from benchmark),
+    starts as (select item_id, ws, unnest(range(1, greatest(len(ws) - {window} + 1, 1) + 1)) as k from i where len(ws) > 0),
+    phrases as (select distinct item_id, len(ws[k:k + {window} - 1]) as n, array_to_string(ws[k:k + {window} - 1], ' ') as w from starts),
+    sizes as (select distinct n from phrases),
+    places as (select doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) as k from d, sizes where len(ws) >= n),
+    hits as (
+      select distinct a.doc_id, a.k, a.n, p.item_id
+      from (select doc_id, k, n, array_to_string(ws[k:k + n - 1], ' ') as w from places) a join phrases p on a.n = p.n and a.w = p.w),
+    covered as (
+      select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(range(k, k + n)) as pos from hits) group by doc_id),
+    named as (
+      select doc_id, count(distinct item_id) as n_items,
+             string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids
+      from hits group by doc_id)
+    select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+           sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join covered using (doc_id) left join named using (doc_id)"""

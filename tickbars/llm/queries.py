@@ -73,4 +73,8 @@ QUERIES: dict[str, Query] = {
     "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {"op10_licences": licences.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op7_automaton": automaton.oracle_sql(),
+    "op8_decontamination": positional.oracle_sql(),
+    "op10_licences": licences.oracle_sql(),
+}
