@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+import tickbars
 from tickbars import files
 
 
@@ -22,6 +28,23 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, for sessions that were started without it (`--py-files`); once a session."""
+    context, root = spark.sparkContext, Path(tickbars.__file__).parent
+    if context.applicationId in _shipped or not root.is_dir():
+        return
+    folder = Path(tempfile.mkdtemp(prefix="tickbars-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "tickbars-code.zip", "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(folder / "tickbars-code.zip"))
+    _shipped.add(context.applicationId)
+
+
 _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
