@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickbars.llm import automaton, bpe, language, licences, mih, pii, positional, simhash, style_tree, warc
-from tickbars.llm.tools import ship
+from tickbars.llm.tools import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

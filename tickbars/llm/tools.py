@@ -29,10 +29,18 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch],
 
 
 _shipped: set[str] = set()
+# Bytes of rows that go to Python and back at once, unless the session says otherwise.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, for sessions that were started without it (`--py-files`); once a session."""
+def prepare(spark: SparkSession) -> None:
+    """Gives the executors this package, for sessions that were started without it (`--py-files`), and keeps batches small.
+
+    Rows are long texts here: with Spark's default, every task holds several batches of 64 MB outside of the heap.
+    """
+    if spark.conf.get(_BATCH) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     context, root = spark.sparkContext, Path(tickbars.__file__).parent
     if context.applicationId in _shipped or not root.is_dir():
         return
