@@ -61,3 +61,55 @@ def test_units_against_brute_force(spark):
     assert report[6].licence == "MIT" and report[0].licence is None and report[0].n_matches == 0
     assert L.licence_report(df.where("false")).count() == 0
     assert L.licence_matches(df, templates={}).select("matches").first()[0] == []
+
+
+# The texts as published, with their blank lines.
+MIT = """MIT License
+
+Copyright (c) 2020 A. Author
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licences_of_several_paragraphs(spark):
+    prose = "Some words of a page that has nothing to do with any licence.\n\n"
+    hashed = "".join(f"# {line}".rstrip() + "\n" for line in APACHE.splitlines()) + "import os\n"
+    starred = "/*\n" + "".join(f" * {line}\n" for line in MIT.splitlines()) + " */\nint main() {}\n"
+    apart = MIT.replace("\n", "\n\n")
+    texts = [MIT, APACHE, hashed, starred, prose * 30 + MIT + prose * 30, MIT + prose + MIT, apart, prose * 50, MIT + APACHE]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: sorted(m.id for m in r.matches) for r in L.licence_matches(df).collect()}
+    apache = ["Apache-2.0/line", "Apache-2.0/notice"]  # its first line is one of its own
+    want = [["MIT"], apache, apache, ["MIT"], ["MIT"], ["MIT", "MIT"], ["MIT"], [], [*apache, "MIT"]]
+    assert got == dict(enumerate(want))
+    report = {r.doc_id: r for r in L.licence_report(df).collect()}
+    assert report[0].licence == "MIT" and report[0].score == 1.0 and report[1].score == 1.0

@@ -5,6 +5,11 @@ A-Z in lower case, words are runs of ASCII letters and digits and of other chara
 n bigrams can only match a template of between n*d/(2-d) and n*(2-d)/d bigrams; a unit is compared with the
 templates inside these bounds and no others. Bigrams count as often as they occur.
 
+A licence of several paragraphs is put together from runs of consecutive lines, blank ones left out, so that comment
+signs and blank lines between its paragraphs don't matter. For each template, of runs that overlap the one with the best
+score is a match (then the earlier, then the shorter one), a single line being a run as well; a run that is a unit is
+reported as that unit only, and a run inside a block that matches the template belongs to that block.
+
 Only DataFrame functions are used; everything happens within the row, so there is no shuffle.
 
 Defined cases: a null or empty text has no match; units of fewer than two words have no bigrams and never match; equal
@@ -16,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,21 +98,139 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def _firsts(grams: list[str]) -> list[str]:
+    """The distinct first words of bigrams."""
+    return sorted({g.split(" ")[0] for g in grams})
+
+
 def _literals(templates: dict[str, str], threshold: float) -> Column:
     rows = []
     for name, text in sorted(templates.items()):
         grams = bigrams(text)
         lo, hi = bounds(len(grams), threshold)
         known = F.array(*map(F.lit, grams)).alias("grams")
-        rows.append(F.struct(F.lit(name).alias("id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), known))
+        firsts = _firsts(grams)
+        # A match has `lo` of the template's bigrams at least; each word that is missing takes one away at least.
+        words = F.array(*map(F.lit, firsts)).cast("array<string>").alias("words")
+        need = F.lit(len(firsts) - (len(grams) - lo)).alias("need")
+        repeated = [F.struct(F.lit(g).alias("gram"), F.lit(n).alias("times")) for g, n in sorted(Counter(grams).items()) if n > 1]
+        again = F.array(*repeated).cast("array<struct<gram:string,times:int>>").alias("again")
+        rows.append(F.struct(F.lit(name).alias("id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), known, words, need, again))
     return F.array(*rows)
 
 
-def _shared(grams: Column, known: Column) -> Column:
-    """How many bigrams two lists have in common, each as often as in both."""
-    times = lambda xs, b: F.size(F.filter(xs, lambda x: x == b))
-    both = F.array_intersect(grams, known)
-    return F.aggregate(both, F.lit(0), lambda n, b: n + F.least(times(grams, b), times(known, b)))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _shared(grams: Column, t: Column) -> Column:
+    """How many bigrams a list has in common with a template, each as often as in both."""
+    times = lambda b: F.size(F.filter(grams, lambda x: x == b))
+    more = lambda r: F.greatest(F.least(times(r["gram"]), r["times"]) - 1, F.lit(0))
+    return F.aggregate(t["again"], F.size(F.array_intersect(grams, t["grams"])), lambda n, r: n + more(r))
+
+
+def _runs(folded: Column, templates: dict[str, str], threshold: float) -> Column:
+    """Matches of runs of several lines that are no units, from folded text."""
+    nothing = F.expr("cast(array() as array<struct<id:string,score:double>>)")
+    usable = {name: text for name, text in templates.items() if bigrams(text)}
+    if not usable:
+        return nothing
+    vocabulary = F.array(*map(F.lit, sorted({w for t in usable.values() for w in _firsts(bigrams(t))})))
+    words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
+    # Lines with words, with the number of their block.
+    lines = F.flatten(
+        F.transform(
+            F.split(folded, _BLANK_LINES),
+            lambda u, block: F.transform(
+                F.filter(F.transform(F.split(u, "\n"), words), lambda ws: F.size(ws) > 0),
+                lambda ws: F.struct(ws.alias("words"), block.alias("block")),
+            ),
+        )
+    )
+
+    def grams_of(ls: Column) -> Column:
+        """The bigrams of each line, with the one that leads to the next line."""
+
+        def of(line: Column, k: Column) -> Column:
+            ws = line["words"]
+            after = F.coalesce(F.slice(F.get(ls, k + 1)["words"], 1, 1), F.expr("cast(array() as array<string>)"))
+            seconds = F.concat(F.slice(ws, F.lit(2), F.size(ws)), after)
+            return _let(seconds, lambda ys: F.zip_with(F.slice(ws, F.lit(1), F.size(ys)), ys, lambda x, y: F.concat_ws(" ", x, y)))
+
+        return F.transform(ls, of)
+
+    def candidates(t: Column, ls: Column, gs: Column) -> Column:
+        """Runs of a size that fits, with enough bigrams of the template if each counts."""
+        sized = _let(
+            F.array_intersect(F.flatten(gs), t["grams"]),
+            lambda present: F.transform(
+                gs,
+                lambda g, k: F.struct(
+                    F.size(F.get(ls, k)["words"]).alias("n"),
+                    F.size(F.filter(g, lambda x: F.array_contains(present, x))).alias("known"),
+                ),
+            ),
+        )
+        start = F.expr("struct(-1 as n, 0 as known, 0 as lines, cast(array() as array<struct<i:int,j:int,n:int>>) as runs)")
+
+        def longer(acc: Column, line: Column, i: Column) -> Column:
+            n, known = acc["n"] + line["n"], acc["known"] + line["known"]
+            fits = n.between(t["lo"], t["hi"]) & (F.lit(2.0) * known >= F.lit(threshold - 1e-9) * (n + F.size(t["grams"])))
+            run = F.struct(i.alias("i"), (i + acc["lines"]).alias("j"), n.alias("n"))
+            runs = F.when(fits, F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
+            return F.struct(n.alias("n"), known.alias("known"), (acc["lines"] + 1).alias("lines"), runs.alias("runs"))
+
+        none = F.expr("cast(array() as array<struct<i:int,j:int,n:int>>)")
+        # A line without a known bigram at the start only lowers the score.
+        return _let(
+            sized,
+            lambda rows: F.flatten(
+                F.transform(
+                    rows,
+                    lambda line, i: F.when(
+                        line["known"] > 0,
+                        F.aggregate(
+                            F.slice(rows, i + 1, t["hi"] + 1), start, lambda acc, x: longer(acc, x, i), lambda acc: acc["runs"]
+                        ),
+                    ).otherwise(none),
+                )
+            ),
+        )
+
+    def scored(t: Column, ls: Column, gs: Column) -> Column:
+        def one(r: Column) -> Column:
+            grams = F.slice(F.flatten(F.slice(gs, r["i"] + 1, r["j"] - r["i"] + 1)), F.lit(1), r["n"])
+            score = _let(grams, lambda g: F.lit(2.0) * _shared(g, t) / (r["n"] + F.size(t["grams"])))
+            block = lambda k: F.coalesce(F.get(ls, k)["block"], F.lit(-1))
+            whole = (
+                (block(r["i"]) == block(r["j"])) & (block(r["i"] - 1) != block(r["i"])) & (block(r["j"] + 1) != block(r["j"]))
+            )
+            return F.struct((-score).alias("less"), r["i"].alias("i"), r["j"].alias("j"), whole.alias("whole"))
+
+        return F.filter(F.transform(candidates(t, ls, gs), one), lambda r: -r["less"] >= threshold)
+
+    def best(rows: Column) -> Column:
+        """Of runs that overlap the first in order, without those inside a whole block."""
+        inside = lambda r, o: o["whole"] & (o["i"] <= r["i"]) & (r["j"] <= o["j"]) & ((o["i"] < r["i"]) | (r["j"] < o["j"]))
+        free = F.filter(rows, lambda r: (r["i"] == r["j"]) | ~F.exists(rows, lambda o: inside(r, o)))
+        none = F.expr("cast(array() as array<struct<less:double,i:int,j:int,whole:boolean>>)")
+        overlap = lambda acc, r: F.exists(acc, lambda o: (o["i"] <= r["j"]) & (r["i"] <= o["j"]))
+        return F.aggregate(F.array_sort(free), none, lambda acc, r: F.when(overlap(acc, r), acc).otherwise(F.concat(acc, F.array(r))))
+
+    def matches(t: Column, ls: Column, gs: Column) -> Column:
+        runs = F.filter(_let(scored(t, ls, gs), best), lambda r: (r["i"] < r["j"]) & ~r["whole"])
+        return F.transform(runs, lambda r: F.struct(t["id"].alias("id"), (-r["less"]).alias("score")))
+
+    possible = _let(
+        F.array_intersect(F.split(folded, "[ \n]+"), vocabulary),
+        lambda ws: F.filter(_literals(usable, threshold), lambda t: F.size(F.array_intersect(ws, t["words"])) >= t["need"]),
+    )
+    found = lambda ts: _let(
+        lines, lambda ls: _let(grams_of(ls), lambda gs: F.flatten(F.transform(ts, lambda t: matches(t, ls, gs))))
+    )
+    return _let(possible, lambda ts: F.when(F.size(ts) > 0, found(ts)).otherwise(nothing))
 
 
 def licence_matches(
@@ -115,7 +239,7 @@ def licence_matches(
     templates: dict[str, str] | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The frame with `matches`: for each unit and each template that it matches, the template's id and the score.
+    """The frame with `matches`: for each unit or run and each template that it matches, the template's id and the score.
 
     A column named `matches` that the frame has is replaced.
     """
@@ -126,7 +250,7 @@ def licence_matches(
     sizes = [bounds(len(bigrams(t)), threshold) for t in table.values()]
     least, most = max(1, min(lo for lo, _ in sizes)), max(hi for _, hi in sizes)
     known = _literals(table, threshold)
-    a, b, c = (free_name(df, name) for name in ("folded", "unit_words", "unit_grams"))
+    a, b, c, d = (free_name(df, name) for name in ("folded", "unit_words", "unit_grams", "run_matches"))
 
     folded = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _CAPITALS, _SMALL), _SEPARATORS, " ")
     blocks = F.filter(F.split(F.col(a), _BLANK_LINES), lambda u: F.contains(u, F.lit("\n")))
@@ -142,15 +266,15 @@ def licence_matches(
 
     def compared(grams: Column) -> Column:
         near = F.filter(known, lambda t: F.size(grams).between(t["lo"], t["hi"]))
-        score = lambda t: F.lit(2.0) * _shared(grams, t["grams"]) / (F.size(grams) + F.size(t["grams"]))
+        score = lambda t: F.lit(2.0) * _shared(grams, t) / (F.size(grams) + F.size(t["grams"]))
         scored = F.transform(near, lambda t: F.struct(t["id"].alias("id"), score(t).alias("score")))
         return F.filter(scored, lambda r: r["score"] >= threshold)
 
     return (
         df.select(*kept, folded.alias(a))
-        .select(*kept, words.alias(b))
-        .select(*kept, F.transform(fitting, pairs).alias(c))
-        .select(*kept, F.flatten(F.transform(c, compared)).alias("matches"))
+        .select(*kept, words.alias(b), _runs(F.col(a), table, threshold).alias(d))
+        .select(*kept, F.transform(fitting, pairs).alias(c), d)
+        .select(*kept, F.concat(F.flatten(F.transform(c, compared)), F.col(d)).alias("matches"))
     )
 
 
