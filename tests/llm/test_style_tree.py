@@ -108,3 +108,16 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in T.page_report(df).collect())
     assert got == [(0, 1), (1, 0), (2, 0), (3, 199_999), (3, 199_999)]
     assert T.page_report(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_what_all_pages_share_inside_the_main_element_goes(spark, tag):
+    shared = "<div class='top'>Welcome to our site</div><ul><li>One link</li><li>Another link</li></ul><div class='legal'>All rights</div>"
+    story = "<p>story number {}</p><p>A sentence of many articles</p><p>part two of {}</p>"
+    pages = [(f"http://h/{i}", f"<body><{tag}>{shared}{story.format(i, i)}</{tag}></body>") for i in range(12)]
+    same = [(f"http://same/{i}", f"<body><nav>{i}</nav><{tag}><p>the one text</p></{tag}></body>") for i in range(6)]
+    few = [(f"http://few/{i}", pages[i][1]) for i in range(2)]
+    got = {r.page_id: r.text for r in T.page_report(spark.createDataFrame(rows_of(pages + same + few), SCHEMA)).collect()}
+    assert all(got[i] == f"story number {i}\nA sentence of many articles\npart two of {i}" for i in range(12))
+    assert {got[i] for i in range(12, 18)} == {"the one text"}
+    assert got[18].startswith("Welcome")

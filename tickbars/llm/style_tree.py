@@ -8,9 +8,10 @@ below THRESHOLD is removed from each page.
 
 Before that, what says by itself what it is gets removed everywhere: scripts, navigation, footers, asides, forms, and
 elements whose class, id or role names them as menu, advert, notice, sidebar or comments; headers count outside
-articles only. What is left inside `article` or `main` is content whatever the entropy says, so that a sentence
-which many articles share is kept. Pages of a host that are equal byte by byte count once, and a tree of fewer than
-MIN_PAGES pages removes nothing.
+articles only. The tree judges what is left, also inside `article` and `main`, where a node goes only below the stricter
+MAIN_THRESHOLD. Importance is over all contents of a node, so a sentence which many articles share is kept among others. If
+no text inside `article` and `main` of a page would be left, it all stays. Pages of a host that are equal byte by byte count
+once, and a tree of fewer than MIN_PAGES pages removes nothing.
 
 All sums are grouped by host and node, so a host with a third of all pages is no single group. Only the low-importance
 nodes meet the pages again.
@@ -36,6 +37,8 @@ from tickbars.llm.tools import map_batches, stored
 
 GAMMA = 0.9
 THRESHOLD = 0.4
+# Inside `article` and `main`.
+MAIN_THRESHOLD = 0.2
 MIN_PAGES = 4
 
 # Elements that start and end a block of text.
@@ -260,6 +263,7 @@ def importance(pages: DataFrame) -> DataFrame:
         F.sum(F.when(~content, F.col("n"))).alias("layout_n"),
         F.count(F.when(~content, 1)).alias("layouts"),
         F.max(F.when(content, (F.col("least") == 0) & (F.col("most") == 0))).alias("open"),
+        F.max(F.when(content, F.col("most") > 0)).alias("main"),
     )
     m = F.log(F.col("pages").cast("double"))
     joined = sums.join(size, node)
@@ -268,8 +272,8 @@ def importance(pages: DataFrame) -> DataFrame:
     by_layout = F.when((F.col("pages") > 1) & (F.col("layouts") > 0), F.least(spread / m, F.lit(1.0))).otherwise(1.0)
     weight = F.pow(F.lit(GAMMA), F.col("layouts"))
     both = (1 - weight) * F.col("by_layout") + weight * F.col("by_content")
-    shown = joined.select(*node, "pages", "open", "layouts", by_content.alias("by_content"), by_layout.alias("by_layout"))
-    return shown.select(*node, "pages", "open", "by_content", "by_layout", both.alias("importance"))
+    shown = joined.select(*node, "pages", "open", "main", "layouts", by_content.alias("by_content"), by_layout.alias("by_layout"))
+    return shown.select(*node, "pages", "open", "main", "by_content", "by_layout", both.alias("importance"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -277,7 +281,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     plain = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")
     ).withColumn("host", host_of("url"))
-    low = importance(plain).where(F.col("open") & (F.col("pages") >= MIN_PAGES) & (F.col("importance") < THRESHOLD))
+    limit = F.when(F.col("main"), MAIN_THRESHOLD).otherwise(THRESHOLD)
+    low = importance(plain).where((F.col("open") | F.col("main")) & (F.col("pages") >= MIN_PAGES) & (F.col("importance") < limit))
     low = stored(low.groupBy("host").agg(F.collect_list("node").alias("low")), "low-nodes")
     with_low = plain.join(low, "host", "left").select("id", "url", "html", "low")
 
@@ -287,7 +292,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             for html, low in zip(batch.column(2), batch.column(3)):
                 removed = set(low.as_py() or ())
                 blocks, _ = parse(html.as_py() or "")
-                out.append("\n".join(b.text for b in blocks if b.mark > 0 or (b.mark == 0 and b.node not in removed)))
+                whole = not any(b.mark > 0 and b.node not in removed for b in blocks)
+                kept = (b.text for b in blocks if b.mark >= 0 and (b.node not in removed or (b.mark > 0 and whole)))
+                out.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=["id", "url", "text"])
 
     made = with_low.mapInArrow(run, f"id {pages.schema[id_col].dataType.simpleString()}, url string, text string")
