@@ -95,3 +95,19 @@ def test_odd_rows_and_masking(spark):
     assert sorted(r.text or "" for r in pii.masked(df).collect()) == ["", "", "to [EMAIL] and [IP]", "to [EMAIL] and [IP]"]
     assert pii.masked(df).schema == df.schema
     assert pii.pii_report(df.where("false")).count() == 0
+
+
+def test_capitals_and_numbers_after_an_iban():
+    ibans = lambda t: [t[s.start : s.end] for s in pii.find_spans(t) if s.kind == "iban"]
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    assert ibans(f"IBAN {german} BIC COBADEFFXXX") == [german]
+    assert ibans("DE89370400440532013000 USD 500") == ["DE89370400440532013000"]
+    assert ibans(f"{german} {british} {german}") == [german, british, german]
+    assert ibans(f"REF AB12 0000 {german} EUR") == [german]
+    assert ibans("DE88370400440532013000 USD 500") == []
+    pii.find_spans("AA11 " * 80_000)
+
+
+def test_masking_leaves_no_iban_before_capitals(spark):
+    df = spark.createDataFrame([("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX",)], "text string")
+    assert pii.masked(df).first().text == "IBAN [IBAN] BIC COBADEFFXXX"

@@ -55,6 +55,16 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN_LENGTHS = {
+    country: int(n)
+    for n, countries in (x.split(":") for x in (
+        "15:NO", "16:BE", "18:DK FI FO GL NL", "19:MK SI", "20:AT BA EE KZ LT LU XK", "21:CH HR LI LV",
+        "22:BG BH CR DE GB GE IE ME RS VA", "23:AE GI IL IQ TL", "24:AD CZ ES MD PK RO SA SE SK TN VG", "25:LY PT ST",
+        "26:IS TR", "27:FR GR IT MC MR SM", "28:AL AZ BY CY DO GT HU LB PL SV", "29:BR EG PS QA UA", "30:JO KW MU", "31:MT SC",
+        "32:LC",
+    ))
+    for country in countries.split()
+}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,12 +122,32 @@ def near_score(text: str, kind: str, start: int, end: int) -> float:
     return NEAR_BONUS * bool(words & CONTEXT[kind]) - NEAR_MALUS * bool(words & AGAINST)
 
 
+def _iban_length(found: str) -> int:
+    """How much of a match of _IBAN is one: the length of its country, all of it, or up to a space; 0 if nothing is."""
+    ends = [*(i for i, c in enumerate(found) if c == " "), len(found)]
+    codes = [(end, found[:end].replace(" ", "")) for end in reversed(ends)]
+    length = IBAN_LENGTHS.get(found[:2])
+    # A country without a fixed length is tried from the longest end on.
+    first = [x for x in codes if len(x[1]) == length]
+    rest = codes[:1] if length else codes
+    return next((end for end, code in first + rest if 15 <= len(code) <= 34 and mod97(code)), 0)
+
+
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Capitals and numbers that follow an IBAN or come before it take nothing from it."""
+    out, pos = [], 0
+    while m := _IBAN.search(text, pos):
+        n = _iban_length(m[0])
+        if n:
+            out.append((m.start(), m.start() + n))
+        pos = m.start() + (n or len(m[0].split(" ", 1)[0]))
+    return out
+
+
 def _proposed(text: str) -> list[tuple[str, int, int]]:
     out = []
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            out.append(("iban", m.start(), m.end()))
+    for start, end in _ibans(text):
+        out.append(("iban", start, end))
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
