@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import automaton, bpe, language, licences, mih, pii, positional, simhash, style_tree, warc
+from tickbars.llm import automaton, bpe, language, licences, mih, pii, positional, runs, simhash, style_tree, warc
 from tickbars.llm.tools import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_style_tree": op1_style_tree,
     "op2_pii": op2_pii,
@@ -73,6 +77,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_licences": op10_licences,
+    "op13_runs": op13_runs,
 }
 
 ORACLES: dict[str, str] = {
