@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import automaton, bpe, language, licences, mih, pii, positional, runs, simhash, style_tree, warc
+from tickbars.llm import automaton, bpe, fim, language, licences, mih, pii, positional, runs, simhash, style_tree, warc
 from tickbars.llm.tools import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,10 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fim_report(_table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op8_decontamination": op8_decontamination,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_licences": op10_licences,
+    "op11_fim": op11_fim,
     "op13_runs": op13_runs,
 }
 
@@ -84,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op7_automaton": automaton.oracle_sql(),
     "op8_decontamination": positional.oracle_sql(),
     "op10_licences": licences.oracle_sql(),
+    "op11_fim": fim.oracle_sql(),
 }
