@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tickbars.llm import automaton, bpe, fim, language, licences, mih, pii, positional, runs, simhash, style_tree, warc
+from tickbars.llm import automaton, bpe, chat, fim, language, licences, mih, pii, positional, runs, simhash, style_tree, warc
 from tickbars.llm.tools import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.fim_report(_table(spark, sf_dir, "documents"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_report(_table(spark, sf_dir, "conversations"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_report(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_licences": op10_licences,
     "op11_fim": op11_fim,
+    "op12_chat": op12_chat,
     "op13_runs": op13_runs,
 }
 
@@ -90,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op8_decontamination": positional.oracle_sql(),
     "op10_licences": licences.oracle_sql(),
     "op11_fim": fim.oracle_sql(),
+    "op12_chat": chat.oracle_sql(),
 }
