@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import sqlite3
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -9,13 +10,13 @@ from pyspark.sql import types as T
 from helpers import at, by_key, trade, trades
 from tickbars import files
 from tickbars import operators as op
-from tickbars.schemas import CANDLE, CANDLE_KEYS
+from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_VERSION, PARTIAL
 from tickbars.sinks import (
     UpsertDataSource,
     candle_database,
     candle_table,
-    clean_table,
     merge_candles,
+    overwrite_days,
     read_candles,
     save_candles,
     tables,
@@ -46,6 +47,29 @@ def test_policies(spark):
         op.upsert(old, new, CANDLE_KEYS, "other")
     with pytest.raises(ValueError):
         op.upsert(old, new.drop("close"), CANDLE_KEYS)
+    with pytest.raises(ValueError):
+        op.upsert(old, new, CANDLE_KEYS, "newest")
+    with pytest.raises(ValueError):
+        op.upsert(old, new, CANDLE_KEYS, "replace", ["value"])
+
+
+def state(ticker, close, count, last=None, no=1):
+    return (at(10, 0), ticker, 1.0, 9.0, 1.0, close, 1, at(10, 0), 1, last or at(10, 1), no, count)
+
+
+def test_newest_by_trades_then_time_then_number(spark):
+    older = [state("A", 1.0, 2), state("B", 1.0, 3), state("C", 1.0, 2), state("D", 1.0, 2, no=5), state("E", 1.0, 1)]
+    newer = [state("A", 2.0, 3), state("B", 2.0, 2, at(10, 4)), state("C", 2.0, 2, at(10, 2)), state("D", 2.0, 2, no=7), state("F", 2.0, 1)]
+    old, new = spark.createDataFrame(older, PARTIAL), spark.createDataFrame(newer, PARTIAL)
+    want = {"A": 2.0, "B": 1.0, "C": 2.0, "D": 2.0, "E": 1.0, "F": 2.0}
+    for sides in ((old, new), (new, old)):
+        assert closes(op.upsert(*sides, CANDLE_KEYS, "newest", CANDLE_VERSION)) == want
+    # Null is the least; of equal versions the incoming one stays.
+    none = spark.createDataFrame([(*state("A", 3.0, 2)[:9], None, None, 2)], PARTIAL)
+    assert closes(op.upsert(old, none, CANDLE_KEYS, "newest", CANDLE_VERSION))["A"] == 1.0
+    assert closes(op.upsert(none, old, CANDLE_KEYS, "newest", CANDLE_VERSION))["A"] == 1.0
+    again = spark.createDataFrame([state("A", 4.0, 2)], PARTIAL)
+    assert closes(op.upsert(old, again, CANDLE_KEYS, "newest", CANDLE_VERSION))["A"] == 4.0
 
 
 def test_null_of_the_winner_stays(spark):
@@ -80,6 +104,7 @@ def test_merge_touches_its_days_only(spark, tmp_path):
     assert days_of(read_candles(spark, path)) == want
     assert days_of(begun) == {(1, "A"): 1.0, (2, "A"): 1.0}
     assert len(folders(spark, path, "2021-09-01")) == 1 and len(folders(spark, path, "2021-09-02")) == 2
+    assert len(files.children(spark, f"{path}/commits/2021-09-01")) == 1
     merge_candles(frame(spark, [candle("B", 5.0, at(10, 0, day=3))]), path, "keep_first")
     merge_candles(frame(spark, []), path)
     assert days_of(read_candles(spark, path)) == want
@@ -91,12 +116,13 @@ def test_replaced_folders_go_by_age(spark, tmp_path):
     for i in range(4):
         rows = frame(spark, [candle("A", float(i)), candle(f"T{i}", 1.0)])
         merge_candles(rows, path)
+        time.sleep(0.01)
         merge_candles(rows, short, keep_hours=0.0)
     want = {"A": 3.0, "T0": 1.0, "T1": 1.0, "T2": 1.0, "T3": 1.0}
     assert closes(read_candles(spark, path)) == closes(read_candles(spark, short)) == want
-    assert len(folders(spark, path, "2021-09-01/hour=10")) == 4
+    assert len(folders(spark, path, "2021-09-01")) == 4
     # The one that holds the candles, and the one that the last merge has replaced.
-    assert len(folders(spark, short, "2021-09-01/hour=10")) == 2
+    assert len(folders(spark, short, "2021-09-01")) <= 2
 
 
 def test_a_slow_reader_still_reads(spark, tmp_path):
@@ -108,8 +134,8 @@ def test_a_slow_reader_still_reads(spark, tmp_path):
     assert closes(begun) == {"A": 0.0}
 
 
-@pytest.mark.parametrize("hour", [10, 11])
-def test_two_writers_both_survive(spark, tmp_path, monkeypatch, hour):
+@pytest.mark.parametrize("day", [1, 2])
+def test_two_writers_both_survive(spark, tmp_path, monkeypatch, day):
     path = str(tmp_path / "candles")
     merge_candles(frame(spark, [candle("OLD", 1.0)]), path)
     real, times = tables._write, []
@@ -117,53 +143,44 @@ def test_two_writers_both_survive(spark, tmp_path, monkeypatch, hour):
     def between(*args):
         times.append(1)
         out = real(*args)
-        if len(times) == 1:  # the other writer's whole merge lies between this one's files and its commit
-            merge_candles(frame(spark, [candle("OTHER", 2.0, at(hour, 0))]), path)
+        if len(times) == 1:  # the other writer's whole merge lies between this one's files and its commits
+            merge_candles(frame(spark, [candle("OTHER", 2.0, at(10, 0, day=day))]), path)
         return out
 
     monkeypatch.setattr(tables, "_write", between)
-    merge_candles(frame(spark, [candle("MINE", 3.0)]), path)
-    assert closes(read_candles(spark, path)) == {"OLD": 1.0, "OTHER": 2.0, "MINE": 3.0}
-    # Written anew only if the other one had touched the same hour.
-    assert len(times) == (3 if hour == 10 else 2)
-    orphans = clean_table(spark, path, keep_hours=-1.0)
-    assert len(orphans) == (1 if hour == 10 else 0)
-    assert len(read_candles(spark, path).collect()) == 3
+    merge_candles(frame(spark, [candle("MINE", 3.0), candle("MORE", 3.0, at(10, 0, day=3))]), path)
+    assert closes(read_candles(spark, path)) == {"OLD": 1.0, "OTHER": 2.0, "MINE": 3.0, "MORE": 3.0}
+    # Written anew only if the other one had touched the same day, and only that day.
+    assert len(times) == (3 if day == 1 else 2)
+    assert len(files.children(spark, f"{path}/commits/2021-09-03")) == 1
 
 
 def test_a_writer_that_died_between_number_and_name(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "candles")
     merge_candles(frame(spark, [candle("A", 1.0)]), path)
-    assert files.create_text(spark, f"{path}/commits/000000000002", "")
-    monkeypatch.setattr(tables._Table._said, "__defaults__", (0.1,))
+    assert files.create_text(spark, f"{path}/commits/2021-09-01/000000000002", "")
+    monkeypatch.setattr(tables._newest, "__defaults__", (0.1,))
     assert closes(read_candles(spark, path)) == {"A": 1.0}
     merge_candles(frame(spark, [candle("B", 1.0)]), path)
     assert closes(read_candles(spark, path)) == {"A": 1.0, "B": 1.0}
 
 
-def test_a_merge_reads_and_writes_its_hours_only(spark, tmp_path):
+def test_days_overwritten(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    merge_candles(frame(spark, [candle(t, 1.0, at(10, 0, day=d)) for t in "AB" for d in (1, 2, 3)]), path)
+    fresh = frame(spark, [candle("A", 2.0), candle("C", 2.0, at(10, 0, day=3))])
+    overwrite_days(fresh, path, [dt.date(2021, 9, 1), dt.date(2021, 9, 2), dt.date(2021, 9, 4)])
+    assert days_of(read_candles(spark, path)) == {(1, "A"): 2.0, (3, "A"): 1.0, (3, "B"): 1.0}
+    merge_candles(frame(spark, [candle("D", 4.0, at(10, 0, day=2))]), path)
+    assert days_of(read_candles(spark, path))[2, "D"] == 4.0
+
+
+def test_files_of_a_day(spark, tmp_path):
     path = str(tmp_path / "candles")
-    seen = set()
-
-    def merged(rows):
-        merge_candles(frame(spark, rows), path, files_per_unit=2)
-        (merge,) = set(files.children(spark, f"{path}/data")) - seen
-        seen.add(merge)
-        return f"{path}/data/{merge}/trade_date=2021-09-01"
-
-    def parts(folder):
-        return len([p for p in files.children(spark, folder) if p.endswith(".parquet")])
-
-    few = merged([candle(f"T{i}", 1.0, at(h, 0)) for h in (8, 9) for i in range(20)])
-    assert sorted(files.children(spark, few)) == ["hour=8", "hour=9"] and 1 <= parts(f"{few}/hour=9") <= 2
-    # Many hours: the day becomes one unit. The next merge of an hour makes hours of it again.
-    many = merged([candle(f"T{i}", 1.0, at(h, 5)) for h in range(8, 20) for i in range(20)])
-    assert 1 <= parts(many) <= 2 and not [n for n in files.children(spark, many) if n.startswith("hour")]
-    assert len(files.children(spark, merged([candle("T0", 2.0, at(12, 5))]))) == 12
-    assert files.children(spark, merged([candle("T0", 3.0, at(12, 5))])) == ["hour=12"]
-    got = read_candles(spark, path)
-    assert got.count() == 2 * 20 + 12 * 20
-    assert [r.close for r in got.where("ticker = 'T0' and datetime = timestamp_ntz'2021-09-01 12:05:00'").collect()] == [3.0]
+    merge_candles(frame(spark, [candle(f"T{i}", 1.0, at(h, 0)) for h in range(8, 20) for i in range(20)]), path, files_per_day=3)
+    (merge,) = files.children(spark, f"{path}/data")
+    parts = [p for p in files.children(spark, f"{path}/data/{merge}/trade_date=2021-09-01") if p.endswith(".parquet")]
+    assert 2 <= len(parts) <= 3 and read_candles(spark, path).count() == 240
 
 
 @pytest.mark.parametrize("policy", ["keep_first", "replace"])

@@ -14,7 +14,7 @@ from tickbars.functions.time import (
     to_instant,
     trade_day,
 )
-from tickbars.functions.values import trade_order, whole_value
+from tickbars.functions.values import total_order, trade_order, whole_value
 
 __all__ = [
     "bucket_start",
@@ -30,6 +30,7 @@ __all__ = [
     "status_label",
     "tick_number",
     "to_instant",
+    "total_order",
     "trade_day",
     "trade_order",
     "whole_value",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickbars.functions.time import check_minutes
+from tickbars.functions.time import check_minutes, to_instant
 
 
 def whole_value(value: Column | str) -> Column:
@@ -17,6 +17,24 @@ def whole_value(value: Column | str) -> Column:
     return F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
 
 
+def _check_tie(tie: str) -> None:
+    if tie not in ("tradeNo", "reverse"):
+        raise ValueError(f"tie must be 'tradeNo' or 'reverse', got {tie!r}")
+
+
+def _wide(second: Column, no: Column, tie: str) -> Column:
+    step = F.lit("100000000000000000000").cast("decimal(21,0)")
+    low = no.cast("decimal(20,0)")
+    return second * step + (low if tie == "tradeNo" else -low)
+
+
+def total_order(when: Column | str, trade_no: Column | str, tie: str = "tradeNo") -> Column:
+    """Sort key of trades over all times, a decimal: second, then trade number (`tie` as in `trade_order`)."""
+    _check_tie(tie)
+    no = F.col(trade_no) if isinstance(trade_no, str) else trade_no
+    return _wide(F.unix_seconds(to_instant(when)).cast("decimal(12,0)"), no, tie)
+
+
 def trade_order(
     when: Column | str,
     trade_no: Column | str,
@@ -32,16 +50,13 @@ def trade_order(
     in a hash aggregate, where a struct would fall back to sorting. `tie="reverse"` puts the highest
     trade number of a second first.
     """
-    if tie not in ("tradeNo", "reverse"):
-        raise ValueError(f"tie must be 'tradeNo' or 'reverse', got {tie!r}")
+    _check_tie(tie)
     when = F.col(when) if isinstance(when, str) else when
     no = F.col(trade_no) if isinstance(trade_no, str) else trade_no
     check_minutes(minutes)
     second = (F.minute(when) % minutes * 60 + F.second(when)).cast("bigint")
     if order == "wide":
-        step = F.lit("100000000000000000000").cast("decimal(21,0)")
-        low = no.cast("decimal(20,0)")
-        return second.cast("decimal(4,0)") * step + (low if tie == "tradeNo" else -low)
+        return _wide(second.cast("decimal(4,0)"), no, tie)
     if order == "packed":
         bits = 63 - (minutes * 60 - 1).bit_length()
         top = (1 << bits) - 1

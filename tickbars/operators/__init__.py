@@ -11,6 +11,7 @@ from tickbars.operators.candles import (
 )
 from tickbars.operators.columns import with_once
 from tickbars.operators.messages import decode_trades, drop_null_messages, filter_events, to_messages
+from tickbars.operators.partials import candle_partials, combine_candles, plain_candles
 from tickbars.operators.progress import batch_sizes, count_of, counted, latest_offsets, offset_ranges
 from tickbars.operators.trades import (
     CANDLE_INPUTS,
@@ -30,8 +31,10 @@ from tickbars.operators.upsert import upsert
 __all__ = [
     "CANDLE_INPUTS",
     "batch_sizes",
+    "candle_partials",
     "candles",
     "cast_serving",
+    "combine_candles",
     "count_of",
     "counted",
     "day_series",
@@ -49,6 +52,7 @@ __all__ = [
     "microbatch_candles",
     "offset_ranges",
     "ordered_candles",
+    "plain_candles",
     "serving_split",
     "time_key",
     "to_messages",

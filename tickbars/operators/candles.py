@@ -38,26 +38,32 @@ def candles(
     `order` and `tie` see `functions.trade_order`. On a stream, set the watermark on `instant` first
     (see `streaming.stream_candles`).
     """
+    return grouped(trades, minutes, order, tie, by, _AGGREGATES).select(*by, *CANDLE.names)
+
+
+def grouped(
+    trades: DataFrame, minutes: int, order: str, tie: str, by: Sequence[str], aggregates: Sequence[str]
+) -> DataFrame:
+    """Aggregates, SQL text over price, whole_value, trade_order, dt and tradeNo, per candle.
+
+    Columns: `by`, `datetime`, `ticker`, the aggregates, and for streams `window`, on which the state ends.
+    """
     check_minutes(minutes)
     inputs = [
         *by,
         F.col("secId").alias("ticker"),
         "price",
+        "dt",
+        "tradeNo",
         whole_value("value").alias("whole_value"),
         trade_order("dt", "tradeNo", minutes, order, tie).alias("trade_order"),
     ]
     if not trades.isStreaming:
-        grouped = trades.select(bucket_start("dt", minutes).alias("datetime"), *inputs).groupBy(
-            *by, "datetime", "ticker"
-        )
-        return grouped.agg(*map(F.expr, _AGGREGATES))
+        start = bucket_start("dt", minutes).alias("datetime")
+        return trades.select(start, *inputs).groupBy(*by, "datetime", "ticker").agg(*map(F.expr, aggregates))
     # The window has to be a grouping column for the watermark to end its state.
-    grouped = trades.select("instant", *inputs).groupBy(
-        *by, F.window("instant", f"{minutes} minutes"), "ticker"
-    )
-    return grouped.agg(*map(F.expr, _AGGREGATES)).select(
-        *by, from_instant(F.col("window.start")).alias("datetime"), *CANDLE.names[1:]
-    )
+    windows = trades.select("instant", *inputs).groupBy(*by, F.window("instant", f"{minutes} minutes"), "ticker")
+    return windows.agg(*map(F.expr, aggregates)).withColumn("datetime", from_instant(F.col("window.start")))
 
 
 def microbatch_candles(

@@ -14,8 +14,8 @@ from tickbars import functions as TF
 from tickbars import operators as op
 from tickbars.plans import inputs
 from tickbars.plans.backfill import backfill, backfill_day
-from tickbars.schemas import CANDLE, CANDLE_KEYS, TRADE
-from tickbars.sinks import append_ledger, candle_table, merge_candles, read_candles
+from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_VERSION, PARTIAL, TRADE
+from tickbars.sinks import append_ledger, candle_table, merge_candles, read_batches, read_candles, write_batch
 from tickbars.sources import read_deals_csv, read_ledger, read_messages, stream_messages
 from tickbars.streaming import (
     decoded_stream,
@@ -165,6 +165,46 @@ def ordered_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.ordered_candles(op.candles(_valid(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- candles out of parts
+
+
+def _partial_sql(source: str = "t", minutes: int = 5, where: str = "true", extra: str = "") -> str:
+    more = """, arg_min(dt, (dt, tn)) as open_time, arg_min(tn, (dt, tn)) as open_no,
+             arg_max(dt, (dt, tn)) as close_time, arg_max(tn, (dt, tn)) as close_no, count(*) as trades
+      from """
+    return _candle_sql(source, minutes, where, extra).replace("from ", more.lstrip(" "), 1)
+
+
+@query("candle_partials", f"with {_T} {_partial_sql()}")
+def candle_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.candle_partials(_valid(spark, sf_dir))
+
+
+@query("candles_60m_from_5m", f"with {_T} {_candle_sql(minutes=60)}")
+def candles_60m_from_5m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours out of stored five-minute candles, without their trades."""
+    path = files.new_dir(spark, "candles")
+    merge_candles(op.candle_partials(_valid(spark, sf_dir)), path)
+    return op.plain_candles(op.combine_candles(read_candles(spark, path, schema=PARTIAL), 60))
+
+
+@query("combine_halves", f"with {_T} {_partial_sql()}")
+def combine_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candles of every other trade and of the rest, which cuts most candles, put together."""
+    trades = _valid(spark, sf_dir)
+    parts = [op.candle_partials(trades.where(f"tradeNo % 2 = {n}")) for n in (1, 0)]
+    return op.combine_candles(parts[0].unionByName(parts[1]))
+
+
+@query("combine_batches", f"with {_T} {_candle_sql(minutes=15)}")
+def combine_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of seven batches from one pass, first put together in three groups, then to candles of another width."""
+    trades = _valid(spark, sf_dir).withColumn("batch", F.expr("tradeNo % 7"))
+    parts = op.candle_partials(trades, by=["batch"]).withColumn("group", F.expr("batch % 3"))
+    grouped = op.combine_candles(parts, by=["group"])
+    return op.plain_candles(op.combine_candles(grouped, 15))
+
+
 # ---------------------------------------------------------------- trades
 
 
@@ -414,6 +454,39 @@ _upserts("keep_first", _KEEP_FIRST)
 _upserts("replace", _REPLACE)
 
 
+def _newest_sql(*sides: str) -> str:
+    """Of the candles of one key in some tables the one of the greatest version; of equal ones that of the last table."""
+    every = " union all ".join(f"select *, {i} as place from {side}" for i, side in enumerate(sides))
+    best = "row_number() over (partition by datetime, ticker order by trades desc, close_time desc, close_no desc, place desc)"
+    return f"select * exclude (place) from ({every}) qualify {best} = 1"
+
+
+@query(
+    "upsert_newest",
+    f"with {_T}, e as ({_partial_sql(where='k < 50')}), i as ({_partial_sql(where='k >= 50')}) {_newest_sql('e', 'i')}",
+)
+def upsert_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candle of the buys or of the sells, whichever knows of more trades."""
+    trades = _valid(spark, sf_dir)
+    sides = [op.candle_partials(trades.where(f"buySell = '{side}'")) for side in "BS"]
+    return op.upsert(*sides, CANDLE_KEYS, "newest", CANDLE_VERSION)
+
+
+def _states(trades: DataFrame) -> list[DataFrame]:
+    """What a stateful stream would emit after each of three batches: candles of all trades so far."""
+    return [op.candle_partials(trades.where(f"tradeNo % 3 <= {n}")) for n in range(3)]
+
+
+@query("merge_newest_any_order", f"with {_T} {_candle_sql()}")
+def merge_newest_any_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of a stream merged last one first, the first one twice: the newest stays."""
+    path = files.new_dir(spark, "candles")
+    first, second, third = _states(_valid(spark, sf_dir))
+    for state in (third, first, second, first):
+        merge_candles(state, path, "newest", CANDLE_VERSION)
+    return read_candles(spark, path).select(*CANDLE.names)
+
+
 @query("backfill", f"with {_TABLE_T} {_candle_sql()}")
 def backfill_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backfill(inputs.deals(spark, sf_dir))
@@ -525,20 +598,21 @@ def stream_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- streams of several batches
 
-# All messages in three files, once by trade number, which cuts every candle, and once in the order of time.
+# All messages in three batches of files, once by trade number, which cuts every candle, and once in the order of time.
 _BY_NUMBER, _BY_TIME = "tn % 3", "least((day(dt) - 1) // 10, 2)"
 _NUMBER = "tradeNo % 3"
 _TIME = "least((cast(substring(tradeDate, 1, 2) as int) - 1) div 10, 2)"
 
 
 def _file_stream(spark: SparkSession, sf_dir: str, number: str) -> DataFrame:
-    return stream_messages(spark, "parquet", inputs.message_files(spark, sf_dir, number), maxFilesPerTrigger="1")
+    path, n = inputs.message_batches(spark, sf_dir, number)
+    return stream_messages(spark, "parquet", path, maxFilesPerTrigger=str(n))
 
 
 @query("message_files", f"with {_T} select {_POS}, {_TRADE_ROW} from t where {_USABLE}")
 def message_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages written to files and read back as a batch."""
-    found = read_messages(spark, "parquet", inputs.message_files(spark, sf_dir, _NUMBER))
+    found = read_messages(spark, "parquet", inputs.message_batches(spark, sf_dir, _NUMBER)[0])
     return op.valid_trades(decoded_stream(found)).select("topic", "partition", "offset", *TRADE.names)
 
 
@@ -591,6 +665,32 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_candles(spark, path).select(*CANDLE.names)
 
 
+@query(
+    "stream_lost_checkpoint",
+    f"""with {_T}, a as ({_partial_sql(where=f"{_USABLE} and tn % 3 < 2")}),
+    b as ({_partial_sql(where=f"{_USABLE} and tn % 3 = 2")})
+    select {", ".join(CANDLE.names)} from ({_newest_sql("a", "b")})""",
+)
+def stream_lost_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that starts again without its state knows the rest of a candle only, which does not replace the greater part."""
+    path = files.new_dir(spark, "candles")
+    for part in ("tradeNo % 3 < 2", "tradeNo % 3 = 2"):
+        sent = inputs.messages_of(inputs.trades_of(inputs.events_stream(spark, sf_dir)).where(part))
+        sink, checkpoint = candle_table(path, "newest", CANDLE_VERSION), files.new_dir(spark, "checkpoint")
+        start_candles(sent, sink, checkpoint, app=path[-32:], trigger=_NOW, versioned=True).awaitTermination()
+    return read_candles(spark, path).select(*CANDLE.names)
+
+
+@query("stream_partials", f"with {_T} {_candle_sql(where=_USABLE)}")
+def stream_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches that cut every candle, without state: each leaves its parts, which readers put together."""
+    path = files.new_dir(spark, "parts")
+    sent, checkpoint = _file_stream(spark, sf_dir, _NUMBER), files.new_dir(spark, "checkpoint")
+    sink = lambda parts, batch_id: write_batch(parts, path, batch_id)
+    start_candles(sent, sink, checkpoint, "per_batch", app=path[-32:], trigger=_NOW, versioned=True).awaitTermination()
+    return op.plain_candles(op.combine_candles(read_batches(spark, path, PARTIAL)))
+
+
 def _metrics_of(mode: str) -> Query:
     number, cut = (_NUMBER, _BY_NUMBER) if mode == "per_batch" else (_TIME, _BY_TIME)
     kept = f"{_HEADER_OK} and k <> 0"

@@ -113,11 +113,16 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(trades(spark, sf_dir))
 
 
-def message_files(spark: SparkSession, sf_dir: str, number: str) -> str:
-    """A folder with all messages, those of each number in a file of its own, oldest file first."""
+def message_batches(spark: SparkSession, sf_dir: str, number: str) -> tuple[str, int]:
+    """A folder with all messages, those of each number in files of their own, oldest numbers first; and how many files.
+
+    Each number's messages are made and written by as many tasks as the table is read by, and at least two, so a
+    stream of that many files a batch has one batch per number and reads each with many tasks.
+    """
     path = files.new_dir(spark, "messages")
     rows = trades(spark, sf_dir).withColumn("file", F.expr(number))
-    for (n,) in sorted(rows.select("file").distinct().collect()):
-        write_messages(messages_of(rows.where(F.col("file") == n)).coalesce(1), "parquet", path)
+    n = max(2, rows.rdd.getNumPartitions())
+    for (batch,) in sorted(rows.select("file").distinct().collect()):
+        write_messages(messages_of(rows.where(F.col("file") == batch).repartition(n)), "parquet", path)
         time.sleep(0.02)  # the file source orders by modification time
-    return path
+    return path, n

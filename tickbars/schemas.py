@@ -73,8 +73,12 @@ _CANDLE = {
 CANDLE = _struct(**_CANDLE)
 CANDLE_KEYS = ["datetime", "ticker"]
 
-# Candle table on files: CANDLE plus its partition column.
-CANDLE_TABLE = _struct(**_CANDLE, trade_date="date")
+# Candle with what is needed to combine it with others of its ticker, or to tell which of two is the later one.
+PARTIAL = _struct(
+    **_CANDLE, open_time="ntz", open_no="bigint", close_time="ntz", close_no="bigint", trades="bigint"
+)
+# Of two states of one candle the one that has seen more trades is the newer, then the one that has seen a later trade.
+CANDLE_VERSION = ["trades", "close_time", "close_no"]
 
 # How far an application has read each topic partition; last_offset is exclusive.
 LEDGER = _struct(

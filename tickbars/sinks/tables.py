@@ -1,215 +1,156 @@
-"""Candle table on Parquet files: an immutable folder per merge and unit, and numbered commits.
+"""Candle table on Parquet files: a folder per merge and day, and a commit per day.
 
-A unit is an hour, or a whole day after a merge that touched many of its hours: a stream then rewrites the hour or two
-that it is in, and a repair does not leave a file for every hour. A commit names the folder of every unit. It is made by creating its number, which
-succeeds for one writer only; the others read the table again and merge once more if the units they touch have
-changed meanwhile. Readers take the newest commit, so a merge becomes visible as a whole, however many days it
-touches. What a commit no longer names is deleted after `keep_hours`, which is the time that a reader has.
+A merge reads the days that it touches, merges, writes these days below a folder of its own and commits each of them by
+creating the day's next number, a small file that names the folder. That succeeds for one writer only; another one
+that has touched the same day reads it again and merges once more. Readers take the newest number of each day, so a
+day changes as a whole. A merge looks at its own days only, however many the table has.
 
 Creating a number has to be exclusive, which HDFS and local file systems are; on object stores use a table format.
-Folders of a merge that was cut short are named by no commit; `clean_table` removes them.
+What a job leaves behind in `data` when it is cut short is named by no commit and harms nobody.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import json
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickbars import files
 from tickbars.operators.upsert import check_policy, upsert
-from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_TABLE
+from tickbars.schemas import CANDLE, CANDLE_KEYS
 
-# How long a replaced folder stays for those who read it.
+# How long what has been replaced stays for those who read it.
 KEEP_HOURS = 24.0
-# A merge that touches more hours of a day than these writes the day as one unit.
-WIDE_HOURS = 6
 _TRIES = 50
+_NONE = "-"
 
 
-def _place(unit: str) -> str:
-    """Place of a unit below a merge's folder. Units read 2024-01-10 or 2024-01-10T05."""
-    day, _, hour = unit.partition("T")
-    return f"trade_date={day}/hour={int(hour)}" if hour else f"trade_date={day}"
-
-
-class _Table:
-    """The commits of a table."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def newest(self) -> tuple[int, dict]:
-        """Number and content of the newest commit; 0 if there is none."""
-        numbers = sorted((int(n) for n in files.children(self.spark, f"{self.path}/commits")), reverse=True)
-        for n in numbers:
-            name = files.read_text(self.spark, f"{self.path}/commits/{n:012d}").strip()
-            if name:  # else its writer is about to say so, or has died
-                return n, json.loads(files.read_text(self.spark, f"{self.path}/states/{name}"))
-        return 0, {"units": {}, "retired": []}
-
-    def commit(self, after: int, state: dict) -> bool:
-        """Makes the next commit; False if another writer has made it."""
-        name = f"{uuid.uuid4().hex}.json"
-        files.create_text(self.spark, f"{self.path}/states/{name}", json.dumps(state))
-        number = after + 1
-        while not files.create_text(self.spark, f"{self.path}/commits/{number:012d}", name):
-            if self._said(number):
-                files.delete(self.spark, f"{self.path}/states/{name}")
-                return False
-            number += 1  # its writer has died without a word
-        self._forget(number)
-        return True
-
-    def _said(self, number: int, seconds: float = 5.0) -> bool:
-        """Whether a commit that exists has a content, or gets one within some seconds."""
-        until = time.monotonic() + seconds
-        while not files.read_text(self.spark, f"{self.path}/commits/{number:012d}").strip():
-            if time.monotonic() > until:
-                return False
+def _newest(spark: SparkSession, path: str, day: str, seconds: float = 5.0) -> tuple[int, str]:
+    """Number and folder of a day's newest commit; 0 and none if there is none."""
+    commits = f"{path}/commits/{day}"
+    numbers = sorted((int(n) for n in files.children(spark, commits)), reverse=True)
+    until = time.monotonic() + seconds
+    for n in numbers:
+        # A number without a name: its writer is about to say it, or has died.
+        while not (name := files.read_text(spark, f"{commits}/{n:012d}").strip()) and time.monotonic() < until:
             time.sleep(0.05)
-        return True
-
-    def _forget(self, number: int, keep: int = 200) -> None:
-        """Removes commits that are long past, with their states."""
-        for name in files.children(self.spark, f"{self.path}/commits"):
-            if int(name) <= number - keep:
-                state = files.read_text(self.spark, f"{self.path}/commits/{name}").strip()
-                files.delete(self.spark, f"{self.path}/commits/{name}")
-                if state:
-                    files.delete(self.spark, f"{self.path}/states/{state}")
-
-
-def _read(spark: SparkSession, path: str, folders: Iterable[str]) -> DataFrame:
-    stored = spark.read.schema(CANDLE).parquet(*[f"{path}/data/{f}" for f in folders])
-    return stored.select(*CANDLE.names, F.to_date("datetime").alias("trade_date"))
-
-
-def read_candles(spark: SparkSession, path: str, days: Iterable[dt.date] | None = None) -> DataFrame:
-    """The candles of the given days, of all days by default, as the newest commit has them."""
-    units = _Table(spark, path).newest()[1]["units"]
-    wanted = None if days is None else {str(d) for d in days}
-    folders = [v["at"] for unit, v in units.items() if wanted is None or unit[:10] in wanted]
-    return _read(spark, path, folders) if folders else spark.createDataFrame([], CANDLE_TABLE)
-
-
-def _text() -> Column:
-    """The wall clock as text, whatever the session zone is; date_format and hour would go by it."""
-    return F.col("datetime").cast("string")
-
-
-def _touched(df: DataFrame) -> dict[str, set[str]]:
-    """Hours that candles fall into, by day: a small list however many candles there are."""
-    out: dict[str, set[str]] = {}
-    for (unit,) in df.select(F.translate(F.substring(_text(), 1, 13), " ", "T").alias("unit")).distinct().collect():
-        out.setdefault(unit[:10], set()).add(unit[11:])
-    return out
-
-
-def _plan(touched: dict[str, set[str]], units: dict[str, dict]) -> tuple[dict[str, str], dict[str, list[str]]]:
-    """Units to read and replace, with their folders, and units to write, with the hours in each."""
-    read: dict[str, str] = {}
-    write: dict[str, list[str]] = {}
-    by_day: dict[str, dict[str, dict]] = {}
-    for unit, v in units.items():
-        by_day.setdefault(unit[:10], {})[unit] = v
-    for day, hours in touched.items():
-        here = by_day.get(day, {})
-        wide = len(hours) > WIDE_HOURS
-        if not wide and day not in here:
-            here = {u: v for u, v in here.items() if u[11:] in hours}
-        read |= {u: v["at"] for u, v in here.items()}
-        every = sorted(hours.union(*(v["hours"] for v in here.values())))
-        write |= {day: every} if wide else {f"{day}T{h}": [h] for h in every}
-    return read, write
-
-
-def _write(df: DataFrame, path: str, units: dict[str, list[str]], files_per_unit: int) -> dict[str, dict]:
-    """A new folder with these units. Dealt out by unit and salt: adaptive execution is off in stateful batches."""
-    merge = uuid.uuid4().hex
-    day = F.to_date("datetime")
-    whole = [u for u in units if "T" not in u]
+        if name:
+            return numbers[0], name
+    return (numbers[0] if numbers else 0), _NONE
+
+
+def _commit(spark: SparkSession, path: str, day: str, after: int, name: str, keep_hours: float) -> bool:
+    """Makes the next commit of a day; False if another writer has made it. Clears away what has been replaced long ago."""
+    commits = f"{path}/commits/{day}"
+    if not files.create_text(spark, f"{commits}/{after + 1:012d}", name):
+        return False
+    # A folder is out of use since the next number was made.
+    old = {int(n) for n in files.children(spark, commits, older_than=time.time() - keep_hours * 3600)}
+    for n in sorted(int(n) for n in files.children(spark, commits)):
+        if n + 1 not in old or n > after:
+            break
+        gone = files.read_text(spark, f"{commits}/{n:012d}").strip()
+        if gone not in ("", _NONE):
+            files.delete(spark, _place(path, gone, day))
+        files.delete(spark, f"{commits}/{n:012d}")
+    return True
+
+
+def _place(path: str, name: str, day: str) -> str:
+    return f"{path}/data/{name}/trade_date={day}"
+
+
+def _read(spark: SparkSession, path: str, newest: dict[str, tuple[int, str]], schema: T.StructType) -> DataFrame | None:
+    folders = [_place(path, name, day) for day, (_, name) in newest.items() if name != _NONE]
+    return spark.read.schema(schema).parquet(*folders) if folders else None
+
+
+def read_candles(
+    spark: SparkSession, path: str, days: Iterable[dt.date] | None = None, schema: T.StructType = CANDLE
+) -> DataFrame:
+    """The candles of the given days, of all days by default, with `trade_date`. `schema` is that of the table's columns."""
+    wanted = files.children(spark, f"{path}/commits") if days is None else [str(d) for d in days]
+    stored = _read(spark, path, {d: _newest(spark, path, d) for d in wanted}, schema)
+    found = spark.createDataFrame([], schema) if stored is None else stored
+    return found.withColumn("trade_date", F.to_date("datetime"))
+
+
+def _days(df: DataFrame) -> list[str]:
+    """Days that candles fall into: a small list however many candles there are."""
+    return sorted(str(d) for (d,) in df.select(F.to_date("datetime")).distinct().collect())
+
+
+def _write(df: DataFrame, path: str, days: int, files_per_day: int) -> str:
+    """Name of a new folder with these candles. Dealt out by day and salt: adaptive execution is off in stateful batches."""
+    name = uuid.uuid4().hex
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64("ticker"), F.lit(files_per_unit))
-    for by_hour in (False, True):
-        mine = [u for u in units if ("T" in u) == by_hour]
-        if not mine:
-            continue
-        # Days are few: as a list they are no filter that grows with the candles.
-        of_days = day.cast("string").isin(whole)
-        part = df.where(~of_days if by_hour else of_days) if len(mine) < len(units) else df
-        keys = ["trade_date", "hour"] if by_hour else ["trade_date"]
-        out = part.withColumns({"trade_date": day, **({"hour": F.substring(_text(), 12, 2).cast("int")} if by_hour else {})})
-        out = out.repartition(max(1, min(most, len(mine) * files_per_unit)), *keys, salt)
-        out.write.mode("append").partitionBy(*keys).parquet(f"{path}/data/{merge}")
-    return {u: {"at": f"{merge}/{_place(u)}", "hours": hours} for u, hours in units.items()}
+    salt = F.pmod(F.xxhash64("ticker"), F.lit(files_per_day))
+    out = df.withColumn("trade_date", F.to_date("datetime"))
+    out = out.repartition(max(1, min(most, days * files_per_day)), "trade_date", salt)
+    out.write.partitionBy("trade_date").parquet(f"{path}/data/{name}")
+    return name
 
 
 def merge_candles(
     incoming: DataFrame,
     path: str,
     policy: str = "replace",
-    files_per_unit: int = 1,
+    version: Sequence[str] = (),
+    files_per_day: int = 1,
     keep_hours: float = KEEP_HOURS,
 ) -> None:
-    """Upserts candles, unique by (datetime, ticker), into the table at `path`.
+    """Upserts candles, unique by (datetime, ticker), into the table at `path`; for the policies see `operators.upsert`.
 
-    Only the units that `incoming` touches are read and written. Any number of writers may merge at the same time.
+    The columns are those of `incoming`, for all merges into a table. Only the days that `incoming` touches are read and
+    written. Any number of writers may merge at the same time.
     """
-    check_policy(policy)
+    check_policy(policy, version)
     spark = incoming.sparkSession
-    table = _Table(spark, path)
-    # Read for its hours and for the merge. Blocks that are lost are computed again.
-    fresh = incoming.select(*CANDLE.names).persist(StorageLevel.MEMORY_AND_DISK)
+    # Read for its days and for the merge. Blocks that are lost are computed again.
+    fresh = incoming.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        touched = _touched(fresh)
-        if not touched:
-            return
-        plan, written = None, {}
-        for _ in range(_TRIES):
-            number, state = table.newest()
-            if (now_planned := _plan(touched, state["units"])) != plan:
-                plan = now_planned
-                read, write = plan
-                merged = fresh
-                if read:
-                    # Without trade_date among the keys: candles come hashed by these two already.
-                    merged = upsert(_read(spark, path, read.values()).drop("trade_date"), fresh, CANDLE_KEYS, policy)
-                written = _write(merged, path, write, files_per_unit)
-            now = time.time()
-            late = {f for f, at in state["retired"] if at < now - keep_hours * 3600}
-            retired = [x for x in state["retired"] if x[0] not in late] + [[f, now] for f in read.values()]
-            units = {u: v for u, v in state["units"].items() if u not in read} | written
-            if table.commit(number, {"units": units, "retired": retired}):
-                for folder in late:
-                    files.delete(spark, f"{path}/data/{folder}")
+        left = _days(fresh)
+        for attempt in range(_TRIES):
+            if not left:
                 return
-        raise RuntimeError(f"{path} has changed {_TRIES} times while it was merged into")
+            newest = {d: _newest(spark, path, d) for d in left}
+            mine = fresh if not attempt else fresh.where(F.to_date("datetime").cast("string").isin(left))
+            stored = _read(spark, path, newest, incoming.schema)
+            merged = mine if stored is None else upsert(stored, mine, CANDLE_KEYS, policy, version)
+            name = _write(merged, path, len(left), files_per_day)
+            left = [d for d in left if not _commit(spark, path, d, newest[d][0], name, keep_hours)]
+        if left:
+            raise RuntimeError(f"{path} has changed {_TRIES} times while it was merged into")
     finally:
         fresh.unpersist()
 
 
-def clean_table(spark: SparkSession, path: str, keep_hours: float = KEEP_HOURS) -> list[str]:
-    """Removes folders of merges that were never committed and are older than so many hours; gives their names."""
-    state = _Table(spark, path).newest()[1]
-    named = {v["at"].partition("/")[0] for v in state["units"].values()} | {f.partition("/")[0] for f, _ in state["retired"]}
-    old = files.children(spark, f"{path}/data", older_than=time.time() - keep_hours * 3600)
-    gone = [merge for merge in old if merge not in named]
-    for merge in gone:
-        files.delete(spark, f"{path}/data/{merge}")
-    return gone
+def overwrite_days(
+    candles: DataFrame, path: str, days: Iterable[dt.date], files_per_day: int = 1, keep_hours: float = KEEP_HOURS
+) -> None:
+    """Makes the table hold, of the given days, these candles and no others. Of several writers the last one wins."""
+    spark, wanted = candles.sparkSession, sorted({str(d) for d in days})
+    fresh = candles.where(F.to_date("datetime").cast("string").isin(wanted)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        held = set(_days(fresh))
+        name = _write(fresh, path, len(held), files_per_day) if held else _NONE
+        for day in wanted:
+            while not _commit(spark, path, day, _newest(spark, path, day)[0], name if day in held else _NONE, keep_hours):
+                pass
+    finally:
+        fresh.unpersist()
 
 
-def candle_table(path: str, policy: str = "replace", **how: float) -> Callable[[DataFrame, int], None]:
-    """Sink for `start_candles`: merges each batch. Both policies bear a batch that runs again."""
+def candle_table(path: str, policy: str = "replace", version: Sequence[str] = (), **how: float) -> Callable[[DataFrame, int], None]:
+    """Sink for `start_candles`: merges each batch. All policies bear a batch that runs again."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        merge_candles(batch, path, policy, **how)
+        merge_candles(batch, path, policy, version, **how)
 
     return sink

@@ -89,6 +89,8 @@ class UpsertWriter(DataSourceWriter, DataSourceStreamWriter):
         self.columns = schema.fieldNames()
         self.keys = [k.strip() for k in options["keys"].split(",") if k.strip()]
         self.policy = check_policy(options.get("policy", "keep_first"))
+        if self.policy == "newest":
+            raise ValueError("the upsert source knows the policies keep_first and replace")
         upsert_statement(self.table, self.columns, self.keys, self.policy, "?")
 
     def _values(self, row: Row) -> tuple:

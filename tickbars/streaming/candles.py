@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickbars.functions import to_instant
-from tickbars.operators import candles, decode_trades, dedup_trades, drop_null_messages, filter_events
+from tickbars.operators import candle_partials, candles, decode_trades, dedup_trades, drop_null_messages, filter_events
 from tickbars.operators.progress import count_of
 from tickbars.operators.trades import invalid_trades, with_problem
 from tickbars.plans.batch import Sink, run_batch
@@ -43,15 +43,23 @@ def with_instant(trades: DataFrame, lateness: str | None = None) -> DataFrame:
 
 
 def stream_candles(
-    trades: DataFrame, minutes: int = 5, lateness: str = "10 minutes", dedup: bool = False, **how: str
+    trades: DataFrame,
+    minutes: int = 5,
+    lateness: str = "10 minutes",
+    dedup: bool = False,
+    versioned: bool = False,
+    **how: str,
 ) -> DataFrame:
     """Candles of a stream of valid trades, with state across batches.
 
     Trades later than `lateness` behind the newest event time may be dropped. `dedup` counts a trade
     number once within that time. Use output mode update for every change or append for final candles.
+    `versioned` adds the columns of `schemas.PARTIAL`: a table with the policy newest then keeps, of a candle's
+    states, the one that has seen most, also if the state was lost and a stream knows the rest of a candle only.
     """
     timed = with_instant(trades, lateness)
-    return candles(dedup_trades(timed) if dedup else timed, minutes, **how)
+    make = candle_partials if versioned else candles
+    return make(dedup_trades(timed) if dedup else timed, minutes, **how)
 
 
 def start_stream(
@@ -111,6 +119,7 @@ def start_candles(
     ledger: str | None = None,
     metrics: str | None = None,
     quarantine: str | None = None,
+    versioned: bool = False,
     **how: str,
 ) -> StreamingQuery:
     """Starts candles from a stream of messages; `sink(df, batch_id)` writes each batch, all of it.
@@ -120,12 +129,13 @@ def start_candles(
     invalid, and in stateful mode trades that came too late; `ledger` one for the positions, which a
     stateful query knows of Kafka only. In stateful mode both are written after the batch (`recorded` waits for
     them). `quarantine` names a folder for the invalid messages of per_batch mode, from the same parse;
-    for a stateful query start `start_quarantine` beside it. The trigger is 60 seconds unless given.
+    for a stateful query start `start_quarantine` beside it. The trigger is 60 seconds unless given. `versioned`
+    as in `stream_candles`.
     """
     allowed = list(allowed)
     if mode == "per_batch":
         return _start_batches(
-            messages, _per_batch(sink, minutes, allowed, dedup, app, metrics, quarantine, how), checkpoint, trigger, app, ledger
+            messages, _per_batch(sink, minutes, allowed, dedup, app, metrics, quarantine, versioned, how), checkpoint, trigger, app, ledger
         )
     if mode != "stateful":
         raise ValueError(f"mode must be 'stateful' or 'per_batch', got {mode!r}")
@@ -135,7 +145,7 @@ def start_candles(
     bad = F.count(F.when(F.col("problem").isNotNull(), 1))
     tagged = with_problem(decoded_stream(messages, allowed))
     tagged = tagged.observe(counts, (F.count(F.lit(1)) - bad).alias("n"), bad.alias("invalid"))
-    out = stream_candles(tagged.where("problem is null").drop("problem"), minutes, lateness, dedup, **how)
+    out = stream_candles(tagged.where("problem is null").drop("problem"), minutes, lateness, dedup, versioned, **how)
     writer = out.writeStream.outputMode("update").foreachBatch(sink).queryName(app)
     writer = writer.option("checkpointLocation", checkpoint).trigger(**trigger or _EVERY_MINUTE)
     if not (ledger or metrics):
@@ -145,9 +155,18 @@ def start_candles(
 
 
 def _per_batch(
-    sink: Sink, minutes: int, allowed: list[str], dedup: bool, app: str, metrics: str | None, quarantine: str | None, how: dict
+    sink: Sink,
+    minutes: int,
+    allowed: list[str],
+    dedup: bool,
+    app: str,
+    metrics: str | None,
+    quarantine: str | None,
+    versioned: bool,
+    how: dict,
 ) -> Sink:
     """A batch of messages to candles; its invalid messages are counted and, if asked for, kept."""
+    make = candle_partials if versioned else candles
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         tagged = with_problem(decoded_stream(batch, allowed))
@@ -162,7 +181,7 @@ def _per_batch(
             if quarantine:
                 # A batch that runs again replaces its own folder.
                 tagged.where("problem is not null").write.mode("overwrite").parquet(f"{quarantine}/batch_id={number}")
-            sink(candles(trades, minutes, **how), number)
+            sink(make(trades, minutes, **how), number)
 
         try:
             run_batch(good, write, app, metrics, batch_id, lambda: count_of(seen))
