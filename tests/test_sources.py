@@ -4,13 +4,15 @@ import datetime as dt
 from zoneinfo import ZoneInfo
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import at, by_key
 from test_trades import deals
 from tickbars.plans import backfill, backfill_day, run_job
 from tickbars.plans.backfill import ZONE
+from tickbars.plans.repair import repair, repair_plan
 from tickbars.schemas import DEAL
-from tickbars.sinks import candle_table, read_candles
+from tickbars.sinks import candle_table, merge_candles, read_candles
 from tickbars.sources import read_deals_csv, read_deals_jdbc
 
 DERBY = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
@@ -96,3 +98,26 @@ def test_job(spark, tmp_path):
 def test_yesterday_is_the_default(spark):
     plan = backfill_day(deals(spark))._jdf.queryExecution().analyzed().toString()
     assert (dt.datetime.now(ZoneInfo(ZONE)).date() - dt.timedelta(days=1)).strftime("%d.%m.%Y") in plan
+
+
+def test_jdbc_in_ranges_of_equal_size(spark, derby):
+    df = read_deals_jdbc(spark, derby, driver=DERBY, num_partitions=4, balanced=True)
+    assert sorted(r.TRADENO for r in df.collect()) == [0, 1, 2, 3]
+    assert max(df.rdd.glom().map(len).collect()) <= 2
+    assert read_deals_jdbc(spark, derby, "EMPTY_DEAL", driver=DERBY, balanced=True).count() == 0
+
+
+def test_repair_of_damaged_days(spark, tmp_path):
+    path, rows = str(tmp_path / "candles"), deals(spark)
+    whole = backfill(rows)
+    assert repair(rows, path) == [dt.date(2021, 9, 1), dt.date(2021, 9, 2)]
+    assert by_key(read_candles(spark, path)) == by_key(whole)
+    assert repair(rows, path) == []
+    # A wrong close, and a candle that no trade has made.
+    wrong = whole.where("day(datetime) = 2").withColumn("close", F.col("close") + 1)
+    merge_candles(wrong.unionByName(wrong.withColumn("ticker", F.lit("NONE"))), path)
+    plan = repair_plan(read_candles(spark, path), whole)
+    assert {(r.day.day, r.ticker, r.n_stored, r.n_made) for r in plan.collect()} == {(2, "SBER", 1, 1), (2, "NONE", 1, 0)}
+    assert repair(rows, path) == [dt.date(2021, 9, 2)]
+    assert by_key(read_candles(spark, path)) == by_key(whole)
+    assert repair_plan(read_candles(spark, path).repartition(7), whole).isEmpty()

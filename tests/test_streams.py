@@ -8,11 +8,22 @@ import pytest
 
 from helpers import at, by_key, message, messages, payload, trade
 from tickbars import files
-from tickbars.sinks import append_metric, candle_database, candle_table, compact_records, metric_row, read_candles
+from tickbars import operators as op
+from tickbars.schemas import CANDLE_VERSION, PARTIAL
+from tickbars.sinks import (
+    append_metric,
+    candle_database,
+    candle_table,
+    compact_records,
+    metric_row,
+    read_batches,
+    read_candles,
+    write_batch,
+)
 from tickbars.sources import read_ledger, read_messages, stream_messages
 from tickbars.sinks import write_messages
 from tickbars.operators import decode_trades, filter_events
-from tickbars.streaming import progress_metrics, progress_offsets, recorded, start_candles, start_quarantine, start_stream
+from tickbars.streaming import progress_metrics, progress_offsets, read_late, recorded, start_candles, start_quarantine, start_stream
 
 NOW = {"availableNow": True}
 
@@ -274,3 +285,58 @@ def test_stream_of_messages_into_a_database(topic, tmp_path, spark):
     sink = candle_database("replace", connections=1, url=path, **OPTIONS)
     start_candles(topic.stream(), sink, str(tmp_path / "ck"), trigger=NOW).awaitTermination()
     assert stored(path) == {(str(at(10, 0)), "SBER"): (1, 5, 1, 3, 300)}
+
+
+def parts_of(spark, path):
+    return op.combine_candles(read_batches(spark, path, PARTIAL))
+
+
+def test_a_batch_that_runs_again_counts_once(topic, tmp_path, spark):
+    """Parts, late trades and numbers are all kept by batch: a failure after they were written changes nothing."""
+    parts, late, numbers, ck = (str(tmp_path / n) for n in ("parts", "late", "numbers", "ck"))
+    topic.send(trade(1, "10:00:10", 1.0), trade(2, "10:01:00", 5.0))
+    topic.send(trade(3, "11:02:00", 3.0), trade(2, "10:01:00", 5.0), trade(4, "10:02:00", 7.0))
+    topic.send(trade(5, "10:03:00", 9.0), trade(3, "11:02:00", 3.0), trade(6, "11:03:00", 2.0), trade(1, "10:00:10", 1.0))
+    failing = [1, 2]
+
+    def sink(rows, batch_id):
+        write_batch(rows, parts, batch_id)
+        if batch_id in failing:
+            failing.remove(batch_id)
+            raise RuntimeError("lost on purpose")
+
+    how = {"versioned": True, "late": late, "numbers": numbers, "lateness": "10 minutes", "trigger": NOW}
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost on purpose"):
+            start_candles(topic.stream(), sink, ck, "per_batch", **how).awaitTermination()
+    start_candles(topic.stream(), sink, ck, "per_batch", **how).awaitTermination()
+    got = {r.datetime: (r.open, r.close, r.trades) for r in parts_of(spark, parts).collect()}
+    assert got == {at(10, 0): (1.0, 7.0, 3), at(11, 0): (3.0, 2.0, 2)}
+    assert [(r.tradeNo, r.batch_id) for r in read_late(spark, late).collect()] == [(5, 2)]
+    whole = op.combine_candles(read_batches(spark, parts, PARTIAL).drop("batch_id").unionByName(op.candle_partials(read_late(spark, late))))
+    assert whole.where("datetime = timestamp_ntz'2021-09-01 10:00:00'").first().trades == 4
+
+
+def test_batches_that_left_nothing(topic, tmp_path, spark):
+    topic.send("{bad")
+    parts, late, numbers = (str(tmp_path / n) for n in ("parts", "late", "numbers"))
+    how = {"versioned": True, "late": late, "numbers": numbers, "trigger": NOW}
+    sink = lambda rows, batch_id: write_batch(rows, parts, batch_id)
+    start_candles(topic.stream(), sink, str(tmp_path / "ck"), "per_batch", **how).awaitTermination()
+    assert parts_of(spark, parts).count() == read_late(spark, late).count() == read_late(spark, str(tmp_path / "none")).count() == 0
+    for wrong in ("late", "numbers"):
+        with pytest.raises(ValueError):
+            start_candles(topic.stream(), sink, str(tmp_path / "ck2"), **{wrong: "x"})
+
+
+def test_a_stream_without_its_state_keeps_the_greater_candle(topic, tmp_path, spark):
+    table = str(tmp_path / "table")
+    topic.send(trade(1, "10:00:10", 1.0), trade(2, "10:01:00", 5.0))
+    for policy, version, close in (("newest", CANDLE_VERSION, 5.0), ("replace", (), 3.0)):
+        for n in range(2):
+            path = f"{table}-{policy}"
+            sent = topic.stream().where(f"offset {'<' if n == 0 else '>='} 2")
+            start_candles(sent, candle_table(path, policy, version), f"{path}-{n}", trigger=NOW, versioned=True).awaitTermination()
+            if n == 0 and policy == "newest":
+                topic.send(trade(3, "10:02:00", 3.0))
+        assert [r.close for r in read_candles(spark, path, schema=PARTIAL).collect()] == [close]

@@ -16,7 +16,7 @@ _OHLC = ["open", "high", "low", "close"]
 
 # Fixed-size buffers only: a candle costs the same memory for one trade as for a billion, and a hot
 # candle reaches the shuffle as one row per map task.
-_AGGREGATES = (
+AGGREGATES = (
     "min_by(price, trade_order) as open",
     "max(price) as high",
     "min(price) as low",
@@ -38,7 +38,7 @@ def candles(
     `order` and `tie` see `functions.trade_order`. On a stream, set the watermark on `instant` first
     (see `streaming.stream_candles`).
     """
-    return grouped(trades, minutes, order, tie, by, _AGGREGATES).select(*by, *CANDLE.names)
+    return grouped(trades, minutes, order, tie, by, AGGREGATES).select(*by, *CANDLE.names)
 
 
 def grouped(

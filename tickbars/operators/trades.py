@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,12 @@ def filter_day(df: DataFrame, day: dt.date, column: str = "TRADEDATE") -> DataFr
 
     Compares the stored text with all spellings, which JDBC, Parquet and ORC sources can evaluate themselves.
     """
-    return df.where(F.col(column).isin(*day_spellings(day)))
+    return filter_days(df, [day], column)
+
+
+def filter_days(df: DataFrame, days: Iterable[dt.date], column: str = "TRADEDATE") -> DataFrame:
+    """Trades of several days, as in `filter_day`."""
+    return df.where(F.col(column).isin(*[text for day in days for text in day_spellings(day)]))
 
 
 # A bigint turnover holds less than 2^63. NaN is not below it: Spark orders it above every number.

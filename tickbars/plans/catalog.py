@@ -16,13 +16,16 @@ from tickbars.plans import inputs
 from tickbars.plans.backfill import backfill, backfill_day
 from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_VERSION, PARTIAL, TRADE
 from tickbars.sinks import append_ledger, candle_table, merge_candles, read_batches, read_candles, write_batch
-from tickbars.sources import read_deals_csv, read_ledger, read_messages, stream_messages
+from tickbars.plans.repair import repair, repair_plan
+from tickbars.sources import range_predicates, read_deals_csv, read_ledger, read_messages, stream_messages
 from tickbars.streaming import (
     decoded_stream,
+    read_late,
     recorded,
     start_candles,
     start_quarantine,
     stream_candles,
+    stream_day_totals,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +309,85 @@ def dedup_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.candles(op.dedup_trades(op.valid_trades(_sent_twice(spark, sf_dir)), op.CANDLE_INPUTS))
 
 
+# Numbers of trades seen before, and trades sent again.
+
+
+@query(
+    "unseen_trades",
+    f"with {_T} select {_TRADE_ROW}, dt from t where k >= 50",
+)
+def unseen_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything comes once more after the buys were read, in two parts: the sells are new."""
+    trades = _valid(spark, sf_dir)
+    buys = trades.where("buySell = 'B'")
+    parts = [op.number_bitmaps(buys.where(f"tradeNo % 2 = {n}")) for n in (0, 1)]
+    return op.unseen_trades(trades, op.merge_bitmaps(parts[0].unionByName(parts[1])))
+
+
+@query("count_numbers", f"with {_T} select cast(dt as date) as day, count(distinct tn) as n from t group by 1")
+def count_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.count_numbers(op.number_bitmaps(op.valid_trades(_sent_twice(spark, sf_dir))))
+
+
+# Trade numbers that jump from day to day.
+_JUMPING = "day(dt) * 1000000000000 + tradeNo"
+
+
+@query(
+    "balanced_ranges",
+    f"""with {_T} select 16 as ranges, count(*) as n, count(distinct cast(dt as date)) as days, true as balanced from t""",
+)
+def balanced_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen ranges of a number that jumps between days: each row is in one, and none has 1.2 times its share."""
+    trades = _valid(spark, sf_dir).withColumn("number", F.expr(_JUMPING))
+    cases = [f"when {p} then {i}" for i, p in enumerate(range_predicates(trades, "number", 16))]
+    sizes = trades.groupBy(F.expr(f"case {' '.join(cases)} end").alias("part")).agg(
+        F.count("*").alias("n"), F.collect_set(F.to_date("dt")).alias("days")
+    )
+    whole = sizes.agg(F.count("part").alias("ranges"), F.sum("n").alias("n"), F.max("n").alias("most"), F.flatten(F.collect_list("days")).alias("days"))
+    balanced = F.expr("most <= 1.2 * n / 16").alias("balanced")
+    return whole.select(F.col("ranges").cast("int").alias("ranges"), "n", F.size(F.array_distinct("days")).cast("bigint").alias("days"), balanced)
+
+
+# Every tenth trade comes with the batch after its own.
+_ARRIVAL = "least((day(dt) - 1) // 10, 2) + cast(k % 10 = 0 as int)"
+_ARRIVAL_TEXT = "least((cast(substring(tradeDate, 1, 2) as int) - 1) div 10, 2) + if(quantity % 10 = 0, 1, 0)"
+
+
+def _late_sql(where: str = "true") -> str:
+    return f"""b as (select *, {_ARRIVAL} as batch from t where {where}),
+    m as (select batch, max(dt) as newest from b group by batch),
+    w as (select batch, max(newest) over (order by batch rows between unbounded preceding and 1 preceding) - interval 10 minute as mark from m),
+    l as (select b.*, coalesce(time_bucket(interval 5 minute, dt) + interval 5 minute <= mark, false) as late from b join w using (batch))"""
+
+
+def _arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _valid(spark, sf_dir).withColumn("batch", F.expr(_ARRIVAL_TEXT))
+
+
+@query("watermarks", f"with {_T}, {_late_sql()} select cast(batch as int) as batch, mark as watermark from w")
+def watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.watermarks(_arriving(spark, sf_dir), "batch")
+
+
+@query("late_trades", f'with {_T}, {_late_sql()} select tn as "tradeNo", cast(batch as int) as batch, dt from l where late')
+def late_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.late_trades(_arriving(spark, sf_dir), "batch").select("tradeNo", "batch", "dt")
+
+
+@query("candles_in_time", f"with {_T}, {_late_sql()} {_candle_sql('l', where='not late')}")
+def candles_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.candles(op.trades_in_time(_arriving(spark, sf_dir), "batch"))
+
+
+@query("late_combined", f"with {_T} {_partial_sql()}")
+def late_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Late trades put to the candles that were made without them."""
+    trades = _arriving(spark, sf_dir)
+    parts = [op.candle_partials(part(trades, "batch")) for part in (op.trades_in_time, op.late_trades)]
+    return op.combine_candles(parts[0].unionByName(parts[1]))
+
+
 # ---------------------------------------------------------------- messages
 
 _POS = "'trades' as topic, cast(tn % 3 as int) as partition, tn // 3 as \"offset\""
@@ -397,6 +479,99 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ledger(spark, path, "candles", ["trades"])
 
 
+# Saved: partition 0 within its range, 1 beyond it, 5 of a partition that is gone; never saved: 2.
+_SAVED = f"""m as (select {_POS} from t),
+    h as (select topic, partition, min("offset") as lo, max("offset") + 1 as hi from m group by all),
+    s as (select topic, partition, case partition when 0 then 101 else hi + 1000 end as saved from h where partition < 2
+          union all select topic, 5, hi from h where partition = 1)"""
+
+
+def _saved_and_held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path, sent = files.new_dir(spark, "ledger"), inputs.positions(spark, sf_dir)
+    one = sent.where("partition = 1")
+    read = sent.where("partition = 0 and offset <= 100").unionByName(one.withColumn("offset", F.expr("offset + 1000")))
+    append_ledger(read.unionByName(one.withColumn("partition", F.lit(5))), path, "candles", 0)
+    return read_ledger(spark, path, "candles", ["trades"]), op.offset_ranges(sent)
+
+
+@query(
+    "start_positions",
+    f"""with {_T}, {_SAVED}
+    select topic, partition, case when saved is null then lo when hi is null or saved between lo and hi then saved else hi end as position,
+           case when saved is null then 'unsaved' when hi is null then 'not held' when saved between lo and hi then 'saved' else 'outside' end as rule
+    from h full join s using (topic, partition)""",
+)
+def start_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.start_positions(*_saved_and_held(spark, sf_dir))
+
+
+@query(
+    "start_positions_unsaved",
+    f"with {_T}, {_SAVED} select topic, partition, hi as position, 'ends' as rule from h",
+)
+def start_positions_unsaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nothing is saved: reading begins at the ends."""
+    saved, held = _saved_and_held(spark, sf_dir)
+    return op.start_positions(saved.where("app_name = 'another'"), held)
+
+
+@query(
+    "start_positions_leave",
+    f"""with {_T}, {_SAVED}
+    select topic, partition, case when hi is null or saved between lo and hi then saved else hi end as position,
+           case when hi is null then 'not held' when saved between lo and hi then 'saved' else 'outside' end as rule
+    from s left join h using (topic, partition)""",
+)
+def start_positions_leave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partitions that were never saved are not read."""
+    return op.start_positions(*_saved_and_held(spark, sf_dir), unsaved="leave")
+
+
+# Messages of a partition in one batch.
+_RATE = 64
+
+
+@query(
+    "planned_batches",
+    f"""with {_T}, m as (select {_POS} from t), r as (select topic, partition, min("offset") as lo, max("offset") + 1 as hi from m group by all)
+    select i as batch_id, topic, partition, lo + i * {_RATE} as from_offset, least(lo + i * {_RATE} + {_RATE}, hi) as until_offset
+    from r, lateral (select unnest(range((hi - lo + {_RATE - 1}) // {_RATE})) as i)""",
+)
+def planned_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.planned_batches(op.offset_ranges(inputs.positions(spark, sf_dir)), _RATE)
+
+
+@query(
+    "rated_microbatch_candles",
+    f"""with {_T}, m as (select *, {_POS} from t), n as (select *, ("offset" - min("offset") over (partition by partition)) // {_RATE} as batch from m),
+    c as ({_candle_sql("n", extra="batch, ", where=_USABLE)})
+    select datetime, ticker, arg_min(open, batch) as open, arg_min(high, batch) as high,
+           arg_min(low, batch) as low, arg_min(close, batch) as close, arg_min(value, batch) as value
+    from c group by datetime, ticker""",
+)
+def rated_microbatch_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-batch candles when each batch reads so many messages of a partition at most."""
+    ranges = op.offset_ranges(inputs.positions(spark, sf_dir))
+    sent = op.valid_trades(decoded_stream(inputs.messages(spark, sf_dir)))
+    return op.microbatch_candles(op.with_planned_batch(sent, ranges, _RATE), "batch_id")
+
+
+@query(
+    "batch_size_quantiles",
+    f"""with {_T}, b as (select cast(dt as date) as day, tk as service_name, date_trunc('minute', dt) as minute, count(*) as size from t group by all)
+    select day, count(*) as n, quantile_disc(size, 0.5) as half, quantile_disc(size, 0.9) as most, max(size) as largest from b group by day""",
+)
+def batch_size_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of one-minute batches: a sketch per service and day, then one per day of all services.
+
+    A day has at most 1,440 batches of each of five services, fewer than `k`, so that the quantiles are exact.
+    """
+    sizes = _valid(spark, sf_dir).groupBy(F.to_date("dt").alias("day"), "secId", F.date_trunc("minute", "dt").alias("minute")).agg(F.count("*").alias("size"))
+    sketches = op.merge_sketches(op.value_sketches(sizes, "size", ["day", "secId"], 8192), ["day"], 8192)
+    shares = {"half": 0.5, "most": 0.9, "largest": 1.0}
+    return sketches.select("day", "n", *[op.quantile_of(share).alias(name) for name, share in shares.items()])
+
+
 @query(
     "batch_sizes",
     f"with {_T} select epoch(dt)::bigint // 60 as batch_id, count(*) as batch_size from t group by 1",
@@ -514,6 +689,40 @@ def backfill_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_candles(spark, path).select(*CANDLE.names)
 
 
+_LOST_TABLE = f"""with {_TABLE_T}, lost as ({_candle_sql(where="k < 50")}), made as ({_candle_sql(where=_ONE_DAY)}), whole as ({_candle_sql()}),
+    stored as (select * from made union all select lost.* from lost anti join made using (datetime, ticker))"""
+
+
+def _lost_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
+    """The trades table, and the place of the candle table of `backfill_repair`, which lacks the sells of all other days."""
+    path = files.new_dir(spark, "candles")
+    table = inputs.deals(spark, sf_dir)
+    merge_candles(backfill(table.where("BUYSELL = 'B'")), path)
+    merge_candles(backfill_day(table, DAY), path, "replace")
+    return table, path
+
+
+@query(
+    "repair_plan",
+    f"""{_LOST_TABLE}, d as (select * from (select * from stored except select * from whole) union select * from (select * from whole except select * from stored)),
+    k as (select distinct cast(datetime as date) as day, ticker from d),
+    s as (select cast(datetime as date) as day, ticker, count(*) as n from stored group by all),
+    w as (select cast(datetime as date) as day, ticker, count(*) as n from whole group by all)
+    select day, ticker, coalesce(s.n, 0) as n_stored, coalesce(w.n, 0) as n_made
+    from k left join s using (day, ticker) left join w using (day, ticker)""",
+)
+def repair_plan_of_lost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, path = _lost_table(spark, sf_dir)
+    return repair_plan(read_candles(spark, path), backfill(table))
+
+
+@query("repair", f"with {_TABLE_T} {_candle_sql()}")
+def repair_of_lost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table, path = _lost_table(spark, sf_dir)
+    repair(table, path)
+    return read_candles(spark, path).select(*CANDLE.names)
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -604,8 +813,8 @@ _NUMBER = "tradeNo % 3"
 _TIME = "least((cast(substring(tradeDate, 1, 2) as int) - 1) div 10, 2)"
 
 
-def _file_stream(spark: SparkSession, sf_dir: str, number: str) -> DataFrame:
-    path, n = inputs.message_batches(spark, sf_dir, number)
+def _file_stream(spark: SparkSession, sf_dir: str, *numbers: str) -> DataFrame:
+    path, n = inputs.message_batches(spark, sf_dir, *numbers)
     return stream_messages(spark, "parquet", path, maxFilesPerTrigger=str(n))
 
 
@@ -691,6 +900,59 @@ def stream_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.plain_candles(op.combine_candles(read_batches(spark, path, PARTIAL)))
 
 
+def _late_stream(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Places of the parts in time and of the late trades, after a stream of four batches."""
+    path, late = files.new_dir(spark, "parts"), files.new_dir(spark, "late")
+    sent, checkpoint = _file_stream(spark, sf_dir, _ARRIVAL_TEXT), files.new_dir(spark, "checkpoint")
+    sink = lambda parts, batch_id: write_batch(parts, path, batch_id)
+    how = {"versioned": True, "late": late, "lateness": "10 minutes"}
+    start_candles(sent, sink, checkpoint, "per_batch", app=path[-32:], trigger=_NOW, **how).awaitTermination()
+    return path, late
+
+
+@query("stream_late_trades", f'with {_T}, {_late_sql(_USABLE)} select tn as "tradeNo", cast(batch as bigint) as batch_id, dt from l where late')
+def stream_late_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_late(spark, _late_stream(spark, sf_dir)[1]).select("tradeNo", "batch_id", "dt")
+
+
+@query("stream_late_combined", f"with {_T} {_candle_sql(where=_USABLE)}")
+def stream_late_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late trades of a stream put to its candles later on."""
+    path, late = _late_stream(spark, sf_dir)
+    parts = read_batches(spark, path, PARTIAL).drop("batch_id")
+    return op.plain_candles(op.combine_candles(parts.unionByName(op.candle_partials(read_late(spark, late)))))
+
+
+@query("stream_resent", f"with {_T} {_candle_sql(where=_USABLE)}")
+def stream_resent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All buys come again in a fourth batch, weeks after the watermark has forgotten them."""
+    path, numbers = files.new_dir(spark, "parts"), files.new_dir(spark, "numbers")
+    sent = _file_stream(spark, sf_dir, _TIME, "if(buySell = 'B', 3, null)")
+    sink = lambda parts, batch_id: write_batch(parts, path, batch_id)
+    how = {"versioned": True, "numbers": numbers, "trigger": _NOW}
+    start_candles(sent, sink, files.new_dir(spark, "checkpoint"), "per_batch", app=path[-32:], **how).awaitTermination()
+    return op.plain_candles(op.combine_candles(read_batches(spark, path, PARTIAL)))
+
+
+@query(
+    "stream_day_totals",
+    f"""with {_T}, c as ({_candle_sql(where=_USABLE)}),
+    d as (select cast(datetime as date) as day, ticker, count(*) as candles, arg_min(open, datetime) as open, max(high) as high,
+                 min(low) as low, arg_max(close, datetime) as close, cast(sum(value) as bigint) as value from c group by all)
+    select d.* from d where day + interval 1 day <= (select max(dt) from t where {_USABLE}) - interval 10 minute""",
+)
+def day_totals_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days that the watermark has closed, over three batches; the stream ends after each and goes on from its checkpoint."""
+    path, checkpoint, folder = (files.new_dir(spark, n) for n in ("totals", "checkpoint", "messages"))
+    for part in (f"{_TIME} < 2", f"{_TIME} = 2"):
+        n = inputs.add_message_batches(spark, sf_dir, folder, _TIME, where=part)
+        sent = stream_messages(spark, "parquet", folder, maxFilesPerTrigger=str(n))
+        out = stream_day_totals(op.valid_trades(decoded_stream(sent)))
+        writer = out.writeStream.outputMode("append").format("parquet").option("path", path)
+        writer.option("checkpointLocation", checkpoint).trigger(**_NOW).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
 def _metrics_of(mode: str) -> Query:
     number, cut = (_NUMBER, _BY_NUMBER) if mode == "per_batch" else (_TIME, _BY_TIME)
     kept = f"{_HEADER_OK} and k <> 0"

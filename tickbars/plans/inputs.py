@@ -113,16 +113,23 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_of(trades(spark, sf_dir))
 
 
-def message_batches(spark: SparkSession, sf_dir: str, number: str) -> tuple[str, int]:
+def message_batches(spark: SparkSession, sf_dir: str, *numbers: str) -> tuple[str, int]:
     """A folder with all messages, those of each number in files of their own, oldest numbers first; and how many files.
 
+    A message is sent once for every one of `numbers`, SQL over the trade, that is not null.
+
     Each number's messages are made and written by as many tasks as the table is read by, and at least two, so a
     stream of that many files a batch has one batch per number and reads each with many tasks.
     """
     path = files.new_dir(spark, "messages")
-    rows = trades(spark, sf_dir).withColumn("file", F.expr(number))
+    return path, add_message_batches(spark, sf_dir, path, *numbers)
+
+
+def add_message_batches(spark: SparkSession, sf_dir: str, path: str, *numbers: str, where: str = "true") -> int:
+    """Adds the messages of some trades to a folder as in `message_batches`; returns how many files a batch has."""
+    rows = trades(spark, sf_dir).where(where).withColumn("file", F.expr(f"explode(array_compact(array({', '.join(numbers)})))"))
     n = max(2, rows.rdd.getNumPartitions())
     for (batch,) in sorted(rows.select("file").distinct().collect()):
         write_messages(messages_of(rows.where(F.col("file") == batch).repartition(n)), "parquet", path)
         time.sleep(0.02)  # the file source orders by modification time
-    return path, n
+    return n

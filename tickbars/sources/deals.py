@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tickbars.functions import day_spellings
 from tickbars.schemas import DEAL
+from tickbars.sources.ranges import predicates_at, range_predicates
 
 
 def read_deals_csv(spark: SparkSession, path: str | list[str], sep: str = ";", mode: str = "FAILFAST") -> DataFrame:
@@ -31,6 +32,7 @@ def read_deals_jdbc(
     num_partitions: int = 10,
     fetchsize: int = 10_000,
     query_timeout: int = 0,
+    balanced: bool = False,
     **options: str,
 ) -> DataFrame:
     """Table scan in parallel.
@@ -38,6 +40,8 @@ def read_deals_jdbc(
     Ranges of `partition_on`, a numeric column, whose bounds the database is asked for. With `days`, only those
     days are read, and the bounds are those of each day, which is then read in `num_partitions` ranges.
     With `partition_on` None, a single connection reads each day or the whole table. Credentials go into `options`.
+    `balanced`, of a whole table, reads that column alone first and cuts where its quantiles are: numbers that jump from
+    day to day would leave most equal steps empty.
     """
     base = {
         "url": url,
@@ -57,13 +61,18 @@ def read_deals_jdbc(
     low, high = spark.read.format("jdbc").options(**base).option("dbtable", bounds_query).load().first()
     if low is None:
         return reader.load()
-    return (
+    steps = (
         reader.option("numPartitions", num_partitions)
         .option("partitionColumn", partition_on)
         .option("lowerBound", int(low))
         .option("upperBound", int(high) + 1)
         .load()
     )
+    if not balanced:
+        return steps
+    predicates = range_predicates(steps.select(partition_on), partition_on, num_partitions)
+    properties = {k: v for k, v in base.items() if k != "url"}
+    return spark.read.jdbc(url, table, predicates=predicates, properties=properties)
 
 
 def _day_ranges(
@@ -87,6 +96,5 @@ def _day_ranges(
         step = -(-(high - low + 1) // n)
         cuts = list(range(low + step, high + 1, step))
         # Open at both ends, so that rows that come meanwhile are read too.
-        tests = [f"({column} < {cuts[0]} or {column} is null)", *(f"{column} >= {a} and {column} < {b}" for a, b in zip(cuts, cuts[1:])), f"{column} >= {cuts[-1]}"] if cuts else ["1 = 1"]
-        out += [f"{whole} and {t}" for t in tests]
+        out += [f"{whole} and {t}" for t in predicates_at(column, cuts)]
     return out

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
@@ -22,7 +23,9 @@ from tickbars.operators import candle_partials, candles, decode_trades, dedup_tr
 from tickbars.operators.progress import count_of
 from tickbars.operators.trades import invalid_trades, with_problem
 from tickbars.plans.batch import Sink, run_batch
+from tickbars.sinks.batches import write_batch
 from tickbars.sinks.records import append_ledger
+from tickbars.streaming.late import first_time, in_time
 from tickbars.streaming.progress import Recorder, keep, record
 
 _EVENTS = ("MARKET_RECORD",)
@@ -120,6 +123,8 @@ def start_candles(
     metrics: str | None = None,
     quarantine: str | None = None,
     versioned: bool = False,
+    late: str | None = None,
+    numbers: str | None = None,
     **how: str,
 ) -> StreamingQuery:
     """Starts candles from a stream of messages; `sink(df, batch_id)` writes each batch, all of it.
@@ -131,16 +136,23 @@ def start_candles(
     them). `quarantine` names a folder for the invalid messages of per_batch mode, from the same parse;
     for a stateful query start `start_quarantine` beside it. The trigger is 60 seconds unless given. `versioned`
     as in `stream_candles`.
+
+    Folders for what per_batch mode remembers: with `late`, trades more than `lateness` behind those of earlier batches
+    are left out of the candles and kept there (`read_late`); with `numbers`, which takes `dedup` too, a trade counts
+    once however much later it comes again.
     """
     allowed = list(allowed)
     if mode == "per_batch":
-        return _start_batches(
-            messages, _per_batch(sink, minutes, allowed, dedup, app, metrics, quarantine, versioned, how), checkpoint, trigger, app, ledger
-        )
+        memory = {"quarantine": quarantine, "late": late, "numbers": numbers, "lateness": lateness}
+        make = partial(candle_partials if versioned else candles, minutes=minutes, **how)
+        handle = _per_batch(sink, make, minutes, allowed, dedup or bool(numbers), app, metrics, **memory)
+        return _start_batches(messages, handle, checkpoint, trigger, app, ledger)
     if mode != "stateful":
         raise ValueError(f"mode must be 'stateful' or 'per_batch', got {mode!r}")
     if quarantine:
         raise ValueError("quarantine belongs to per_batch mode; use start_quarantine")
+    if late or numbers:
+        raise ValueError("late and numbers belong to per_batch mode")
     spark, counts = messages.sparkSession, f"{app}_input"
     bad = F.count(F.when(F.col("problem").isNotNull(), 1))
     tagged = with_problem(decoded_stream(messages, allowed))
@@ -156,22 +168,24 @@ def start_candles(
 
 def _per_batch(
     sink: Sink,
+    make: Callable[[DataFrame], DataFrame],
     minutes: int,
     allowed: list[str],
     dedup: bool,
     app: str,
     metrics: str | None,
     quarantine: str | None,
-    versioned: bool,
-    how: dict,
+    late: str | None,
+    numbers: str | None,
+    lateness: str,
 ) -> Sink:
     """A batch of messages to candles; its invalid messages are counted and, if asked for, kept."""
-    make = candle_partials if versioned else candles
+    several = bool(quarantine or late or numbers)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         tagged = with_problem(decoded_stream(batch, allowed))
-        if quarantine:
-            tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)  # read for both parts
+        if several:
+            tagged = tagged.persist(StorageLevel.MEMORY_AND_DISK)  # read for more than the candles
         bad = F.count(F.when(F.col("problem").isNotNull(), 1)).alias("n")
         seen = Observation(f"invalid_{batch_id}_{uuid.uuid4().hex}")
         good = tagged.observe(seen, bad).where("problem is null").drop("problem")
@@ -180,13 +194,17 @@ def _per_batch(
         def write(trades: DataFrame, number: int) -> None:
             if quarantine:
                 # A batch that runs again replaces its own folder.
-                tagged.where("problem is not null").write.mode("overwrite").parquet(f"{quarantine}/batch_id={number}")
-            sink(make(trades, minutes, **how), number)
+                write_batch(tagged.where("problem is not null"), quarantine, number)
+            if numbers:
+                trades = first_time(trades, numbers, number)
+            if late:
+                trades = in_time(trades, late, number, minutes, lateness)
+            sink(make(trades), number)
 
         try:
             run_batch(good, write, app, metrics, batch_id, lambda: count_of(seen))
         finally:
-            if quarantine:
+            if several:
                 tagged.unpersist()
 
     return handle
