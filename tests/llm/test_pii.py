@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from hypothesis import given
 from hypothesis import strategies as st
@@ -86,6 +87,27 @@ def test_very_long_runs_take_linear_time():
         pii.find_spans(text)
 
 
+def test_very_many_spans_take_linear_time():
+    unit = "call 555-123-4567 or a@b.cd, bank DE89370400440532013000, visa 4222222222222, +49 170 1234567 ssn 078-05-1120; 1.2.3.4 "
+    taken = []
+    for size in (1_000_000, 4_000_000):
+        text = unit * (size // len(unit))
+        began = time.perf_counter()
+        found = pii.find_spans(text)
+        taken.append(time.perf_counter() - began)
+        assert len(found) == 7 * (size // len(unit))
+    assert taken[1] < 8 * taken[0] + 0.5 and taken[1] < 30
+
+
+@given(st.text(alphabet="+4 -().@a1", max_size=80))
+def test_further_spans_overlap_nothing(text):
+    text += " call 555-123-4567 DE89370400440532013000 +555-123-4567890 tel (555) 123-4567"
+    spans = pii.find_spans(text)
+    further = [s for s in spans if s.score != 1.0]
+    for s in further:
+        assert not any(o is not s and o.start < s.end and s.start < o.end for o in spans)
+
+
 def test_odd_rows_and_masking(spark):
     schema = "spans int, doc_id bigint, text string, n_email string"
     rows = [(1, 1, None, "x"), (2, None, "", None), (3, 3, "to a@b.cd and 1.2.3.4", "y"), (3, 3, "to a@b.cd and 1.2.3.4", "y")]

@@ -4,14 +4,17 @@ Base kinds are decided by pattern and checksum alone and always stay. Further ki
 and a US social security number start from a base score that words near the span raise or lower; a card number whose
 check digit holds but whose length is outside the base range, and a local phone number, need such words.
 
-Defined cases: a null text is empty; matches of one kind do not overlap, those of different kinds may; every pattern
-takes time in proportion to the text, also for a text of any length that is one run of letters or digits.
+Defined cases: a null text is empty; matches of one kind do not overlap, those of different base kinds may; every
+pattern takes time in proportion to the text, also for a text of any length that is one run of letters or digits, and
+whether a further span overlaps another is looked up by its place, however many there are.
 Offsets are code points, the end exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -144,30 +147,47 @@ def _ibans(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _proposed(text: str) -> list[tuple[str, int, int]]:
-    out = []
-    for start, end in _ibans(text):
-        out.append(("iban", start, end))
+def _proposed(text: str) -> dict[str, list[tuple[int, int]]]:
+    """Spans of the further kinds, those of one kind in order and apart from each other."""
+    out = {"iban": _ibans(text), "ssn": [], "card": [], "phone": []}
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
-            out.append(("ssn", m.start(), m.end()))
+            out["ssn"].append((m.start(), m.end()))
     for m in _DIGITS.finditer(text):
         if m.end() - m.start() >= 12 and len(d := _only_digits(m[0])) in (12, 13) and luhn(d):
-            out.append(("card", m.start(), m.end()))
-    for m in _LOCAL_PHONE.finditer(text):
-        out.append(("phone", m.start(), m.end()))
+            out["card"].append((m.start(), m.end()))
+    out["phone"] = [(m.start(), m.end()) for m in _LOCAL_PHONE.finditer(text)]
     return out
 
 
+class _Taken:
+    """Which part of a text spans cover."""
+
+    def __init__(self, spans: list[Span]):
+        placed = sorted((s.start, s.end) for s in spans)
+        self.starts = [start for start, _ in placed]
+        # How far the spans up to each one reach.
+        self.reach = list(accumulate((end for _, end in placed), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.reach[before - 1] > start
+
+
 def find_spans(text: str) -> list[Span]:
-    """Base spans and further ones that pass, by start, then kind."""
+    """Base spans and further ones that pass, by start, then kind. A further one gives way to any found before it."""
     spans = base_spans(text)
-    for kind, start, end in _proposed(text):
-        score = PRIOR[kind] + near_score(text, kind, start, end)
-        clash = any(s.start < end and start < s.end for s in spans)
-        if score >= ACCEPT and not clash:
-            spans.append(Span(kind, start, end, round(score, 2)))
+    for kind, proposed in _proposed(text).items():
+        if not proposed:
+            continue
+        taken = _Taken(spans)
+        for start, end in proposed:
+            if taken.overlaps(start, end):
+                continue
+            score = PRIOR[kind] + near_score(text, kind, start, end)
+            if score >= ACCEPT:
+                spans.append(Span(kind, start, end, round(score, 2)))
     return sorted(spans, key=lambda s: (s.start, _ORDER[s.kind], s.end))
 
 
