@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html as H
 import re
+import time
 
 import pytest
 
@@ -31,7 +32,8 @@ def test_query_over_all_pages(spark):
 
 
 def texts(page):
-    return [(b.mark, b.text) for b in T.parse(page)[0]]
+    """-1 for what a name rules out, 1 for what is inside `article` or `main`, else 0."""
+    return [(-1 if b.weight < 1 else int(b.main), b.text) for b in T.parse(page)[0]]
 
 
 @pytest.mark.parametrize(
@@ -52,9 +54,20 @@ def texts(page):
         ("a<span class=ad>x<span>y</span>z</span>b", [(0, "ab")]),
         ("<body class='has-sidebar'><main>a</main></body>", [(1, "a")]),
         ("<article><p>a <button>like <i>it</i></button>b</p></article>", [(1, "a b")]),
-        ("<p>a<button><div>x</div>y</button>b</p>", [(-1, "x"), (0, "ab")]),
+        ("<p>a<button><div>x</div>y</button>b</p>", [(0, "ab")]),
+        ("<p>a<button>x<div>y</div></button>b</p>", [(0, "ab")]),
         ("<head><title>t</title></head><body>b", [(0, "b")]),
-        ("<p hidden>a</p><p style='display: none'>b</p><p>c", [(-1, "a"), (-1, "b"), (0, "c")]),
+        ("<p hidden>a</p><p style='display: none'>b</p><p>c", [(0, "c")]),
+        ("<div class='site-footer'>f</div><div id=cookie-notice>c</div><div class='main no-sidebar'>body text</div>", [(-1, "f"), (-1, "c"), (0, "body text")]),
+        # Whole classes only, and nothing that holds the article.
+        ("<div class='content no-sidebar'><p>a</p></div>", [(0, "a")]),
+        ("<div class='page-with-sidebar'><article>a</article></div>", [(1, "a")]),
+        ("<div class='sidebar'><article>a</article><nav>n</nav></div>", [(1, "a"), (-1, "n")]),
+        ("<article><p class='related-work'>a</p><p class='copyright-law'>b</p><p class='social-science'>c</p></article>", [(1, "a"), (1, "b"), (1, "c")]),
+        ("<form><nav>x</nav><div><p>the whole page in a form</p></div></form>", [(-1, "x"), (0, "the whole page in a form")]),
+        ("<form><label>search</label></form><p>the page has a form in it</p>", [(-1, "search"), (0, "the page has a form in it")]),
+        ("<aside><article>teaser</article></aside><main>text</main>", [(-1, "teaser"), (1, "text")]),
+        ("<article>a<div class='comments'><article>c</article></div></article>", [(1, "a"), (-1, "c")]),
         ("<div>a<p>b</div>c</p>d", [(0, "a"), (0, "b"), (0, "cd")]),
         ("<p>broken <a href=\"x>y</p>", [(0, "broken y")]),
     ],
@@ -66,7 +79,11 @@ def test_parsing(page, want):
 def test_very_long_pages_take_linear_time():
     for page in ("<p>x " * 60_000, "<" * 400_000, "a" * 2_000_000, "<!--" * 100_000, "&amp;" * 200_000, "<a b='" * 20_000):
         T.parse(page)
-    T.parse("<div>" * 3_000 + "x")
+    for unit, end in (("<h1>x", ""), ("<div>", "</table>"), ("<nav>x", ""), ("<li>x<ul>", "</p>"), ("<span hidden>x", "</i>"), ("<td>a<p>", "</div>")):
+        n = 1_000_000 // len(unit + end)
+        began = time.perf_counter()
+        T.parse(unit * n + end * n)
+        assert time.perf_counter() - began < 8
 
 
 def site(n, host="h.example"):
@@ -97,8 +114,26 @@ def test_copies_of_a_page_do_not_lose_their_text(spark):
 
 def test_importance_follows_the_formula(spark):
     rows = spark.createDataFrame(site(8), "url string, html string").withColumn("host", T.host_of("url"))
-    got = {round(r.by_content, 9) for r in T.importance(rows).where("open").collect()}
-    assert got == {round(T.entropy_importance([8], 8), 9), round(T.entropy_importance([1] * 8, 8), 9)}
+    nodes = T.importance(rows).collect()
+    assert {round(r.by_content, 9) for r in nodes} == {round(T.entropy_importance([8], 8), 9), round(T.entropy_importance([1] * 8, 8), 9)}
+    assert {round(r.importance, 9) for r in nodes} == {round(2 / 10, 9), 1.0}
+
+
+def test_shared_paragraphs_stay_with_what_differs(spark):
+    shop = "<body><div class='top'>The shop of shops</div><div class='item'><h1>Model {}</h1><p>Free delivery.</p><p>Two years.</p></div></body>"
+    pages = [(f"http://shop/{i}", shop.format(i)) for i in range(20)]
+    bare = [(f"http://bare/{i}", f"<body class='main no-sidebar'><p>text {i}</p><p>and more</p></body>") for i in range(6)]
+    form = [(f"http://form/{i}", f"<body><form><div class='menu'>menu</div><div class='b'><p>text {i} of a page</p></div></form></body>") for i in range(12)]
+    got = {r.page_id: r.text for r in T.page_report(spark.createDataFrame(rows_of(pages + bare + form), SCHEMA)).collect()}
+    assert [got[i] for i in range(20)] == [f"Model {i}\nFree delivery.\nTwo years." for i in range(20)]
+    assert [got[20 + i] for i in range(6)] == [f"text {i}\nand more" for i in range(6)]
+    assert [got[26 + i] for i in range(12)] == [f"text {i} of a page" for i in range(12)]
+
+
+def test_few_pages_say_less_than_many(spark):
+    for n, goes in ((2, False), (3, False), (4, True), (40, True)):
+        got = T.page_report(spark.createDataFrame(rows_of(site(n)), SCHEMA)).collect()
+        assert all(r.text.startswith("Welcome") != goes for r in got)
 
 
 def test_odd_rows(spark):
