@@ -42,12 +42,31 @@ def test_recall_over_all_vectors(spark):
     assert hits / sum(map(len, want.values())) >= 0.9
 
 
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=60), st.integers(0, 2**64 - 1), st.integers(0, 64))
+@given(st.lists(st.integers(0, 2**128 - 1), min_size=1, max_size=60), st.integers(0, 2**128 - 1), st.integers(0, 128))
 def test_probing_finds_all_within_the_radius(codes, query, radius):
-    near = [query ^ (1 << i) - 1 for i in range(0, 65, 5)]
-    arr = np.array(codes + near, np.uint64)
-    got = M.Buckets(arr, 64).within(np.uint64(query), radius).tolist()
-    assert got == [i for i, c in enumerate(codes + near) if (c ^ query).bit_count() <= radius]
+    every = codes + [query ^ (1 << i) - 1 for i in range(0, 129, 5)]
+    words = lambda c: [c & 2**64 - 1, c >> 64]
+    arr = np.array([words(c) for c in every], np.uint64)
+    got = M.Buckets(arr, 128).within(np.array(words(query), np.uint64), radius).tolist()
+    assert got == [i for i, c in enumerate(every) if (c ^ query).bit_count() <= radius]
+
+
+def test_few_vectors_are_within_the_radius(spark):
+    index, codes = M.build_index(spark.read.parquet(f"{SF}/embeddings.parquet"))
+    rows = index.select("id", "code").collect()
+    words = np.array([r.code for r in rows], np.int64).view(np.uint64)
+    near = [np.count_nonzero(M.bits_apart(words, words[i]) <= codes.radius) for i, r in enumerate(rows) if r.id % 100 == 0]
+    assert codes.bits == 256 and sum(near) <= 0.1 * len(near) * len(rows)
+
+
+def test_rows_of_the_query_s_id(spark):
+    near, far = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(0, [1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0]), (0, near), (1, near), (2, far)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = sorted((round(r.score, 6), r.rank, r.vec_id) for r in M.neighbours(df).collect() if r.query_id == 0)
+    # Of two equal query rows each finds the other one; the third, of another vector, finds both.
+    assert [v for s, _, v in got if s == 0] == [0, 0, 1]
+    assert len(got) == 3 * 4
 
 
 def test_odd_rows(spark):

@@ -1,16 +1,20 @@
 """Nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-`fit` learns on a bounded sample: principal axes, a rotation that brings the projections close to the corners of a
-cube (iterative quantisation), and the Hamming radius that holds the wanted part of the sample's own neighbours.
-`build_index` gives every vector its code. `search` takes the queries in blocks of bounded size; each task splits the
-codes of its vectors into substrings with a bucket table each. A code within radius r of the query is within
-r // m of it in one of m substrings (with the remainder, in one of the first substrings), so probing those buckets
-finds every code within the radius. What is found is ranked by the distance of the vectors, in double precision.
+`fit` learns on a bounded sample: principal axes, several rotations that bring the projections close to the corners of a
+cube (iterative quantisation, each from another start), and the Hamming radius that holds the wanted part of the sample's
+own neighbours. `build_index` gives every vector its code. `search` takes the queries in blocks of bounded size; each task
+splits the codes of its vectors into substrings with a bucket table each, one for as many vectors as CHUNK_ROWS. A code
+within radius r of the query is within r // m of it in one of m substrings (with the remainder, in one of the first
+substrings), so probing those buckets finds every code within the radius. What is within it is ranked by the distance
+of the vectors, in double precision.
+
+One rotation gives as many bits as there are axes, too few to tell a tenth neighbour from the rest where distances are
+nearly alike; ROTATIONS of them give codes of up to 256 bits, within whose radius few others are.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold a null or non-finite component
-take no part, as queries and as candidates; nor do rows without an id. A query's own row, and any row with the same id, is no candidate. Where a
-task holds fewer than k vectors within the radius, it widens it until it has k or all. Equal distances go to the
-smaller id; repeated query rows are answered one by one.
+take no part, as queries and as candidates; nor do rows without an id. A query's own row is no candidate; other rows of
+its id are, also equal ones. Where a task holds fewer than k vectors within the radius, it widens it until it has k or
+all. Equal distances go to the smaller id; repeated query rows are answered one by one. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +37,13 @@ PROBE_ROWS = 512
 # Part of the sample's neighbours that the radius has to hold.
 HOLD = 0.97
 ROUNDS = 30
+ROTATIONS = 4
 # Queries that are sent to the executors at once.
 QUERY_BLOCK = 4_096
+# Vectors that share bucket tables.
+CHUNK_ROWS = 65_536
 PART_BITS = 8
+# Axes that a rotation turns.
 MAX_BITS = 64
 
 
@@ -51,11 +59,20 @@ class Codes:
     def bits(self) -> int:
         return self.axes.shape[1]
 
+    @property
+    def words(self) -> int:
+        return -(-self.bits // 64)
+
     def of(self, vectors: np.ndarray) -> np.ndarray:
-        positive = (vectors - self.mean) @ self.axes > 0
-        padded = np.zeros((len(vectors), MAX_BITS), np.uint8)
-        padded[:, : self.bits] = positive
-        return np.packbits(padded, axis=1, bitorder="little").view("<u8").reshape(-1)
+        """A row of words of 64 bits for each vector."""
+        padded = np.zeros((len(vectors), 64 * self.words), np.uint8)
+        padded[:, : self.bits] = (vectors - self.mean) @ self.axes > 0
+        return np.packbits(padded, axis=1, bitorder="little").view("<u8").reshape(-1, self.words)
+
+
+def bits_apart(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """In how many bits each of some codes differs from another."""
+    return np.bitwise_count(codes ^ code).sum(axis=1, dtype=np.int64)
 
 
 def usable(vec: str | Column, length: int | None = None) -> Column:
@@ -77,6 +94,16 @@ def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.sqrt(((vectors - query) ** 2).sum(axis=1))
 
 
+def _rotation(flat: np.ndarray, seed: int) -> np.ndarray:
+    """A rotation after which the signs of the rows say most of them."""
+    turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((flat.shape[1], flat.shape[1])))
+    for _ in range(ROUNDS):
+        corners = np.where(flat @ turn > 0, 1.0, -1.0)
+        u, _, vt = np.linalg.svd(corners.T @ flat)
+        turn = (u @ vt).T
+    return turn
+
+
 def fit(sample: np.ndarray, k: int = K, seed: int = 7) -> Codes:
     """Codes and radius from a sample of vectors, one a row."""
     n, length = sample.shape
@@ -86,20 +113,16 @@ def fit(sample: np.ndarray, k: int = K, seed: int = 7) -> Codes:
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :bits]
     flat = centred @ axes
-    turn, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((bits, bits)))
-    for _ in range(ROUNDS):
-        corners = np.where(flat @ turn > 0, 1.0, -1.0)
-        u, _, vt = np.linalg.svd(corners.T @ flat)
-        turn = (u @ vt).T
-    plain = Codes(mean, axes @ turn, bits)
+    turned = np.concatenate([axes @ _rotation(flat, seed + i) for i in range(ROTATIONS)], axis=1)
+    plain = Codes(mean, turned, turned.shape[1])
     codes, seen = plain.of(sample), []
     for i in range(min(n, PROBE_ROWS)):
         d = distances(sample, sample[i])
         d[i] = np.inf
         near = np.argsort(d, kind="stable")[: min(k, n - 1)]
-        seen.append(np.bitwise_count(codes[near] ^ codes[i]))
+        seen.append(bits_apart(codes[near], codes[i]))
     found = np.concatenate(seen) if seen else np.empty(0)
-    return Codes(mean, axes @ turn, int(np.quantile(found, HOLD, method="higher")) if len(found) else bits)
+    return Codes(mean, turned, int(np.quantile(found, HOLD, method="higher")) if len(found) else plain.bits)
 
 
 def _sampled(vectors: DataFrame) -> np.ndarray:
@@ -129,42 +152,58 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     codes = fit(sample) if len(sample) else None
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = codes.of(_matrix(batch.column(1), len(codes.mean)))
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(made.view(np.int64))], names=["id", "vector", "code"])
+        made = codes.of(_matrix(batch.column(1), len(codes.mean))).view(np.int64)
+        ends = pa.array(np.arange(0, made.size + 1, codes.words, dtype=np.int32))
+        listed = pa.ListArray.from_arrays(ends, pa.array(made.reshape(-1)))
+        return pa.RecordBatch.from_arrays([*batch.columns, listed], names=["id", "vector", "code"])
 
-    return stored(map_batches(good, make, "id bigint, vector array<double>, code bigint"), "codes"), codes
+    return stored(map_batches(good, make, "id bigint, vector array<double>, code array<bigint>"), "codes"), codes
 
 
 class Buckets:
-    """The codes of some vectors, by the value of each substring."""
+    """The codes of some vectors, a row of words each, by the value of each substring."""
 
     def __init__(self, codes: np.ndarray, bits: int):
         self.codes = codes
         self.m = -(-bits // PART_BITS)
-        parts = codes.view(np.uint8).reshape(-1, 8)[:, : self.m]
+        parts = codes.view(np.uint8)[:, : self.m]
         self.orders = [np.argsort(parts[:, p], kind="stable") for p in range(self.m)]
         self.sizes = [np.bincount(parts[:, p], minlength=256) for p in range(self.m)]
         self.ends = [np.cumsum(s) for s in self.sizes]
 
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row whose code differs from this one in at most `radius` bits."""
         each, more = divmod(radius, self.m)
-        found = []
+        own = code.view(np.uint8)
+        marked, left = np.zeros(len(self.codes), bool), len(self.codes)
         for p in range(self.m):
             near = each if p <= more else each - 1
-            if near < 0:
-                continue
-            own = (int(code) >> (8 * p)) & 0xFF
-            probed = np.bitwise_count(np.arange(256, dtype=np.uint8) ^ np.uint8(own)) <= near
+            if near < 0 or not left:
+                break
+            probed = np.bitwise_count(np.arange(256, dtype=np.uint8) ^ own[p]) <= near
             keys = np.flatnonzero(probed)
             if len(keys) <= 16:
-                found += [self.orders[p][self.ends[p][k] - self.sizes[p][k] : self.ends[p][k]] for k in keys.tolist()]
+                for k in keys.tolist():
+                    marked[self.orders[p][self.ends[p][k] - self.sizes[p][k] : self.ends[p][k]]] = True
             else:
-                found.append(self.orders[p][np.repeat(probed, self.sizes[p])])
-        marked = np.zeros(len(self.codes), bool)
-        marked[np.concatenate(found)] = True
-        rows = np.flatnonzero(marked)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
+                marked[self.orders[p][np.repeat(probed, self.sizes[p])]] = True
+            left = len(marked) - np.count_nonzero(marked)
+        rows = np.flatnonzero(marked) if left else np.arange(len(marked))
+        return rows[bits_apart(self.codes[rows] if left else self.codes, code) <= radius]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to CHUNK_ROWS rows or a little more."""
+    held, rows = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _nearest(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,31 +229,35 @@ def search(index: DataFrame, codes: Codes | None, queries: DataFrame, k: int = K
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, points, asked = shared.value
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(names)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids = batch.column(0).to_numpy()
-                vectors = _matrix(batch.column(1), len(codes.mean))
-                buckets = Buckets(batch.column(2).to_numpy().view(np.uint64), codes.bits)
+            for table in _chunks(batches):
+                ids = table.column(0).chunk(0).to_numpy()
+                vectors = _matrix(table.column(1).chunk(0), len(codes.mean))
+                words = table.column(2).chunk(0).flatten().to_numpy().view(np.uint64).reshape(-1, codes.words)
+                buckets = Buckets(words, codes.bits)
                 for i, name in enumerate(names.tolist()):
                     radius = codes.radius
                     while True:
                         rows = buckets.within(asked[i], radius)
-                        rows = rows[ids[rows] != name]
-                        if len(rows) >= k or radius >= codes.bits:
+                        if np.count_nonzero(ids[rows] != name) >= k or radius >= codes.bits:
                             break
                         radius = min(codes.bits, radius + PART_BITS)
                     old_ids, old = best[i]
                     new = distances(vectors[rows], points[i])
-                    best[i] = _nearest(np.append(old_ids, ids[rows]), np.append(old, new), k)
+                    # One more, as the query's own row may be among them.
+                    best[i] = _nearest(np.append(old_ids, ids[rows]), np.append(old, new), k + 1)
             counts = [len(x) for x, _ in best]
             numbers = np.repeat(np.arange(len(names), dtype=np.int32), counts)
             found = [np.concatenate(x) for x in zip(*best)]
             columns = [pa.array(numbers), pa.array(names[numbers]), pa.array(found[0]), pa.array(found[1])]
             yield pa.RecordBatch.from_arrays(columns, names=["query_no", "query_id", "vec_id", "score"])
 
+        found = index.mapInArrow(run, schema)
+        # The query's own row: of rows of its id and no distance, which can't be told apart, one.
+        same = ((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)).alias("same")
         order = Window.partitionBy("query_no").orderBy("score", "vec_id")
-        ranked = index.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        own = Window.partitionBy("query_no", "same").orderBy("score", "vec_id")
+        others = found.select("*", same).withColumn("n", F.row_number().over(own)).where("not (same and n = 1)")
+        ranked = others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         ranked.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
 
     block: list = []
