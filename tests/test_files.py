@@ -14,7 +14,7 @@ def session(folder, master):
 
 def test_shared_dir():
     assert files.shared_dir(session("hdfs://host/shared/", "yarn")) == "hdfs://host/shared"
-    assert files.new_dir(session("/shared", "yarn"), "x").startswith("/shared/tickbars/x-")
+    assert files.new_dir(session("/shared", "yarn"), "x").startswith("/shared/tickbars/app-yarn/x-")
     local = session(None, "local[2]")
     assert files.shared_dir(local) == files.shared_dir(local)
     # A machine-local folder is no use to executors elsewhere.
@@ -30,3 +30,12 @@ def test_folders(spark, tmp_path):
     assert files.is_dir(spark, str(tmp_path / "a")) and not files.is_dir(spark, str(tmp_path / "c"))
     files.delete(spark, str(tmp_path / "a"))
     assert not files.is_dir(spark, str(tmp_path / "a"))
+
+
+def test_what_an_application_has_written_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "shared_dir", lambda spark: str(tmp_path))
+    path = files.new_dir(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert files.is_dir(spark, path) and path.startswith(files.job_dir(spark))
+    files.clear(spark)
+    assert not files.is_dir(spark, path) and files.is_dir(spark, str(tmp_path))

@@ -33,9 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[context.applicationId]
 
 
+def job_dir(spark: SparkSession) -> str:
+    """The folder below the shared one for what this application writes by the way."""
+    return f"{shared_dir(spark)}/tickbars/{spark.sparkContext.applicationId}"
+
+
 def new_dir(spark: SparkSession, what: str) -> str:
-    """Name of a new folder below the shared one."""
-    return f"{shared_dir(spark)}/tickbars/{what}-{uuid.uuid4().hex}"
+    """Name of a new folder below this application's."""
+    return f"{job_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what this application has written by the way. Frames that read it, results of the text operators among
+    them, can't be read any more: call it once all results are written elsewhere."""
+    delete(spark, job_dir(spark))
 
 
 def _fs(spark: SparkSession, path: str):
