@@ -72,3 +72,12 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark):
             assert all("@" not in (r.text or "") for r in out.collect())
             assert out.count() == docs.count()
     assert P.encode(spark, docs, SF).count() == docs.count()
+
+
+def test_only_the_last_tables_are_left(spark, tmp_path, monkeypatch):
+    from tickbars import files
+
+    monkeypatch.setattr(files, "shared_dir", lambda spark: str(tmp_path))
+    n = P.run(spark, "/root/testdata/sf0.001").count()
+    left = [name.rsplit("-", 1)[0] for name in files.children(spark, files.job_dir(spark))]
+    assert n and left == ["personal_data"]

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from weakref import WeakKeyDictionary
 
@@ -57,10 +58,28 @@ _places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
+# What is to be deleted at the end of the `scratch` blocks that are open.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block at the end of which all that `stored` has written in it is deleted, but for what it was told to keep."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        for path in made:
+            files.delete(spark, path)
+
+
+def stored(df: DataFrame, what: str, codec: str = "zstd", keep: bool = False) -> DataFrame:
     """The frame written to the shared folder and read again: cuts the plan and survives lost executors.
 
-    The shuffle files of the write go with its end; nothing reads them later.
+    The shuffle files of the write go with its end; nothing reads them later. What is written goes with the `scratch`
+    block that it is written in, unless `keep`; else with `discard` or `files.clear`.
     """
     spark = df.sparkSession
     path = files.new_dir(spark, what)
@@ -72,6 +91,8 @@ def stored(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
         spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     _places[out] = path
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return out
 
 
