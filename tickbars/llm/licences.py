@@ -1,19 +1,25 @@
-"""Licence texts and notices in documents, by the Dice coefficient over word bigrams.
+"""Licence texts, notices and tags in documents, by the Dice coefficient over word bigrams.
 
-A unit is a line of the text, or a block of several lines between blank ones. Text and templates are normalised alike:
-A-Z in lower case, words are runs of ASCII letters and digits and of other characters. With a threshold of d, a unit of
-n bigrams can only match a template of between n*d/(2-d) and n*(2-d)/d bigrams; a unit is compared with the
-templates inside these bounds and no others. Bigrams count as often as they occur.
+Text and templates are normalised alike: A-Z in lower case, words are runs of ASCII letters and digits and of other
+characters. Lines without words don't count, so comment signs and blank lines don't matter. A line's bigrams are those of
+its words and the one that leads to the next line. Per document and template:
 
-A licence of several paragraphs is put together from runs of consecutive lines, blank ones left out, so that comment
-signs and blank lines between its paragraphs don't matter. For each template, of runs that overlap the one with the best
-score is a match (then the earlier, then the shorter one), a single line being a run as well; a run that is a unit is
-reported as that unit only, and a run inside a block that matches the template belongs to that block.
+1. A line is of the template if at least half of its distinct bigrams are. Such lines, with one other line between them
+   at most, make a run. (A single word at the very end has no bigram and is in none.)
+2. A run, and each line of the template by itself, is compared if its number of bigrams lies within the bounds that
+   a match can have: between n*d/(2-d) and n*(2-d)/d for a template of n and a threshold of d. Bigrams count as often as
+   they occur.
+3. A run is a match if its score reaches the threshold and that of each of its lines; else those of its lines are that
+   reach the threshold.
 
-Only DataFrame functions are used; everything happens within the row, so there is no shuffle.
+Of templates of one family that match from the same line on, the best is a match, of equal ones that of the smaller id.
 
-Defined cases: a null or empty text has no match; units of fewer than two words have no bigrams and never match; equal
-scores go to the smaller licence id; repeated rows get repeated results.
+Only DataFrame functions are used; everything happens within the row, so there is no shuffle. A match has all but a part of
+a template's bigrams, hence one at least of so many first words as outweigh that part; documents without any such word of any
+template, nearly all, are not looked at further.
+
+Defined cases: a null or empty text has no match; units of fewer than two words have no bigrams and never match;
+repeated rows get repeated results; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +37,8 @@ from tickbars.llm.tools import free_name
 
 THRESHOLD = 0.8
 
-# The wording of public licences and of their usual notices.
-TEMPLATES: dict[str, str] = {
+# The wording of public licences' usual notices, and of the shorter licences.
+_NOTICES: dict[str, str] = {
     "Apache-2.0/line": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0/notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
@@ -80,10 +87,52 @@ TEMPLATES: dict[str, str] = {
         was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }
 
+# Tags of licences, as SPDX-License-Identifier and as they are cited.
+_TAGS = (
+    "Apache-2.0 BSD-2-Clause BSD-3-Clause CC0-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC"
+    " LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 CC-BY-4.0 CC-BY-SA-4.0"
+    " CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0"
+).split()
+_HEADINGS = {
+    "GPL-2.0/heading": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0/heading": "GNU General Public License Version 3, 29 June 2007",
+    "LGPL-2.1/heading": "GNU Lesser General Public License Version 2.1, February 1999",
+    "LGPL-3.0/heading": "GNU Lesser General Public License Version 3, 29 June 2007",
+}
+
+
+def _published() -> dict[str, str]:
+    """The whole texts that come with the package, as they were published."""
+    folder = resources.files(__package__) / "licence_texts"
+    return {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+
+
+def _templates() -> dict[str, str]:
+    out = {**_NOTICES, **_HEADINGS, **_published()}
+    for tag in _TAGS:
+        out[f"{tag}/spdx"] = f"SPDX-License-Identifier: {tag}"
+        if tag.startswith("CC-"):
+            out[f"{tag}/tag"] = f"CC {tag[3:-4]} 4.0"
+            out.setdefault(f"{tag}/line", f"Licensed under CC {tag[3:-4]} 4.0.")
+    return out
+
+
+# Id of a licence, and after a slash what of it the text is, to the text.
+TEMPLATES = _templates()
+
+
+def family(template: str) -> str:
+    """Licences of one family are versions of one another."""
+    name = template.split("/")[0].split("-")[0]
+    return "GNU" if name in ("GPL", "LGPL") else name
+
+
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # ASCII without letters, digits and the line feed.
 _SEPARATORS = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLANK_LINES = r"\n ?\n[ \n]*"
+# Other lines than those of the template that a run may have between them.
+GAP = 1
+_MATCH = "struct<family:string,first:int,less:double,id:string,last:int>"
 
 
 def bigrams(text: str) -> list[str]:
@@ -98,9 +147,21 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
-def _firsts(grams: list[str]) -> list[str]:
-    """The distinct first words of bigrams."""
-    return sorted({g.split(" ")[0] for g in grams})
+def anchors(grams: list[str], threshold: float) -> list[str]:
+    """Words, long ones first, one of which every match has: more bigrams begin with them than a match can lack."""
+    firsts = Counter(g.split(" ")[0] for g in grams)
+    lacking, out = len(grams) - bounds(len(grams), threshold)[0], []
+    for word in sorted(firsts, key=lambda w: (-len(w), w)):
+        out.append(word)
+        lacking -= firsts[word]
+        if lacking < 0:
+            break
+    return out
+
+
+def _words_literal(words: list[str]) -> Column:
+    """An array of words or bigrams as one piece of text, which is cut when the plan is made."""
+    return F.split(F.lit("\n".join(words)), "\n") if words else F.expr("cast(array() as array<string>)")
 
 
 def _literals(templates: dict[str, str], threshold: float) -> Column:
@@ -108,14 +169,13 @@ def _literals(templates: dict[str, str], threshold: float) -> Column:
     for name, text in sorted(templates.items()):
         grams = bigrams(text)
         lo, hi = bounds(len(grams), threshold)
-        known = F.array(*map(F.lit, grams)).alias("grams")
-        firsts = _firsts(grams)
-        # A match has `lo` of the template's bigrams at least; each word that is missing takes one away at least.
-        words = F.array(*map(F.lit, firsts)).cast("array<string>").alias("words")
-        need = F.lit(len(firsts) - (len(grams) - lo)).alias("need")
-        repeated = [F.struct(F.lit(g).alias("gram"), F.lit(n).alias("times")) for g, n in sorted(Counter(grams).items()) if n > 1]
-        again = F.array(*repeated).cast("array<struct<gram:string,times:int>>").alias("again")
-        rows.append(F.struct(F.lit(name).alias("id"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), known, words, need, again))
+        # A match has `lo` of the template's bigrams at least; each one that is missing takes one away at least.
+        need = len(set(grams)) - (len(grams) - lo)
+        again = sorted((g, n) for g, n in Counter(grams).items() if n > 1)
+        times = F.split(F.lit(",".join(str(n) for _, n in again)), ",").cast("array<int>") if again else F.expr("cast(array() as array<int>)")
+        values = {"id": F.lit(name), "family": F.lit(family(name)), "lo": F.lit(lo), "hi": F.lit(hi), "need": F.lit(max(need, 1))}
+        arrays = {"grams": _words_literal(grams), "repeated": _words_literal([g for g, _ in again]), "times": times}
+        rows.append(F.struct(*[c.alias(n) for n, c in {**values, **arrays}.items()]))
     return F.array(*rows)
 
 
@@ -126,111 +186,73 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def _shared(grams: Column, t: Column) -> Column:
     """How many bigrams a list has in common with a template, each as often as in both."""
-    times = lambda b: F.size(F.filter(grams, lambda x: x == b))
-    more = lambda r: F.greatest(F.least(times(r["gram"]), r["times"]) - 1, F.lit(0))
-    return F.aggregate(t["again"], F.size(F.array_intersect(grams, t["grams"])), lambda n, r: n + more(r))
-
-
-def _runs(folded: Column, templates: dict[str, str], threshold: float) -> Column:
-    """Matches of runs of several lines that are no units, from folded text."""
-    nothing = F.expr("cast(array() as array<struct<id:string,score:double>>)")
-    usable = {name: text for name, text in templates.items() if bigrams(text)}
-    if not usable:
-        return nothing
-    vocabulary = F.array(*map(F.lit, sorted({w for t in usable.values() for w in _firsts(bigrams(t))})))
-    words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
-    # Lines with words, with the number of their block.
-    lines = F.flatten(
-        F.transform(
-            F.split(folded, _BLANK_LINES),
-            lambda u, block: F.transform(
-                F.filter(F.transform(F.split(u, "\n"), words), lambda ws: F.size(ws) > 0),
-                lambda ws: F.struct(ws.alias("words"), block.alias("block")),
-            ),
-        )
+    often = _let(
+        F.array_intersect(t["repeated"], grams),
+        lambda known: F.transform(
+            F.filter(F.arrays_zip(t["repeated"].alias("gram"), t["times"].alias("times")), lambda r: F.array_contains(known, r["gram"])),
+            lambda r: F.least(F.size(F.filter(grams, lambda g: g == r["gram"])), r["times"]) - 1,
+        ),
     )
+    return F.aggregate(often, F.size(F.array_intersect(grams, t["grams"])), lambda n, more: n + more)
+
 
-    def grams_of(ls: Column) -> Column:
-        """The bigrams of each line, with the one that leads to the next line."""
-
-        def of(line: Column, k: Column) -> Column:
-            ws = line["words"]
-            after = F.coalesce(F.slice(F.get(ls, k + 1)["words"], 1, 1), F.expr("cast(array() as array<string>)"))
-            seconds = F.concat(F.slice(ws, F.lit(2), F.size(ws)), after)
-            return _let(seconds, lambda ys: F.zip_with(F.slice(ws, F.lit(1), F.size(ys)), ys, lambda x, y: F.concat_ws(" ", x, y)))
-
-        return F.transform(ls, of)
-
-    def candidates(t: Column, ls: Column, gs: Column) -> Column:
-        """Runs of a size that fits, with enough bigrams of the template if each counts."""
-        sized = _let(
-            F.array_intersect(F.flatten(gs), t["grams"]),
-            lambda present: F.transform(
-                gs,
-                lambda g, k: F.struct(
-                    F.size(F.get(ls, k)["words"]).alias("n"),
-                    F.size(F.filter(g, lambda x: F.array_contains(present, x))).alias("known"),
-                ),
-            ),
+def _bigrams_of(lines: Column) -> Column:
+    """The bigrams of each line, with the one that leads to the next line."""
+
+    def of(ws: Column, k: Column) -> Column:
+        after = F.coalesce(F.slice(F.get(lines, k + 1), 1, 1), F.expr("cast(array() as array<string>)"))
+        seconds = F.concat(F.slice(ws, F.lit(2), F.size(ws)), after)
+        return _let(seconds, lambda ys: F.zip_with(F.slice(ws, F.lit(1), F.size(ys)), ys, lambda x, y: F.concat_ws(" ", x, y)))
+
+    return F.transform(lines, of)
+
+
+def _matches(t: Column, lines: Column, grams: Column, threshold: float) -> Column:
+    """Matches of one template among lines."""
+    none = F.expr(f"cast(array() as array<{_MATCH}>)")
+
+    def score(i: Column, j: Column) -> Column:
+        """Of the lines from i to j; 0 outside of the bounds."""
+        n = F.aggregate(F.slice(lines, i + 1, j - i + 1), F.lit(-1), lambda acc, ws: acc + F.size(ws))
+        text = lambda n: F.slice(F.flatten(F.slice(grams, i + 1, j - i + 1)), F.lit(1), n)
+        dice = lambda n: _let(text(n), lambda g: F.lit(2.0) * _shared(g, t) / (n + F.size(t["grams"])))
+        return _let(n, lambda n: F.when(n.between(t["lo"], t["hi"]), dice(n)).otherwise(F.lit(0.0)))
+
+    def match(score: Column, i: Column, j: Column) -> Column:
+        return F.struct(t["family"].alias("family"), i.alias("first"), (-score).alias("less"), t["id"].alias("id"), j.alias("last"))
+
+    def of_run(run: Column, known: Column) -> Column:
+        i, j = run["i"], run["j"]
+        single = F.transform(
+            F.filter(F.sequence(i, j), lambda k: F.get(known, k)), lambda k: match(score(k, k), k, k)
         )
-        start = F.expr("struct(-1 as n, 0 as known, 0 as lines, cast(array() as array<struct<i:int,j:int,n:int>>) as runs)")
-
-        def longer(acc: Column, line: Column, i: Column) -> Column:
-            n, known = acc["n"] + line["n"], acc["known"] + line["known"]
-            fits = n.between(t["lo"], t["hi"]) & (F.lit(2.0) * known >= F.lit(threshold - 1e-9) * (n + F.size(t["grams"])))
-            run = F.struct(i.alias("i"), (i + acc["lines"]).alias("j"), n.alias("n"))
-            runs = F.when(fits, F.concat(acc["runs"], F.array(run))).otherwise(acc["runs"])
-            return F.struct(n.alias("n"), known.alias("known"), (acc["lines"] + 1).alias("lines"), runs.alias("runs"))
-
-        none = F.expr("cast(array() as array<struct<i:int,j:int,n:int>>)")
-        # A line without a known bigram at the start only lowers the score.
-        return _let(
-            sized,
-            lambda rows: F.flatten(
-                F.transform(
-                    rows,
-                    lambda line, i: F.when(
-                        line["known"] > 0,
-                        F.aggregate(
-                            F.slice(rows, i + 1, t["hi"] + 1), start, lambda acc, x: longer(acc, x, i), lambda acc: acc["runs"]
-                        ),
-                    ).otherwise(none),
-                )
-            ),
+        good = lambda ms: F.filter(ms, lambda m: -m["less"] >= threshold)
+        whole = lambda m, ms: (-m["less"] >= threshold) & (m["less"] <= F.array_min(F.transform(ms, lambda x: x["less"])))
+        several = lambda ms: _let(match(score(i, j), i, j), lambda m: F.when(whole(m, ms), F.array(m)).otherwise(good(ms)))
+        return _let(single, lambda ms: F.when(i == j, good(ms)).otherwise(several(ms)))
+
+    def runs_of(known: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(known) - 1)
+        is_known = lambda k: F.coalesce(F.get(known, k), F.lit(False))
+        alone = lambda k, step: is_known(k) & ~is_known(k + step) & ~is_known(k + 2 * step)
+        ends = F.arrays_zip(
+            F.filter(places, lambda k: alone(k, -1)).alias("i"), F.filter(places, lambda k: alone(k, 1)).alias("j")
         )
+        return F.flatten(F.transform(ends, lambda run: of_run(run, known)))
 
-    def scored(t: Column, ls: Column, gs: Column) -> Column:
-        def one(r: Column) -> Column:
-            grams = F.slice(F.flatten(F.slice(gs, r["i"] + 1, r["j"] - r["i"] + 1)), F.lit(1), r["n"])
-            score = _let(grams, lambda g: F.lit(2.0) * _shared(g, t) / (r["n"] + F.size(t["grams"])))
-            block = lambda k: F.coalesce(F.get(ls, k)["block"], F.lit(-1))
-            whole = (
-                (block(r["i"]) == block(r["j"])) & (block(r["i"] - 1) != block(r["i"])) & (block(r["j"] + 1) != block(r["j"]))
-            )
-            return F.struct((-score).alias("less"), r["i"].alias("i"), r["j"].alias("j"), whole.alias("whole"))
-
-        return F.filter(F.transform(candidates(t, ls, gs), one), lambda r: -r["less"] >= threshold)
-
-    def best(rows: Column) -> Column:
-        """Of runs that overlap the first in order, without those inside a whole block."""
-        inside = lambda r, o: o["whole"] & (o["i"] <= r["i"]) & (r["j"] <= o["j"]) & ((o["i"] < r["i"]) | (r["j"] < o["j"]))
-        free = F.filter(rows, lambda r: (r["i"] == r["j"]) | ~F.exists(rows, lambda o: inside(r, o)))
-        none = F.expr("cast(array() as array<struct<less:double,i:int,j:int,whole:boolean>>)")
-        overlap = lambda acc, r: F.exists(acc, lambda o: (o["i"] <= r["j"]) & (r["i"] <= o["j"]))
-        return F.aggregate(F.array_sort(free), none, lambda acc, r: F.when(overlap(acc, r), acc).otherwise(F.concat(acc, F.array(r))))
-
-    def matches(t: Column, ls: Column, gs: Column) -> Column:
-        runs = F.filter(_let(scored(t, ls, gs), best), lambda r: (r["i"] < r["j"]) & ~r["whole"])
-        return F.transform(runs, lambda r: F.struct(t["id"].alias("id"), (-r["less"]).alias("score")))
-
-    possible = _let(
-        F.array_intersect(F.split(folded, "[ \n]+"), vocabulary),
-        lambda ws: F.filter(_literals(usable, threshold), lambda t: F.size(F.array_intersect(ws, t["words"])) >= t["need"]),
-    )
-    found = lambda ts: _let(
-        lines, lambda ls: _let(grams_of(ls), lambda gs: F.flatten(F.transform(ts, lambda t: matches(t, ls, gs))))
-    )
-    return _let(possible, lambda ts: F.when(F.size(ts) > 0, found(ts)).otherwise(nothing))
+    def known_lines(present: Column) -> Column:
+        half = lambda g: 2 * F.size(F.array_intersect(g, present)) >= F.size(F.array_distinct(g))
+        return F.transform(grams, lambda g: (F.size(g) > 0) & half(g))
+
+    present = F.array_intersect(F.flatten(grams), t["grams"])
+    return _let(present, lambda p: F.when(F.size(p) >= t["need"], _let(known_lines(p), runs_of)).otherwise(none))
+
+
+def _best_of_families(matches: Column) -> Column:
+    """Of the matches of one family from one line on the first in order."""
+    start = lambda m: F.struct(m["family"], m["first"])
+    best = lambda ms: F.filter(ms, lambda m, i: (i == 0) | (start(F.get(ms, i - 1)) != start(m)))
+    return _let(F.array_sort(matches), best)
 
 
 def licence_matches(
@@ -239,47 +261,36 @@ def licence_matches(
     templates: dict[str, str] | None = None,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
-    """The frame with `matches`: for each unit or run and each template that it matches, the template's id and the score.
+    """The frame with `matches`: the id of the template, the score, and the first and last line, blank ones not counted.
 
     A column named `matches` that the frame has is replaced.
     """
-    table = TEMPLATES if templates is None else templates
+    table = {name: text for name, text in (TEMPLATES if templates is None else templates).items() if bigrams(text)}
     kept = [F.col(f"`{c}`") for c in df.columns if c != "matches"]
+    shown = "array<struct<id:string,score:double,first:int,last:int>>"
     if not table:
-        return df.select(*kept, F.expr("cast(array() as array<struct<id:string,score:double>>)").alias("matches"))
-    sizes = [bounds(len(bigrams(t)), threshold) for t in table.values()]
-    least, most = max(1, min(lo for lo, _ in sizes)), max(hi for _, hi in sizes)
-    known = _literals(table, threshold)
-    a, b, c, d = (free_name(df, name) for name in ("folded", "unit_words", "unit_grams", "run_matches"))
-
+        return df.select(*kept, F.expr(f"cast(array() as {shown})").alias("matches"))
+    folded_name, found_name = free_name(df, "folded"), free_name(df, "found")
     folded = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _CAPITALS, _SMALL), _SEPARATORS, " ")
-    blocks = F.filter(F.split(F.col(a), _BLANK_LINES), lambda u: F.contains(u, F.lit("\n")))
-    units = F.concat(F.split(F.col(a), "\n"), F.transform(blocks, lambda u: F.regexp_replace(u, "[ \n]+", " ")))
-    # Runs are folded: a unit of n bigrams has n spaces, and one more at either end at most.
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    likely = F.filter(units, lambda u: spaces(u).between(least, most + 2))
-    words = F.transform(likely, lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
-    fitting = F.filter(b, lambda ws: (F.size(ws) - 1).between(least, most))
-    pairs = lambda ws: F.zip_with(
-        F.slice(ws, F.lit(1), F.size(ws) - 1), F.slice(ws, F.lit(2), F.size(ws) - 1), lambda x, y: F.concat_ws(" ", x, y)
+    every = _words_literal(sorted({w for t in table.values() for w in anchors(bigrams(t), threshold)}))
+    likely = F.arrays_overlap(F.split(F.col(folded_name), "[ \n]+"), every)
+    words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(F.col(folded_name), "\n"), words), lambda ws: F.size(ws) > 0)
+    every_template = _literals(table, threshold)
+    found = _let(
+        lines, lambda ls: _let(_bigrams_of(ls), lambda gs: F.flatten(F.transform(every_template, lambda t: _matches(t, ls, gs, threshold))))
     )
-
-    def compared(grams: Column) -> Column:
-        near = F.filter(known, lambda t: F.size(grams).between(t["lo"], t["hi"]))
-        score = lambda t: F.lit(2.0) * _shared(grams, t) / (F.size(grams) + F.size(t["grams"]))
-        scored = F.transform(near, lambda t: F.struct(t["id"].alias("id"), score(t).alias("score")))
-        return F.filter(scored, lambda r: r["score"] >= threshold)
-
+    none = F.expr(f"cast(array() as array<{_MATCH}>)")
+    one = lambda m: F.struct(m["id"].alias("id"), (-m["less"]).alias("score"), m["first"].alias("first"), m["last"].alias("last"))
     return (
-        df.select(*kept, folded.alias(a))
-        .select(*kept, words.alias(b), _runs(F.col(a), table, threshold).alias(d))
-        .select(*kept, F.transform(fitting, pairs).alias(c), d)
-        .select(*kept, F.concat(F.flatten(F.transform(c, compared)), F.col(d)).alias("matches"))
+        df.select(*kept, folded.alias(folded_name))
+        .select(*kept, F.when(likely, found).otherwise(none).alias(found_name))
+        .select(*kept, F.transform(_best_of_families(F.col(found_name)), one).alias("matches"))
     )
 
 
 def licence_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: units that match, the best match and its score, and all licence templates found."""
+    """Per document: the number of matches, the best match and its score, and all licence templates found."""
     found = licence_matches(docs.select("doc_id", "text"), threshold=threshold)
     best = F.array_min(F.transform("matches", lambda m: F.struct((-m["score"]).alias("less"), m["id"].alias("id"))))
     names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["id"])))
@@ -294,36 +305,57 @@ def licence_report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """The report in the SQL of DuckDB."""
-    rows = []
+    rows, sizes = [], []
     for name, text in sorted(TEMPLATES.items()):
         grams = bigrams(text)
         lo, hi = bounds(len(grams), threshold)
-        rows += [f"('{name}', {len(grams)}, {lo}, {hi}, '{g}', {n})" for g, n in sorted(Counter(grams).items())]
-    least = min(bounds(len(bigrams(t)), threshold)[0] for t in TEMPLATES.values())
-    most = max(bounds(len(bigrams(t)), threshold)[1] for t in TEMPLATES.values())
+        sizes.append(f"('{name}', '{family(name)}', {len(grams)}, {lo}, {hi})")
+        rows += [f"('{name}', '{g}', {n})" for g, n in sorted(Counter(grams).items())]
     return f"""
-    with known(id, n, lo, hi, gram, times) as (values {", ".join(rows)}),
+    with known(id, gram, times) as (values {", ".join(rows)}),
+    sizes(id, family, n, lo, hi) as (values {", ".join(sizes)}),
     folded as (
-      select doc_id, regexp_replace(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'),
-                                    '{_SEPARATORS}', ' ', 'g') as t
+      select row_number() over () as r, doc_id,
+             regexp_replace(translate(coalesce(text, ''), '{_CAPITALS}', '{_SMALL}'), '{_SEPARATORS}', ' ', 'g') as t
       from documents),
-    units as (
-      select doc_id, unnest(list_concat(string_split(t, chr(10)),
-                 [replace(b, chr(10), ' ') for b in string_split_regex(t, '{_BLANK_LINES}') if contains(b, chr(10))])) as u
-      from folded),
-    numbered as (
-      select doc_id, row_number() over () as unit, [w for w in string_split(u, ' ') if w <> ''] as ws from units),
-    fitting as (select doc_id, unit, ws, len(ws) - 1 as n from numbered where len(ws) - 1 between {max(1, least)} and {most}),
+    cut as (select r, string_split(t, chr(10)) as ls from folded),
+    placed as (select r, unnest(range(1, len(ls) + 1)) as place, unnest(ls) as l from cut),
+    worded as (select r, place, [w for w in string_split(l, ' ') if w <> ''] as ws from placed),
+    numbered as (select r, row_number() over (partition by r order by place) as k, ws from worded where len(ws) > 0),
+    lines as (select r, k, ws, len(ws) as nw, lead(ws[1]) over (partition by r order by k) as after,
+                     sum(len(ws)) over (partition by r order by k) as total from numbered),
     grams as (
-      select doc_id, unit, n, ws[i] || ' ' || ws[i + 1] as gram, count(*) as times
-      from (select doc_id, unit, n, ws, unnest(range(1, len(ws))) as i from fitting) group by all),
+      select r, k, ws[p] || ' ' || ws[p + 1] as gram, false as leads from (select r, k, ws, unnest(range(1, len(ws))) as p from lines)
+      union all select r, k, ws[len(ws)] || ' ' || after, true from lines where after is not null),
+    of_line as (select r, k, count(distinct gram) as d from grams group by all),
+    met as (select g.r, g.k, m.id, count(distinct g.gram) as s from grams g join known m using (gram) group by all),
+    flagged as (select r, id, k from met join of_line using (r, k) where 2 * s >= d),
+    stepped as (select *, coalesce(k - lag(k) over (partition by r, id order by k) > {GAP + 1}, false)::int as fresh from flagged),
+    islands as (select r, id, k, sum(fresh) over (partition by r, id order by k) as island from stepped),
+    runs as (
+      select r, id, island, min(k) as i, max(k) as j, true as whole from islands group by all having min(k) < max(k)
+      union all select r, id, island, k, k, false from islands),
+    fitting as (
+      select c.*, b.total - a.total + a.nw - 1 as n, z.n as size, z.family
+      from runs c join lines a on a.r = c.r and a.k = c.i join lines b on b.r = c.r and b.k = c.j join sizes z on z.id = c.id
+      where b.total - a.total + a.nw - 1 between z.lo and z.hi),
+    counted as (
+      select f.r, f.id, f.family, f.island, f.i, f.j, f.whole, f.n, f.size, g.gram, count(*) as times
+      from fitting f join grams g on g.r = f.r and g.k between f.i and f.j and not (g.leads and g.k = f.j) group by all),
     scored as (
-      select g.doc_id, g.unit, k.id, 2.0::double * sum(least(g.times, k.times)) / (any_value(g.n) + any_value(k.n)) as score
-      from grams g join known k on g.gram = k.gram and g.n between k.lo and k.hi group by 1, 2, 3),
-    hits as (select * from scored where score >= {threshold}),
+      select c.r, c.id, c.family, c.island, c.i, c.j, c.whole, 2.0::double * sum(least(c.times, m.times)) / (any_value(c.n) + any_value(c.size)) as score
+      from counted c join known m on m.id = c.id and m.gram = c.gram group by all),
+    best_line as (select r, id, island, max(score) as line_score from scored where not whole group by all),
+    whole_ones as (
+      select s.* from scored s left join best_line b using (r, id, island)
+      where s.whole and s.score >= {threshold} and s.score >= coalesce(b.line_score, 0)),
+    hits as (
+      select r, id, family, i, score from whole_ones
+      union all select r, id, family, i, score from (select * from scored where not whole and score >= {threshold}) anti join whole_ones using (r, id, island)),
+    kept as (select * from hits qualify row_number() over (partition by r, family, i order by score desc, id) = 1),
     best as (
-      select doc_id, count(*) as n_matches, string_agg(distinct id, ',' order by id) as licences,
+      select r, count(*) as n_matches, string_agg(distinct id, ',' order by id) as licences,
              arg_min(id, (-score, id)) as licence, max(score) as score
-      from hits group by doc_id)
-    select d.doc_id, coalesce(b.n_matches, 0)::bigint as n_matches, b.licence, b.score, coalesce(b.licences, '') as licences
-    from documents d left join best b using (doc_id)"""
+      from kept group by r)
+    select f.doc_id, coalesce(b.n_matches, 0)::bigint as n_matches, b.licence, b.score, coalesce(b.licences, '') as licences
+    from folded f left join best b using (r)"""
