@@ -147,11 +147,20 @@ def bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+# Words of any English text; they tell nothing about licences.
+_COMMON = frozenset(
+    "a about all also an and any are as at be been but by can do each for from had has have if in into is it its may more must"
+    " no not of on only or other our out shall should so such than that the their them then there these they this those to"
+    " under up was we were what when where which who will with would you your".split()
+)
+
+
 def anchors(grams: list[str], threshold: float) -> list[str]:
-    """Words, long ones first, one of which every match has: more bigrams begin with them than a match can lack."""
+    """Words, long ones first and common ones last, one of which every match has: more bigrams begin with them than a
+    match can lack."""
     firsts = Counter(g.split(" ")[0] for g in grams)
     lacking, out = len(grams) - bounds(len(grams), threshold)[0], []
-    for word in sorted(firsts, key=lambda w: (-len(w), w)):
+    for word in sorted(firsts, key=lambda w: (w in _COMMON, -len(w), w)):
         out.append(word)
         lacking -= firsts[word]
         if lacking < 0:
