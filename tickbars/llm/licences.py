@@ -15,8 +15,8 @@ its words and the one that leads to the next line. Per document and template:
 Of templates of one family that match from the same line on, the best is a match, of equal ones that of the smaller id.
 
 Only DataFrame functions are used; everything happens within the row, so there is no shuffle. A match has all but a part of
-a template's bigrams, hence one at least of so many first words as outweigh that part; documents without any such word of any
-template, nearly all, are not looked at further.
+a template's bigrams, hence one at least of so many first words (anchors) as outweigh that part: a document is compared
+with the templates of which it has an anchor, most documents with none.
 
 Defined cases: a null or empty text has no match; units of fewer than two words have no bigrams and never match;
 repeated rows get repeated results; other columns stay as they are.
@@ -183,7 +183,7 @@ def _literals(templates: dict[str, str], threshold: float) -> Column:
         again = sorted((g, n) for g, n in Counter(grams).items() if n > 1)
         times = F.split(F.lit(",".join(str(n) for _, n in again)), ",").cast("array<int>") if again else F.expr("cast(array() as array<int>)")
         values = {"id": F.lit(name), "family": F.lit(family(name)), "lo": F.lit(lo), "hi": F.lit(hi), "need": F.lit(max(need, 1))}
-        arrays = {"grams": _words_literal(grams), "repeated": _words_literal([g for g, _ in again]), "times": times}
+        arrays = {"anchors": _words_literal(anchors(grams, threshold)), "grams": _words_literal(grams), "repeated": _words_literal([g for g, _ in again]), "times": times}
         rows.append(F.struct(*[c.alias(n) for n, c in {**values, **arrays}.items()]))
     return F.array(*rows)
 
@@ -216,8 +216,8 @@ def _bigrams_of(lines: Column) -> Column:
     return F.transform(lines, of)
 
 
-def _matches(t: Column, lines: Column, grams: Column, threshold: float) -> Column:
-    """Matches of one template among lines."""
+def _matches(t: Column, lines: Column, grams: Column, every: Column, threshold: float) -> Column:
+    """Matches of one template among lines with their bigrams, `every` being all of these in one array."""
     none = F.expr(f"cast(array() as array<{_MATCH}>)")
 
     def score(i: Column, j: Column) -> Column:
@@ -253,7 +253,7 @@ def _matches(t: Column, lines: Column, grams: Column, threshold: float) -> Colum
         half = lambda g: 2 * F.size(F.array_intersect(g, present)) >= F.size(F.array_distinct(g))
         return F.transform(grams, lambda g: (F.size(g) > 0) & half(g))
 
-    present = F.array_intersect(F.flatten(grams), t["grams"])
+    present = F.array_intersect(every, t["grams"])
     return _let(present, lambda p: F.when(F.size(p) >= t["need"], _let(known_lines(p), runs_of)).otherwise(none))
 
 
@@ -279,21 +279,21 @@ def licence_matches(
     shown = "array<struct<id:string,score:double,first:int,last:int>>"
     if not table:
         return df.select(*kept, F.expr(f"cast(array() as {shown})").alias("matches"))
-    folded_name, found_name = free_name(df, "folded"), free_name(df, "found")
+    folded_name, hits_name, found_name = (free_name(df, name) for name in ("folded", "hits", "found"))
     folded = F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _CAPITALS, _SMALL), _SEPARATORS, " ")
     every = _words_literal(sorted({w for t in table.values() for w in anchors(bigrams(t), threshold)}))
-    likely = F.arrays_overlap(F.split(F.col(folded_name), "[ \n]+"), every)
+    hits = F.array_intersect(F.split(F.col(folded_name), "[ \n]+"), every)
     words = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
     lines = F.filter(F.transform(F.split(F.col(folded_name), "\n"), words), lambda ws: F.size(ws) > 0)
-    every_template = _literals(table, threshold)
-    found = _let(
-        lines, lambda ls: _let(_bigrams_of(ls), lambda gs: F.flatten(F.transform(every_template, lambda t: _matches(t, ls, gs, threshold))))
-    )
+    likely = F.filter(_literals(table, threshold), lambda t: F.arrays_overlap(F.col(hits_name), t["anchors"]))
+    of_lines = lambda ls, gs: _let(F.flatten(gs), lambda every: F.flatten(F.transform(likely, lambda t: _matches(t, ls, gs, every, threshold))))
+    found = _let(lines, lambda ls: _let(_bigrams_of(ls), lambda gs: of_lines(ls, gs)))
     none = F.expr(f"cast(array() as array<{_MATCH}>)")
     one = lambda m: F.struct(m["id"].alias("id"), (-m["less"]).alias("score"), m["first"].alias("first"), m["last"].alias("last"))
     return (
         df.select(*kept, folded.alias(folded_name))
-        .select(*kept, F.when(likely, found).otherwise(none).alias(found_name))
+        .select(*kept, folded_name, hits.alias(hits_name))
+        .select(*kept, F.when(F.size(hits_name) > 0, found).otherwise(none).alias(found_name))
         .select(*kept, F.transform(_best_of_families(F.col(found_name)), one).alias("matches"))
     )
 
