@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -81,9 +82,9 @@ def test_windows_of_a_chunk_stay_in_their_texts(texts):
 SCHEMA = "windows string, doc_id bigint, text string, row int, doc string"
 
 
-@pytest.mark.parametrize("limit", [200_000, 20])
+@pytest.mark.parametrize("limit", [50_000, 40, 1])
 def test_odd_rows(spark, monkeypatch, limit):
-    monkeypatch.setattr(A, "SHARD_WORDS", limit)
+    monkeypatch.setattr(A, "HOT_WORDS", limit)
     text = " ".join(f"w{i}" for i in range(40))
     part = " ".join(f"w{i}" for i in range(9, 25))
     texts = [
@@ -96,6 +97,21 @@ def test_odd_rows(spark, monkeypatch, limit):
     assert {r.n_removed for r in A.repeat_report(df.where("doc_id = 3")).collect()} == {0}
 
 
+@pytest.mark.parametrize("limit", [300, 60])
+def test_variants_of_one_passage_are_dealt_out_again(spark, monkeypatch, limit):
+    """Texts that share five words, and the one hash that they meet in, but differ around them."""
+    monkeypatch.setattr(A, "HOT_WORDS", limit)
+    rng = random.Random(2)
+    texts = []
+    for d in range(60):
+        before, after = ([rng.choice("abcdefgh") for _ in range(12)] for _ in range(2))
+        near = before[:8] + [f"v{d % 7}"] * 4
+        texts.append((d, " ".join([*near, "the", "five", "common", "words", "here", *after])))
+    texts += [(100 + d, t) for d, t in texts[:20]]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    assert sorted(map(key, A.repeat_report(df).collect())) == sorted(map(key, brute(texts)))
+
+
 def test_reference_in_shards(spark, monkeypatch):
     text = [f"w{i}" for i in range(60)]
     docs = spark.createDataFrame([(1, " ".join(text[5:40])), (1, "n " * 20), (2, None), (3, " ".join(text[:12]))], "doc_id bigint, text string")

@@ -9,7 +9,8 @@ content: each window of 13 words belongs to the smallest hash among its runs of
 the same shard wherever they occur. Hashes met in one document only are left behind; around the others the passages
 are cut out, equal ones are folded with their smallest document, each shard's automaton is built from its different
 passages, and these are streamed through it. Hashes only decide where words meet; the automata compare the words.
-A shard of more than SHARD_WORDS words is dealt out again by whole windows.
+A shard of more than HOT_WORDS words is dealt out again, window by window, by the smallest hash of longer runs, first of
+LONGER_GRAM words, then of whole windows; its parts, too, are shards of which automata are built.
 
 Defined cases: a null or empty text has no words; windows of fewer words than a document has do not exist, so shorter
 documents lose nothing; a document without id loses nothing and is nobody's smaller document; rows with the same id
@@ -30,6 +31,9 @@ from tickbars.llm.tools import discard, map_batches, stored
 WINDOW = 13
 GRAM = 5
 SHARD_WORDS = 200_000
+# A shard of the corpus that has more words is dealt out again.
+HOT_WORDS = 50_000
+LONGER_GRAM = 9
 # Bytes of text that are hashed at once.
 CHUNK_BYTES = 1 << 20
 # Stands for "no document"; no id is larger.
@@ -316,15 +320,36 @@ def _row(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _split_windows(passages: DataFrame, window: int) -> DataFrame:
-    """Each window as a passage of its own, in the shard of its hash."""
+def _split_windows(passages: DataFrame, window: int, gram: int) -> DataFrame:
+    """Each window as a passage of its own, in the shard of the smallest hash of its runs of `gram` words."""
     ws = F.split("passage", " ")
+    hashes = F.transform(F.sequence(F.lit(0), F.size(ws) - gram), lambda j: F.xxhash64(F.array_join(F.slice(ws, j + 1, gram), " ")))
+    timed = passages.withColumn("hashes", hashes)
     each = F.transform(
         F.sequence(F.lit(0), F.size(ws) - window),
-        lambda i: F.struct((F.col("place") + i).alias("place"), F.array_join(F.slice(ws, i + 1, window), " ").alias("passage")),
+        lambda i: F.struct(
+            (F.col("place") + i).alias("place"),
+            F.array_min(F.slice("hashes", i + 1, window - gram + 1)).alias("least"),
+            F.array_join(F.slice(ws, i + 1, window), " ").alias("passage"),
+        ),
     )
-    cut = passages.select("doc", "row", "shard", F.explode(each).alias("w"))
-    return cut.select("doc", "row", F.col("w.place").alias("place"), F.xxhash64("shard", "w.passage").alias("shard"), F.col("w.passage").alias("passage"))
+    cut = timed.select("doc", "row", "shard", F.explode(each).alias("w"))
+    return cut.select("doc", "row", F.col("w.place").alias("place"), F.xxhash64("shard", "w.least").alias("shard"), F.col("w.passage").alias("passage"))
+
+
+def _without_hot(passages: DataFrame, folded: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """The passages, and the same folded, after shards of more than HOT_WORDS words were dealt out again."""
+    for gram in sorted({min(LONGER_GRAM, window), window}):
+        sizes = folded.groupBy("shard").agg(F.sum(F.size(F.split("passage", " "))).alias("n"))
+        hot = stored(sizes.where(F.col("n") > HOT_WORDS).select("shard"), "hot")
+        if hot.isEmpty():
+            break
+        windows = _split_windows(passages.join(hot, "shard", "left_semi"), window, gram)
+        apart = stored(passages.join(hot, "shard", "left_anti").select(windows.columns).union(windows), "passages")
+        discard(passages)
+        discard(folded)
+        passages, folded = apart, stored(_folded(apart), "folded")
+    return passages, folded
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -342,13 +367,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     passages = stored(_passages(plain.join(wanted, "doc").select("doc", "row", "text", "wanted"), window), "passages")
     discard(wanted)
     folded = stored(_folded(passages), "folded")
-    large = folded.groupBy("shard").agg(F.sum(F.size(F.split("passage", " "))).alias("n")).where(F.col("n") > SHARD_WORDS).select("shard")
-    large = stored(large, "large")
-    if not large.isEmpty():
-        windows = _split_windows(passages.join(large, "shard", "left_semi"), window)
-        passages = stored(passages.join(large, "shard", "left_anti").select(windows.columns).union(windows), "passages")
-        discard(folded)
-        folded = stored(_folded(passages), "folded")
+    passages, folded = _without_hot(passages, folded, window)
     firsts = stored(_firsts(folded, window), "firsts")
     discard(folded)
     found = passages.select("doc", "row", "place", "shard", F.xxhash64("passage").alias("passage_hash")).join(
