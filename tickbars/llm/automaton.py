@@ -20,13 +20,14 @@ count as the same document; texts of any length are taken whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickbars.llm.tools import discard, map_batches, stored
+from tickbars.llm.tools import discard, map_batches, scratch, stored
 
 WINDOW = 13
 GRAM = 5
@@ -337,19 +338,21 @@ def _split_windows(passages: DataFrame, window: int, gram: int) -> DataFrame:
     return cut.select("doc", "row", F.col("w.place").alias("place"), F.xxhash64("shard", "w.least").alias("shard"), F.col("w.passage").alias("passage"))
 
 
-def _without_hot(passages: DataFrame, folded: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
-    """The passages, and the same folded, after shards of more than HOT_WORDS words were dealt out again."""
+def _without_hot(passages: DataFrame, folded: DataFrame, window: int) -> list[tuple[DataFrame, DataFrame]]:
+    """Passages and the same folded, in parts, after shards of more than HOT_WORDS words were dealt out again.
+
+    Only what such shards hold is read and written anew; the list of them is short, at most one for HOT_WORDS words.
+    """
+    parts = []
     for gram in sorted({min(LONGER_GRAM, window), window}):
         sizes = folded.groupBy("shard").agg(F.sum(F.size(F.split("passage", " "))).alias("n"))
         hot = stored(sizes.where(F.col("n") > HOT_WORDS).select("shard"), "hot")
         if hot.isEmpty():
             break
-        windows = _split_windows(passages.join(hot, "shard", "left_semi"), window, gram)
-        apart = stored(passages.join(hot, "shard", "left_anti").select(windows.columns).union(windows), "passages")
-        discard(passages)
-        discard(folded)
-        passages, folded = apart, stored(_folded(apart), "folded")
-    return passages, folded
+        parts.append((passages.join(hot, "shard", "left_anti"), folded.join(hot, "shard", "left_anti")))
+        passages = stored(_split_windows(passages.join(hot, "shard", "left_semi"), window, gram), "passages")
+        folded = stored(_folded(passages), "folded")
+    return [*parts, (passages, folded)]
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -367,12 +370,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     passages = stored(_passages(plain.join(wanted, "doc").select("doc", "row", "text", "wanted"), window), "passages")
     discard(wanted)
     folded = stored(_folded(passages), "folded")
-    passages, folded = _without_hot(passages, folded, window)
-    firsts = stored(_firsts(folded, window), "firsts")
+    with scratch(docs.sparkSession):
+        parts = _without_hot(passages, folded, window)
+        placed = [p.select("doc", "row", "place", "shard", F.xxhash64("passage").alias("passage_hash")) for p, _ in parts]
+        firsts = stored(_firsts(reduce(DataFrame.union, [f.select("shard", "passage", "first") for _, f in parts]), window), "firsts", keep=True)
+        places = stored(reduce(DataFrame.union, placed), "places", keep=True)
+    discard(passages)
     discard(folded)
-    found = passages.select("doc", "row", "place", "shard", F.xxhash64("passage").alias("passage_hash")).join(
-        firsts, ["shard", "passage_hash"]
-    )
+    found = places.join(firsts, ["shard", "passage_hash"])
     found = found.where(F.exists("firsts", lambda f: f < F.col("doc")))
     return found.groupBy("doc", "row").agg(F.collect_set(F.struct("place", "firsts")).alias("windows"))
 
