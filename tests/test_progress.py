@@ -40,6 +40,8 @@ def test_planned_batches(spark):
     ranges = spark.createDataFrame([("a", 0, 5, 12), ("a", 1, 0, 3), ("b", 0, 4, 4)], HELD)
     got = sorted(map(tuple, op.planned_batches(ranges, 3).collect()))
     assert got == [(0, "a", 0, 5, 8), (0, "a", 1, 0, 3), (1, "a", 0, 8, 11), (2, "a", 0, 11, 12)]
+    options = op.batch_options(op.planned_batches(ranges, 3), 0)
+    assert {k: json.loads(v) for k, v in options.items()} == {"startingOffsets": {"a": {"0": 5, "1": 0}}, "endingOffsets": {"a": {"0": 8, "1": 3}}}
     long = spark.createDataFrame([("a", 0, 0, 250_001)], HELD)
     many = op.planned_batches(long, 1)
     assert many.count() == 250_001 and many.agg({"until_offset": "max"}).first()[0] == 250_001

@@ -16,6 +16,7 @@ from tickbars.operators.messages import decode_trades, drop_null_messages, filte
 from tickbars.operators.numbers import count_numbers, merge_bitmaps, number_bitmaps, unseen_trades
 from tickbars.operators.partials import candle_partials, combine_candles, plain_candles
 from tickbars.operators.progress import (
+    batch_options,
     batch_sizes,
     count_of,
     counted,
@@ -44,6 +45,7 @@ from tickbars.operators.upsert import upsert
 
 __all__ = [
     "CANDLE_INPUTS",
+    "batch_options",
     "batch_sizes",
     "candle_partials",
     "candles",

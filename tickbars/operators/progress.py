@@ -77,6 +77,13 @@ def planned_batches(ranges: DataFrame, rate: int) -> DataFrame:
     return each.selectExpr("batch_id", "topic", "partition", f"{first} as from_offset", f"least({first} + {rate}, until_offset) as until_offset")
 
 
+def batch_options(planned: DataFrame, batch_id: int) -> dict[str, str]:
+    """The options with which Kafka is read as a batch for one of the planned batches, a row per topic partition."""
+    rows = planned.where(F.col("batch_id") == batch_id)
+    ends = {"startingOffsets": "from_offset", "endingOffsets": "until_offset"}
+    return {option: starting_offsets(rows.withColumn("position", F.col(column))) for option, column in ends.items()}
+
+
 def with_planned_batch(messages: DataFrame, ranges: DataFrame, rate: int) -> DataFrame:
     """Messages with `batch_id`, the batch of `planned_batches` that they are in; messages outside of the ranges are left out."""
     starts = ranges.select("topic", "partition", F.col("from_offset").alias("_from"), F.col("until_offset").alias("_until"))
