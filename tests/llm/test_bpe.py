@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -48,6 +49,10 @@ def test_ids_are_those_of_the_library(vocab, known):
         ids = encoder.encode(text).tolist()
         assert ids == known.encode_ordinary(text), text[:20]
         assert encoder.decode(ids) == text.encode()
+    lists = pa.array([encoder.encode(t).tolist() for t in ODD] + [None, []], pa.list_(pa.int32()))
+    want = [t.encode() for t in ODD] + [b"", b""]
+    assert encoder.decode_lists(lists).to_pylist() == want
+    assert encoder.decode_lists(lists[3:7]).to_pylist() == want[3:7] and encoder.decode_lists(lists[:0]).to_pylist() == []
 
 
 def test_query_over_all_documents(spark, known):

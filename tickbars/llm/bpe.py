@@ -17,6 +17,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -148,6 +149,8 @@ class Encoder:
         self.vocabulary = vocabulary
         self.split = regex.compile(vocabulary.pattern).findall
         self.memo: dict[str, bytes] = {}  # ids as numbers of four bytes
+        known = vocabulary.pieces
+        self.pieces = pa.array([known.get(i) for i in range(max(known, default=-1) + 1)], pa.large_binary())
 
     def encode(self, text: str) -> np.ndarray:
         pieces, memo, to_ids = self.split(text), self.memo, self.vocabulary.encode_piece
@@ -170,6 +173,18 @@ class Encoder:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.pieces.__getitem__, ids))
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.BinaryArray:
+        """The bytes of each list of ids; none of a null list."""
+        ends = np.cumsum(np.append(0, pc.fill_null(pc.list_value_length(lists), 0).to_numpy()), dtype=np.int64)
+        pieces = self.pieces.take(lists.flatten())
+        if pieces.null_count:
+            raise KeyError("an id is not in the vocabulary")
+        # The pieces of all lists lie one behind the other; a list's bytes end where its last piece does.
+        _, places, data = pieces.buffers()
+        cuts = np.frombuffer(places, np.int64)[ends] if len(pieces) else np.zeros(len(ends), np.int64)
+        joined = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(cuts), data])
+        return joined.cast(pa.binary())
+
 
 _encoders: dict[str, Encoder] = {}
 
@@ -218,10 +233,9 @@ def decode_ids(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", id
     id_type = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = _encoder(shared).decode
+        decode = _encoder(shared).decode_lists
         for batch in batches:
-            out = [decode(x.values.to_pylist() if x.is_valid else []) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[id_col, "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, decode(batch.column(1))], names=[id_col, "ids", "decoded"])
 
     plain = df.select(F.col(id_col), F.col(ids_col).cast("array<int>").alias("ids"))
     return plain.mapInArrow(run, f"`{id_col}` {id_type}, ids array<int>, decoded binary")
