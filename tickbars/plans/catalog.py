@@ -13,7 +13,7 @@ from tickbars import files
 from tickbars import functions as TF
 from tickbars import operators as op
 from tickbars.plans import inputs
-from tickbars.plans.backfill import backfill, backfill_day
+from tickbars.plans.backfill import backfill, backfill_day, run_job
 from tickbars.schemas import CANDLE, CANDLE_KEYS, CANDLE_VERSION, PARTIAL, TRADE
 from tickbars.sinks import append_ledger, candle_table, merge_candles, read_batches, read_candles, write_batch
 from tickbars.plans.repair import repair, repair_plan
@@ -24,6 +24,7 @@ from tickbars.streaming import (
     recorded,
     start_candles,
     start_quarantine,
+    start_stream,
     stream_candles,
     stream_day_totals,
 )
@@ -723,6 +724,50 @@ def repair_of_lost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_candles(spark, path).select(*CANDLE.names)
 
 
+# Days of three jobs; the exchange is closed on the last one.
+_JOB_DAYS = [DAY, DAY + dt.timedelta(days=1), dt.date(2000, 1, 1)]
+_JOBS = ", ".join(f"(date '{day}', {number})" for number, day in enumerate(_JOB_DAYS))
+_ONE_OF_DAYS = f"cast(dt as date) in ({', '.join(f"date '{day}'" for day in _JOB_DAYS)})"
+
+
+def _run_jobs(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Places of the candle table and of the metrics of a job a day, of which the second fails once, after its write."""
+    path, metrics = files.new_dir(spark, "candles"), files.new_dir(spark, "metrics")
+    table, sink = inputs.deals(spark, sf_dir), candle_table(path)
+
+    def fails(rows: DataFrame, number: int) -> None:
+        sink(rows, number)
+        raise InterruptedError("after the write")
+
+    for number, day in enumerate(_JOB_DAYS):
+        if number == 1:
+            try:
+                run_job(table, fails, day, metrics=metrics, batch_id=number)
+            except InterruptedError:
+                pass
+        run_job(table, sink, day, metrics=metrics, batch_id=number)
+    return path, metrics
+
+
+@query("job_candles", f"with {_TABLE_T} {_candle_sql(where=_ONE_OF_DAYS)}")
+def job_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the jobs leave in the table; the day of the job that failed and ran again is there once."""
+    return read_candles(spark, _run_jobs(spark, sf_dir)[0]).select(*CANDLE.names)
+
+
+@query(
+    "job_metrics",
+    f"""with {_TABLE_T}, d as (select * from (values {_JOBS}) as v(day, batch_id))
+    select 'OK' as status, cast(batch_id as bigint) as batch_id, count(dt) as batch_size, true as timed
+    from d left join t on cast(dt as date) = day group by batch_id
+    union all select 'FAIL', 1, 0, true""",
+)
+def job_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each run of a job, also for the one that failed: trades read, and whether the time taken is known."""
+    rows = spark.read.parquet(_run_jobs(spark, sf_dir)[1])
+    return rows.select("status", "batch_id", "batch_size", F.coalesce(F.col("request_time") >= 0, F.lit(False)).alias("timed"))
+
+
 # ---------------------------------------------------------------- streams
 
 
@@ -1003,3 +1048,30 @@ def stream_quarantine_same_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     start_candles(sent, sink, checkpoint, "per_batch", app=path[-32:], trigger=_NOW, quarantine=bad).awaitTermination()
     kept = spark.read.parquet(bad).select("batch_id", "topic", "partition", "offset", "problem")
     return kept.withColumn("batch_id", F.col("batch_id").cast("bigint"))
+
+
+@query(
+    "stream_skips_empty",
+    f"""with {_T}, m as (select {_POS}, {_BY_NUMBER} as batch_id, {_USABLE} as usable from t where tn % 3 <> 1)
+    select 'OK' as status, batch_id, count(*) filter (usable) as batch_size, count(*) filter (usable) as kept,
+           partition as part, max("offset") + 1 as last_offset
+    from m group by batch_id, partition""",
+)
+def stream_skips_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any job as a stream. The second of three batches holds no message that it reads: no rows, metric or position of it."""
+    path, metrics, ledger = (files.new_dir(spark, what) for what in ("trades", "metrics", "ledger"))
+    sent = _file_stream(spark, sf_dir, _NUMBER).where("partition <> 1")
+    started = start_stream(
+        sent,
+        [decoded_stream, op.valid_trades],
+        lambda rows, number: write_batch(rows.select(*TRADE.names), path, number),
+        files.new_dir(spark, "checkpoint"),
+        _NOW,
+        app=path[-32:],
+        ledger=ledger,
+        metrics=metrics,
+    )
+    started.awaitTermination()
+    kept = read_batches(spark, path, TRADE).groupBy("batch_id").agg(F.count("*").alias("kept"))
+    found = kept.join(spark.read.parquet(metrics).select("batch_id", "status", "batch_size"), "batch_id", "full")
+    return found.join(spark.read.parquet(ledger).select("batch_id", "part", "last_offset"), "batch_id", "full")
