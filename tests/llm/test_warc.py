@@ -48,6 +48,16 @@ def test_odd_rows(spark):
     assert W.archive_report(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3, 1000])
+def test_hot_payloads(spark, monkeypatch, hot):
+    """Without hot digests, with one beside others, and with hot ones only."""
+    monkeypatch.setattr(W, "HOT", hot)
+    rows = [(i, f"u{i}", "often" if i % 2 else f"page {i // 6}") for i in range(60, 0, -1)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = [tuple(r) for r in W.archive_report(df).collect()]
+    assert sorted(got) == brute([(i, html) for i, _, html in rows])
+
+
 def test_round_trip_of_payloads_and_pushdown(spark, tmp_path):
     folder = str(tmp_path / "w")
     pages = spark.read.parquet(f"{SF}/pages.parquet")

@@ -42,6 +42,8 @@ from tickbars.llm.tools import stored
 DATE = "2024-01-01T00:00:00Z"
 # Payloads of at least so many bytes are written once and revisited.
 MIN_REVISIT_BYTES = 0
+# A payload that more than one record in so many holds is hot.
+HOT = 1000
 ARCHIVE_BYTES = 256 << 20
 SPLIT_BYTES = 32 << 20
 LEVEL = 6
@@ -94,15 +96,25 @@ def page_record(key: str | None, url: str | None, payload: bytes, refers_to: str
 def with_revisits(pages: DataFrame, dedupe: bool = True) -> DataFrame:
     """Rows (id, url, payload) with `first_id`: the smallest id of equal payloads, where it is another one.
 
-    Payloads are equal if their length and SHA-256 are. Only digests with more than one row take part in the join.
+    Payloads are equal if their length and SHA-256 are. Only digests with more than one row take part in the join, and
+    those of more than one row in HOT, fewer than HOT digests, are told to all tasks: rows that hold one are spread out
+    by their id and url instead of meeting in the task of their digest.
     """
     if not dedupe:
         return pages.withColumn("first_id", F.lit(None).cast(pages.schema["id"].dataType))
     keyed = pages.withColumn("sha", F.sha2("payload", 256))
     large = keyed.where(F.octet_length("payload") >= MIN_REVISIT_BYTES)
-    shared = large.groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    other = F.col("id").isNull() | (F.col("id") != F.col("least"))
-    return keyed.join(shared, "sha", "left").select("id", "url", "payload", F.when(other, F.col("least")).alias("first_id"))
+    counts = large.groupBy("sha").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    shared = stored(counts.where("n > 1"), "digests")
+    is_hot = F.col("n") * HOT > pages.count()
+    hot = shared.where(is_hot).select("sha", F.col("least").alias("hot_least"), F.lit(True).alias("hot"))
+    rest = shared.where(~is_hot).select(F.col("sha").alias("key"), "least")
+    told = keyed.join(F.broadcast(hot), "sha", "left")
+    spread = F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))
+    met = told.withColumn("key", F.when(F.col("hot"), spread).otherwise(F.col("sha"))).join(rest, "key", "left")
+    least = F.when(F.col("hot"), F.col("hot_least")).otherwise(F.col("least"))
+    other = F.col("id").isNull() | (F.col("id") != least)
+    return met.select("id", "url", "payload", F.when(other, least).alias("first_id"))
 
 
 def write_archives(
