@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import threading
 from types import SimpleNamespace
 
 import pytest
 
+from helpers import at
 from tickbars import files
+from tickbars.schemas import CANDLE
+from tickbars.sinks import merge_candles, read_candles, tables
 
 
 def session(folder, master):
@@ -39,3 +43,23 @@ def test_what_an_application_has_written_can_be_cleared(spark, tmp_path, monkeyp
     assert files.is_dir(spark, path) and path.startswith(files.job_dir(spark))
     files.clear(spark)
     assert not files.is_dir(spark, path) and files.is_dir(spark, str(tmp_path))
+
+
+def test_days_are_committed_several_at_a_time(spark, tmp_path, monkeypatch):
+    commit, meet = tables._commit, threading.Barrier(4)
+
+    def with_others(*args):
+        meet.wait(30)
+        return commit(*args)
+
+    monkeypatch.setattr(tables, "_commit", with_others)
+    for value in (1, 2):
+        days = [(at(10, 0, day=day), "SBER", 1.0, 1.0, 1.0, 1.0, value) for day in range(1, 5)]
+        merge_candles(spark.createDataFrame(days, CANDLE), str(tmp_path / "table"))
+    assert [r.value for r in read_candles(spark, str(tmp_path / "table")).collect()] == [2] * 4
+
+
+def test_a_failure_among_several_is_raised():
+    with pytest.raises(ZeroDivisionError):
+        files.each(lambda n: 1 // n, [1, 0, 2])
+    assert files.each(str, range(40)) == [str(n) for n in range(40)]

@@ -25,6 +25,7 @@ from tickbars.streaming import (
     start_candles,
     start_quarantine,
     start_stream,
+    state_partitions,
     stream_candles,
     stream_day_totals,
 )
@@ -858,9 +859,14 @@ _NUMBER = "tradeNo % 3"
 _TIME = "least((cast(substring(tradeDate, 1, 2) as int) - 1) div 10, 2)"
 
 
-def _file_stream(spark: SparkSession, sf_dir: str, *numbers: str) -> DataFrame:
+def _file_stream_of(spark: SparkSession, sf_dir: str, *numbers: str) -> tuple[DataFrame, int]:
+    """The stream, and how many files a batch of it has."""
     path, n = inputs.message_batches(spark, sf_dir, *numbers)
-    return stream_messages(spark, "parquet", path, maxFilesPerTrigger=str(n))
+    return stream_messages(spark, "parquet", path, maxFilesPerTrigger=str(n)), n
+
+
+def _file_stream(spark: SparkSession, sf_dir: str, *numbers: str) -> DataFrame:
+    return _file_stream_of(spark, sf_dir, *numbers)[0]
 
 
 @query("message_files", f"with {_T} select {_POS}, {_TRADE_ROW} from t where {_USABLE}")
@@ -891,8 +897,10 @@ def stream_files_per_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_files_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three batches in the order of time; state carries a candle over from one to the next."""
     path = files.new_dir(spark, "candles")
-    sent = _file_stream(spark, sf_dir, _TIME)
-    start_candles(sent, candle_table(path), files.new_dir(spark, "checkpoint"), app=path[-32:], trigger=_NOW).awaitTermination()
+    sent, n = _file_stream_of(spark, sf_dir, _TIME)
+    with state_partitions(spark, n):
+        started = start_candles(sent, candle_table(path), files.new_dir(spark, "checkpoint"), app=path[-32:], trigger=_NOW)
+    started.awaitTermination()
     return read_candles(spark, path).select(*CANDLE.names)
 
 
@@ -900,7 +908,7 @@ def stream_files_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sink fails in the second batch, after its write; the query goes on from the checkpoint."""
     path, checkpoint = files.new_dir(spark, "candles"), files.new_dir(spark, "checkpoint")
-    sent = _file_stream(spark, sf_dir, _TIME)
+    sent, n = _file_stream_of(spark, sf_dir, _TIME)
     good, failed = candle_table(path), []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -910,7 +918,9 @@ def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
             raise ConnectionError("lost on purpose")
 
     def once() -> None:
-        start_candles(sent, sink, checkpoint, app=path[-32:], trigger=_NOW).awaitTermination()
+        with state_partitions(spark, n):
+            started = start_candles(sent, sink, checkpoint, app=path[-32:], trigger=_NOW)
+        started.awaitTermination()
 
     try:
         once()
@@ -1009,8 +1019,9 @@ def _metrics_of(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path, metrics = files.new_dir(spark, "candles"), files.new_dir(spark, "metrics")
         sink = candle_table(path, "keep_first" if mode == "per_batch" else "replace")
-        sent, checkpoint = _file_stream(spark, sf_dir, number), files.new_dir(spark, "checkpoint")
-        started = start_candles(sent, sink, checkpoint, mode, app=path[-32:], trigger=_NOW, metrics=metrics)
+        (sent, n), checkpoint = _file_stream_of(spark, sf_dir, number), files.new_dir(spark, "checkpoint")
+        with state_partitions(spark, n):
+            started = start_candles(sent, sink, checkpoint, mode, app=path[-32:], trigger=_NOW, metrics=metrics)
         started.awaitTermination()
         recorded(started)
         return spark.read.parquet(metrics).select("status", "batch_id", "batch_size", "invalid_rows")

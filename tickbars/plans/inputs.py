@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickbars import files
 from tickbars.operators import with_once
-from tickbars.schemas import DEAL, TRADE
+from tickbars.schemas import DEAL, MESSAGE, TRADE
 from tickbars.sinks.messages import write_messages
 
 
@@ -88,12 +88,12 @@ _HEADERS = f"""case
     else array({_RIGHT}) end"""
 
 
-def messages_of(df: DataFrame) -> DataFrame:
+def messages_of(df: DataFrame, *more: str) -> DataFrame:
     """Trades as messages of three partitions, with every irregularity that a reader has to deal with.
 
     quantity 0: payload null; 1 to 4: no header; 5: header without value; 6: two headers, one of them
     right; 7: header of another name. Ticker error: another event type; signup: truncated payload;
-    view: unknown field; purchase: price is no number; click: price in quotes.
+    view: unknown field; purchase: price is no number; click: price in quotes. `more` names columns to keep.
     """
     return with_once(df, "m", F.expr(f"struct({_PAYLOAD} as payload, {_HEADERS} as headers)")).selectExpr(
         "cast(null as binary) as key",
@@ -101,6 +101,7 @@ def messages_of(df: DataFrame) -> DataFrame:
         *_POSITION,
         "cast(null as timestamp) as timestamp",
         "m.headers as headers",
+        *more,
     )
 
 
@@ -118,7 +119,7 @@ def message_batches(spark: SparkSession, sf_dir: str, *numbers: str) -> tuple[st
 
     A message is sent once for every one of `numbers`, SQL over the trade, that is not null.
 
-    Each number's messages are made and written by as many tasks as the table is read by, and at least two, so a
+    Messages are made by as many tasks as the table is read by, and at least two. Each writes a file of every number, so a
     stream of that many files a batch has one batch per number and reads each with many tasks.
     """
     path = files.new_dir(spark, "messages")
@@ -126,10 +127,25 @@ def message_batches(spark: SparkSession, sf_dir: str, *numbers: str) -> tuple[st
 
 
 def add_message_batches(spark: SparkSession, sf_dir: str, path: str, *numbers: str, where: str = "true") -> int:
-    """Adds the messages of some trades to a folder as in `message_batches`; returns how many files a batch has."""
-    rows = trades(spark, sf_dir).where(where).withColumn("file", F.expr(f"explode(array_compact(array({', '.join(numbers)})))"))
-    n = max(2, rows.rdd.getNumPartitions())
-    for (batch,) in sorted(rows.select("file").distinct().collect()):
-        write_messages(messages_of(rows.where(F.col("file") == batch).repartition(n)), "parquet", path)
+    """Adds the messages of some trades to a folder as in `message_batches`; returns how many files a batch has.
+
+    The table is read once, however many numbers there are: the files of all are written beside the folder and then
+    moved into it, number after number. A number with fewer files than the others gets empty ones.
+    """
+    table = events(spark, sf_dir)
+    n = max(2, table.rdd.getNumPartitions())
+    # Dealt out before anything is made of the rows, so that a table of few row groups is shared out too.
+    rows = trades_of(table.repartition(n)).where(where).withColumn("file", F.expr(f"explode(array_compact(array({', '.join(numbers)})))"))
+    staged = files.new_dir(spark, "staged")
+    messages_of(rows, "file").write.partitionBy("file").parquet(staged)
+    found = (name.removeprefix("file=") for name in files.children(spark, staged) if name.startswith("file="))
+    for batch in sorted(map(int, found)):
+        folder = f"{staged}/file={batch}"
+        made = [name for name in files.children(spark, folder) if name.endswith(".parquet")]
+        for name in made:
+            files.move(spark, f"{folder}/{name}", f"{path}/{batch}-{name}", touch=True)
+        for _ in range(n - len(made)):
+            write_messages(spark.createDataFrame([], MESSAGE).coalesce(1), "parquet", path)
         time.sleep(0.02)  # the file source orders by modification time
+    files.delete(spark, staged)
     return n

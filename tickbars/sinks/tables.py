@@ -45,6 +45,10 @@ def _newest(spark: SparkSession, path: str, day: str, seconds: float = 5.0) -> t
     return (numbers[0] if numbers else 0), _NONE
 
 
+def _newest_of(spark: SparkSession, path: str, days: Sequence[str]) -> dict[str, tuple[int, str]]:
+    return dict(zip(days, files.each(lambda day: _newest(spark, path, day), days)))
+
+
 def _commit(spark: SparkSession, path: str, day: str, after: int, name: str, keep_hours: float) -> bool:
     """Makes the next commit of a day; False if another writer has made it. Clears away what has been replaced long ago."""
     commits = f"{path}/commits/{day}"
@@ -76,7 +80,7 @@ def read_candles(
 ) -> DataFrame:
     """The candles of the given days, of all days by default, with `trade_date`. `schema` is that of the table's columns."""
     wanted = files.children(spark, f"{path}/commits") if days is None else [str(d) for d in days]
-    stored = _read(spark, path, {d: _newest(spark, path, d) for d in wanted}, schema)
+    stored = _read(spark, path, _newest_of(spark, path, wanted), schema)
     found = spark.createDataFrame([], schema) if stored is None else stored
     return found.withColumn("trade_date", F.to_date("datetime"))
 
@@ -119,12 +123,13 @@ def merge_candles(
         for attempt in range(_TRIES):
             if not left:
                 return
-            newest = {d: _newest(spark, path, d) for d in left}
+            newest = _newest_of(spark, path, left)
             mine = fresh if not attempt else fresh.where(F.to_date("datetime").cast("string").isin(left))
             stored = _read(spark, path, newest, incoming.schema)
             merged = mine if stored is None else upsert(stored, mine, CANDLE_KEYS, policy, version)
             name = _write(merged, path, len(left), files_per_day)
-            left = [d for d in left if not _commit(spark, path, d, newest[d][0], name, keep_hours)]
+            made = files.each(lambda d: _commit(spark, path, d, newest[d][0], name, keep_hours), left)
+            left = [d for d, done in zip(left, made) if not done]
         if left:
             raise RuntimeError(f"{path} has changed {_TRIES} times while it was merged into")
     finally:
@@ -140,9 +145,12 @@ def overwrite_days(
     try:
         held = set(_days(fresh))
         name = _write(fresh, path, len(held), files_per_day) if held else _NONE
-        for day in wanted:
+
+        def commit(day: str) -> None:
             while not _commit(spark, path, day, _newest(spark, path, day)[0], name if day in held else _NONE, keep_hours):
                 pass
+
+        files.each(commit, wanted)
     finally:
         fresh.unpersist()
 

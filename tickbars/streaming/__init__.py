@@ -5,6 +5,7 @@ from tickbars.streaming.candles import (
     start_candles,
     start_quarantine,
     start_stream,
+    state_partitions,
     stream_candles,
     with_instant,
 )
@@ -24,6 +25,7 @@ __all__ = [
     "start_candles",
     "start_quarantine",
     "start_stream",
+    "state_partitions",
     "stream_candles",
     "stream_day_totals",
     "with_instant",

@@ -10,11 +10,12 @@ Set `spark.sql.streaming.stateStore.providerClass` to Spark's RocksDB provider f
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from functools import partial
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,6 +46,22 @@ def with_instant(trades: DataFrame, lateness: str | None = None) -> DataFrame:
     return df.withWatermark("instant", lateness) if lateness else df
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, most: int) -> Iterator[None]:
+    """Streams started within deal their state, and what their batches shuffle, to no more than this many partitions.
+
+    Every batch writes at least one file for each partition of each state, however little is in it. Candles are far
+    fewer than trades, so as many partitions as a batch is read by are enough. A checkpoint keeps the number it has.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stream_candles(
     trades: DataFrame,
     minutes: int = 5,
