@@ -68,7 +68,7 @@ def test_batches_of_few_messages_stay_apart(spark, tmp_path, monkeypatch):
     assert n == 4 and got == {0: [0, 3, 4, 5, 6, 7], 1: [2], 2: [1], 3: [1]}
 
 
-@pytest.mark.parametrize("name", ["stream_restart"])
+@pytest.mark.parametrize("name", ["stream_restart", "stream_day_totals"])
 def test_state_has_no_more_partitions_than_a_batch_has_files(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(files, "job_dir", lambda spark: str(tmp_path))
     monkeypatch.setattr(inputs, "events", lambda spark, sf_dir: events_of(spark, [1, 2, 11, 12, 21, 22], 2))

@@ -1004,7 +1004,10 @@ def day_totals_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         sent = stream_messages(spark, "parquet", folder, maxFilesPerTrigger=str(n))
         out = stream_day_totals(op.valid_trades(decoded_stream(sent)))
         writer = out.writeStream.outputMode("append").format("parquet").option("path", path)
-        writer.option("checkpointLocation", checkpoint).trigger(**_NOW).start().awaitTermination()
+        writer = writer.option("checkpointLocation", checkpoint).trigger(**_NOW)
+        with state_partitions(spark, n):
+            started = writer.start()
+        started.awaitTermination()
     return spark.read.parquet(path)
 
 
